@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from glyphflow.llm import substring_dedup
+from glyphflow.llm import ngram_jaccard, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op8_ngram_jaccard": ngram_jaccard.query,
         "op7_substring_dedup": substring_dedup.query,
     }
 
