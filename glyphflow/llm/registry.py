@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from glyphflow.llm import ngram_jaccard, substring_dedup
+from glyphflow.llm import decontamination, ngram_jaccard, quality_classifier, secret_scan, substring_dedup, topk_search, warc
 
 
 def queries() -> dict:
     return {
-        "op8_ngram_jaccard": ngram_jaccard.query,
+        "op2_secret_scan": secret_scan.query,
+        "op4_benchmark_decontamination": decontamination.query,
+        "op6_warc": warc.query,
         "op7_substring_dedup": substring_dedup.query,
+        "op8_ngram_jaccard": ngram_jaccard.query,
+        "op9_quality_classifier": quality_classifier.query,
+        "op10_topk_search": topk_search.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": warc.ORACLE, "op10_topk_search": topk_search.ORACLE}
