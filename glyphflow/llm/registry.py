@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from glyphflow.llm import decontamination, ngram_jaccard, quality_classifier, secret_scan, substring_dedup, topk_search, warc
+from glyphflow.llm import decontamination, ngram_jaccard, packing, quality_classifier, secret_scan, substring_dedup, topk_search, warc
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": secret_scan.query,
         "op4_benchmark_decontamination": decontamination.query,
+        "op5_packing": packing.query,
         "op6_warc": warc.query,
         "op7_substring_dedup": substring_dedup.query,
         "op8_ngram_jaccard": ngram_jaccard.query,
