@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from glyphflow.llm import decontamination, ngram_jaccard, packing, quality_classifier, secret_scan, sharding, substring_dedup, topk_search, warc
+from glyphflow.llm import decontamination, line_dedup, ngram_jaccard, packing, quality_classifier, secret_scan, sharding, substring_dedup, topk_search, warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.query,
         "op2_secret_scan": secret_scan.query,
+        "op3_line_dedup": line_dedup.query,
         "op4_benchmark_decontamination": decontamination.query,
         "op5_packing": packing.query,
         "op6_warc": warc.query,
