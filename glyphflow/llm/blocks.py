@@ -123,10 +123,11 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, total: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id``, ``text`` and the ``block`` of each row; the number of blocks follows ``total``.
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, total: int, block_bytes: int = BLOCK_BYTES, tag: Column | None = None) -> DataFrame:
+    """``doc_id``, ``text``, the ``block`` of each row, and ``tag`` if given; the number of blocks follows ``total``.
 
     The block comes from the id and the text, so neither one source nor rows without id share one."""
     key: Column = F.xxhash64(F.col(id_col), F.col(text_col))
     n = max(1, -(-total // block_bytes))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.pmod(key, F.lit(n)).cast("int").alias("block"))
+    more = [] if tag is None else [tag.alias("tag")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.pmod(key, F.lit(n)).cast("int").alias("block"), *more)

@@ -28,18 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm.skew import SALT
+from glyphflow.llm.skew import SALT, small
 from glyphflow.llm.storage import materialize
 
 EDITS = 1
 LEAST = 24
 BUCKET = 32
-SMALL_BYTES = 16 << 20
-
-
-def _maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """A hint only where the counted rows are small; else the join shuffles."""
-    return F.broadcast(df) if rows * row_bytes <= SMALL_BYTES else df
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,13 +137,13 @@ def near_lines(lines: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     entries = known.select("id", F.inline(F.filter(entry, lambda e: e["key"].isNotNull())))
     members = materialize(_shared(entries), "members")
     refine = edits == 1
-    small = members.where(F.col("met") <= BUCKET) if refine else members
-    pairs = materialize(_pairs(small).distinct(), "pairs")
+    few = members.where(F.col("met") <= BUCKET) if refine else members
+    pairs = materialize(_pairs(few).distinct(), "pairs")
     hot = members.where(F.col("met") > BUCKET).select("id").distinct()
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     wanted = (wanted.unionByName(hot) if refine else wanted).distinct()
     wanted = materialize(known.join(wanted, "id").select("id", "first", "first.row", "first.place"), "wanted")
-    fetched = lines.select("row", "place", "line").join(_maybe_broadcast(wanted, wanted.count(), 64), ["row", "place"])
+    fetched = lines.select("row", "place", "line").join(small(wanted, wanted.count(), 64), ["row", "place"])
     texts = materialize(fetched.select("id", "first", "line"), "texts")
     if refine:
         some, linked = _by_fragments(texts.join(hot, "id", "left_semi"))
@@ -170,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = materialize(listed.select("h1", "h2", "first.row", "first.place", F.coalesce("near", F.lit(False)).alias("near")), "listed")
     own = lines.select(F.col("row").alias("own_row"), F.col("place").alias("own_place"), *_hashes(), F.pmod(F.col("row") + F.col("place"), F.lit(SALT)).cast("int").alias("salt"))
     spread = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    met = own.join(_maybe_broadcast(spread, listed.count() * SALT, 56), ["h1", "h2", "salt"])
+    met = own.join(small(spread, listed.count() * SALT, 56), ["h1", "h2", "salt"])
     repeated = (F.col("own_row") != F.col("row")) | (F.col("own_place") != F.col("place"))
     gone = met.where(repeated | F.col("near")).groupBy(F.col("own_row").alias("__row")).agg(
         F.sort_array(F.collect_list("own_place")).alias("__gone"), F.count_if(repeated).alias("__repeated"), F.count_if(~repeated).alias("__near")
@@ -178,7 +172,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = materialize(gone, "gone")
     total = gone.agg(F.sum(F.size("__gone") + 8)).first()[0] or 0
     names = ["n_lines", "n_repeated", "n_near", "kept_text"]
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(_maybe_broadcast(gone, total, 8), "__row", "left")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(small(gone, total, 8), "__row", "left")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     # One flag for each line up to the last that goes: as many zeros as lines between, then a one.
     flags = F.expr("split(array_join(transform(__gone, (p, i) -> concat(repeat('0', p - coalesce(get(__gone, i - 1), -1) - 1), '1')), ''), '')")
@@ -192,6 +186,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with its texts less the lines that go, and their sizes."""
+    names = ["n_lines", "n_repeated", "n_near", "kept_text"]
+    free = docs.withColumnsRenamed({old: f"__own_{old}" for old in names if old in docs.columns})
+    out = dedup_lines(free, id_col, text_col)
+    cut = (F.col("n_repeated") + F.col("n_near")) > 0
+    new = {text_col: F.when(cut, F.col("kept_text")).otherwise(F.col(text_col))}
+    if size_col in docs.columns:
+        new[size_col] = F.when(cut, F.length("kept_text")).otherwise(F.col(size_col)).cast(docs.schema[size_col].dataType)
+    return out.select([new.get(c, F.col(f"`__own_{c}`" if c in names else f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_repeated", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
