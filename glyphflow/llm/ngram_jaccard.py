@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 from glyphflow.llm import routed_sketch as sketch
 from glyphflow.llm.blocks import U64, Words, in_blocks, mix, slices, text_bytes
 from glyphflow.llm.components import components
+from glyphflow.llm.skew import left_join, small
 from glyphflow.llm.storage import materialize
 
 SHINGLE = 5
 PERCENT = 80
 CHUNK = 512
 ORDERS = 3
-_FOUND = "doc_id long, n_shingles long, node binary, size int, central float, prefix array<long>, others array<binary>, shingles binary"
+_FOUND = "doc_id long, tag long, n_shingles long, node binary, row long, size int, central float, prefix array<long>, others array<binary>, shingles binary"
 
 
 def lower_ascii(texts: list[bytes]) -> list[bytes]:
@@ -80,7 +81,7 @@ def _needed(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def _describe(s: _Shingles, count: np.ndarray, t: pa.Table, percent: int) -> pa.Table:
+def _describe(s: _Shingles, count: np.ndarray, t: pa.Table, block: int, percent: int) -> pa.Table:
     """A row for each document, with its set only where it is the first of its node in the block."""
     order = np.argsort(s.doc, kind="stable")
     h, count, doc = s.h[order], count[s.number][order], s.doc[order]
@@ -113,9 +114,10 @@ def _describe(s: _Shingles, count: np.ndarray, t: pa.Table, percent: int) -> pa.
             by.sort()
             others[d].append((by[:p] >> U64(32)).astype(np.uint32).tobytes())
         shingles[d] = own.tobytes()
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
-    columns = [t["doc_id"], size, node, sizes, central, first, others, shingles]
-    return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_shingles", "node", "size", "central", "prefix", "others", "shingles"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
+    row = (block << 32) + np.arange(s.rows)
+    columns = [t["doc_id"], t["tag"], size, node, row, sizes, central, first, others, shingles]
+    return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "tag", "n_shingles", "node", "row", "size", "central", "prefix", "others", "shingles"])
 
 
 def _group(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +180,13 @@ def link_sets(nodes: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> D
     posted = nodes.select("node", "central", F.explode("prefix").alias("token"))
     hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node")).getField("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub")
     circles = materialize(posted.join(hubs, "token").where("node <> hub").select("hub", "node").distinct(), "circles")
-    groups = max(partitions, -(-circles.count() // 2048))
+    met = circles.count()
+    groups = max(partitions, -(-met // 2048))
     dealt = lambda df: df.withColumn("g", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(groups)))
 
-    def with_sets(df: DataFrame, key: str = "node") -> DataFrame:
+    def with_sets(df: DataFrame, key: str = "node", rows: int = met) -> DataFrame:
         """The sets of the nodes in column ``key``, called ``node`` afterwards."""
-        return df.join(nodes.withColumnRenamed("node", key), key).withColumnRenamed(key, "node")
+        return nodes.withColumnRenamed("node", key).join(small(df, rows, 48), key).withColumnRenamed(key, "node")
 
     columns = ["g", "hub", "i", "j", "side", "node", "size", "prefix", "others", "shingles"]
     sizes = circles.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
@@ -203,15 +206,17 @@ def link_sets(nodes: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> D
             if rest:
                 linked = set(_Circle(rest, percent).linked(centre).tolist())
                 out += [(hub, x[0], k in linked) for k, x in enumerate(rest)]
-        return sketch.table(out, ["hub", "node", "linked"], [pa.binary(), pa.binary(), pa.bool_()])
+        return sketch.table(out, ["hub", "node", "linked"], [pa.int64(), pa.int64(), pa.bool_()])
 
-    tried = dealt(members.unionByName(centres)).select(columns).groupBy("g").applyInArrow(with_hub, "hub binary, node binary, linked boolean")
+    tried = dealt(members.unionByName(centres)).select(columns).groupBy("g").applyInArrow(with_hub, "hub long, node long, linked boolean")
     tried = materialize(tried, "tried")
 
     others = tried.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("linked")).alias("r")).where("r > 0 and m > 1")
-    both = tried.join(others, "hub")
-    left = with_sets(both.where(~F.col("linked")).select("hub", "node", pick("r").alias("i"), F.explode(F.sequence(F.lit(0), chunks("m") - 1)).alias("j"), F.lit(0).alias("side")))
-    right = with_sets(both.select("hub", "node", pick("m").alias("j"), F.explode(F.sequence(F.lit(0), chunks("r") - 1)).alias("i"), F.col("linked").cast("int").alias("linked"), F.lit(1).alias("side")).select("hub", "node", "i", "j", (F.col("side") + F.col("linked")).alias("side")))
+    both = materialize(tried.join(others, "hub").select("hub", "node", "linked", "m", "r"), "unlike")
+    chunked = both.select(F.sum(F.when(~F.col("linked"), chunks("m"))), F.sum(chunks("r"))).first()
+    left = both.where(~F.col("linked")).select("hub", "node", pick("r").alias("i"), F.explode(F.sequence(F.lit(0), chunks("m") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = both.select("hub", "node", F.explode(F.sequence(F.lit(0), chunks("r") - 1)).alias("i"), pick("m").alias("j"), (F.col("linked").cast("int") + 1).alias("side"))
+    left, right = with_sets(left, rows=chunked[0] or 0), with_sets(right, rows=chunked[1] or 0)
 
     def rest(t: pa.Table) -> pa.Table:
         out = []
@@ -235,16 +240,17 @@ def link_sets(nodes: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> D
                             own_group = group[k]
                         else:
                             group[group == group[k]] = own_group
-        return sketch.table(out, ["a", "b"], [pa.binary(), pa.binary()])
+        return sketch.table(out, ["a", "b"], [pa.int64(), pa.int64()])
 
-    more = dealt(left.unionByName(right)).select(columns).groupBy("g").applyInArrow(rest, "a binary, b binary")
+    more = dealt(left.unionByName(right)).select(columns).groupBy("g").applyInArrow(rest, "a long, b long")
     return tried.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles`` and ``component_id``."""
+    """Per row: ``doc_id``, ``row`` (its number in ``docs``), ``n_shingles``, ``component_id`` and
+    ``first``, which is true for one row of each component, one with the smallest id."""
     total = text_bytes(docs, text_col)
-    base = in_blocks(docs, id_col, text_col, total)
+    base = in_blocks(docs, id_col, text_col, total, tag=F.monotonically_increasing_id())
     shape = sketch.Shape.of(total // 6)
 
     def send(t: pa.Table) -> pa.Table:
@@ -254,18 +260,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def describe(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         s = _Shingles(t, shingle)
         count = sketch.estimates(s.unique, s.docs, shape, dict(zip(answers["key"].to_pylist(), answers["totals"].to_pylist())))
-        return _describe(s, count, t, percent)
+        return _describe(s, count, t, key[0].as_py(), percent)
 
     answers = sketch.merged(base.groupBy("block").applyInArrow(send, sketch.SENT), shape)
     found = materialize(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(describe, _FOUND), "shingles")
-    nodes = found.where("size is not null").select("node", "size", "central", "prefix", "others", "shingles").dropDuplicates(["node"])
-    nodes = materialize(nodes, "nodes")
-    roots = components(link_sets(nodes, percent), "similar")
-    rows = found.select("doc_id", "n_shingles", "node")
-    rooted = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "least")
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    first = found.where("size is not null").groupBy("node").agg(F.min("row").alias("row"))
+    first = materialize(first, "nodes")
+    n_nodes = first.count()
+    sets = found.where("size is not null").select(F.col("row").alias("node"), "size", "central", "prefix", "others", "shingles")
+    sets = sets.join(small(first.select(F.col("row").alias("node")), n_nodes, 16), "node", "left_semi")
+    roots = components(link_sets(sets, percent), "similar")
+    roots = materialize(first.join(roots, first["row"] == roots["node"], "left").select(first["node"], F.coalesce("root", "row").alias("root")), "roots")
+    rooted = left_join(found.select("doc_id", "tag", "n_shingles", "node", "row"), roots, ["node"], F.col("row"), n_nodes, 48)
+    rooted = materialize(rooted.select("doc_id", "tag", "n_shingles", "root", "row"), "rooted")
+    least = rooted.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "least")
+    out = left_join(rooted, least, ["root"], F.col("row"), n_nodes, 40)
+    alone = F.col("least").isNull()
+    return out.select("doc_id", F.col("tag").alias("row"), "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (alone | (F.col("least.row") == F.col("row"))).alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component.  The plan of ``docs`` has to give the same rows in the same
+    partitions each time it runs, as a table read from files does."""
+    later = materialize(near_duplicates(docs, id_col, text_col, shingle, percent).where("not first").select(F.col("row").alias("__row")), "later")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(small(later, later.count(), 16), "__row", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
