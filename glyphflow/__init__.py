@@ -1,0 +1 @@
+"""Text-quality analytics as DataFrame operators."""
