@@ -183,7 +183,7 @@ k AS (SELECT word, candidate, {osa('word', 'candidate')} AS distance, ({sound('w
 SELECT word, rank, candidate, CAST(distance AS BIGINT) AS distance, sounds_alike FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance - CASE WHEN sounds_alike THEN 0.5 ELSE 0 END, candidate) AS rank FROM k) WHERE rank <= 3""",
     "suggest_gen2": f"{ERRORS},{ranked('two', 'err', 'dict', 2, 3)} SELECT word, rank, candidate, CAST(distance AS BIGINT) AS distance, sounds_alike FROM two",
     "comparison_count": f"WITH {TOK},{DICT}, w AS (SELECT DISTINCT word FROM tok WHERE word NOT IN (SELECT word FROM dict)), h AS (SELECT length(word) AS len, count(*) AS n FROM dict GROUP BY len) SELECT word, CAST(coalesce(sum(n), 0) AS BIGINT) AS comparisons, (SELECT count(*) FROM dict) AS unfiltered FROM w LEFT JOIN h ON h.len BETWEEN greatest(1, length(word) - 2) AND length(word) + 2 GROUP BY word",
-    "keyword_occurrences": "SELECT doc_id, CAST(len(list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, 3) = 'the')) AS BIGINT) AS occurrences FROM documents",
+    "keyword_occurrences": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'the')) AS BIGINT) AS occurrences FROM documents",
     "pattern_positions": "SELECT page_id, unnest(list_filter(range(0, length(html)), lambda i: substr(html, i + 1, 4) = '</p>')) AS start FROM pages",
     "multi_pattern": f"WITH {MATCHES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start + length(pattern), length(pattern) DESC) AS ord, pattern, start, start + length(pattern) - 1 AS end_index FROM hits",
     "pattern_summary": f"WITH {MATCHES} SELECT d.doc_id, p.pattern, count(start) AS matches, coalesce(array_to_string(list(start ORDER BY start) FILTER (start IS NOT NULL)[1:10], ' '), '') AS first_positions FROM documents d CROSS JOIN pat p LEFT JOIN hits h ON h.doc_id = d.doc_id AND h.pattern = p.pattern GROUP BY d.doc_id, p.pattern",
