@@ -45,8 +45,8 @@ def approximate_cover(edges: Column) -> Column:
 def exact_cover_size(graphs: DataFrame, by: str = "graph_id") -> DataFrame:
     """``vertices`` and ``minimum``: the smallest cover, over all subsets; null for more than 20 vertices."""
     sized = graphs.withColumn("vertices", F.array_max(F.transform("edges", lambda e: F.greatest(e["u"], e["v"]))) + 1)
-    masks = sized.where(F.col("vertices") <= MOST_VERTICES).withColumn("mask", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("vertices")) - 1)))
-    bit = lambda v: F.expr("0") if v is None else F.call_function("bit_get", F.col("mask").cast("long"), v)
+    masks = sized.where(F.col("vertices") <= MOST_VERTICES).withColumn("mask", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("vertices")) - 1)))
+    bit = lambda v: F.call_function("bit_get", F.col("mask").cast("long"), v)
     covers = masks.where(F.forall("edges", lambda e: (bit(e["u"]) + bit(e["v"])) > 0))
     least = covers.groupBy(by).agg(F.min(F.bit_count("mask")).alias("minimum"))
     return sized.select(by, "vertices").join(least, by, "left")

@@ -212,3 +212,21 @@ STAGED = "SELECT word, CAST(stage AS BIGINT) AS stage, rank, candidate, CAST(dis
 ORACLES["suggest_staged"] = f"{ERRORS},{staged('err')} {STAGED}"
 ORACLES["suggest_stretched"] = f"WITH {TOK},{DICT},{COMMON}, drawn AS (SELECT DISTINCT word || repeat(word[-1], 3) AS word FROM common),{staged('drawn')} {STAGED}"
 ORACLES["long_run_words"] = f"WITH {TOK} SELECT word, {squeezed(2)} AS squeezed_2, {squeezed(1)} AS squeezed_1 FROM (SELECT DISTINCT word FROM tok) WHERE {LONG}"
+FLAGS = f"""WITH {TOK},{DICT},{COMMON},{PAIRS},
+e AS (SELECT DISTINCT corrupted AS word FROM pairs WHERE correct <> corrupted),{staged('e')},
+f AS (SELECT correct, corrupted, corrupted NOT IN (SELECT word FROM dict) AS flagged, candidate AS top1, (corrupted, correct) IN (SELECT (word, candidate) FROM staged) AS in_top3
+  FROM pairs LEFT JOIN (SELECT word, candidate FROM staged WHERE rank = 1) b ON b.word = corrupted WHERE correct <> corrupted)"""
+ORACLES["topk_accuracy"] = f"{FLAGS} SELECT count(*) FILTER (flagged AND top1 = correct) / count(*) AS top1_accuracy, count(*) FILTER (flagged AND in_top3) / count(*) AS top3_recall FROM f"
+ORACLES["failure_list"] = f"{FLAGS} SELECT correct, corrupted, coalesce(top1, '(none)') AS suggested, NOT flagged AS not_detected FROM f WHERE NOT flagged OR coalesce(top1, '') <> correct"
+CHECKED = f"{ERRORS},{staged('err')}"
+ORACLES["check_summary"] = rf"""{CHECKED},
+c AS (SELECT doc_id, count(*) AS errors, CAST(sum(coalesce(k, 0)) AS BIGINT) AS made FROM btok JOIN err USING (word) LEFT JOIN (SELECT word, count(*) AS k FROM staged GROUP BY word) USING (word) GROUP BY doc_id),
+r AS (SELECT item_id AS doc_id, CAST(len(regexp_extract_all(text, '\p{{L}}+')) AS BIGINT) AS total_tokens, CAST(length(text) AS BIGINT) AS characters, coalesce(errors, 0) AS errors_found, coalesce(made, 0) AS suggestions_generated FROM benchmark LEFT JOIN c ON c.doc_id = item_id)
+SELECT *, CASE WHEN total_tokens = 0 THEN 0.0 ELSE (total_tokens - errors_found) * 100.0 / total_tokens END::DOUBLE AS accuracy,
+  CASE WHEN total_tokens <= 1 THEN 'Single Word' WHEN total_tokens <= 20 THEN 'Short Sentence' WHEN total_tokens <= 300 THEN 'Paragraph' ELSE 'Large Text' END AS input_type, total_tokens > 20 AS use_filtering FROM r"""
+ORACLES["corrected_text"] = rf"""{CHECKED},
+p AS (SELECT doc_id, line, unnest(w) AS piece, generate_subscripts(w, 1) AS at FROM (SELECT doc_id, line, CASE WHEN t = '' THEN [''] ELSE regexp_extract_all(t, '\p{{L}}+|\P{{L}}+') END AS w FROM btok_l)),
+x AS (SELECT doc_id, line, at, CASE WHEN candidate IS NULL THEN piece WHEN regexp_matches(piece, '^\p{{Lu}}') THEN replace(upper(candidate[1]), 'ẞ', 'ß') || substr(candidate, 2) ELSE candidate END AS piece
+  FROM p LEFT JOIN (SELECT word, candidate FROM staged WHERE rank = 1) b ON b.word = lower(piece)),
+l AS (SELECT doc_id, line, string_agg(piece, '' ORDER BY at) AS t FROM x GROUP BY ALL)
+SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS corrected FROM l GROUP BY doc_id"""
