@@ -225,8 +225,8 @@ r AS (SELECT item_id AS doc_id, CAST(len(regexp_extract_all(text, '\p{{L}}+')) A
 SELECT *, CASE WHEN total_tokens = 0 THEN 0.0 ELSE (total_tokens - errors_found) * 100.0 / total_tokens END::DOUBLE AS accuracy,
   CASE WHEN total_tokens <= 1 THEN 'Single Word' WHEN total_tokens <= 20 THEN 'Short Sentence' WHEN total_tokens <= 300 THEN 'Paragraph' ELSE 'Large Text' END AS input_type, total_tokens > 20 AS use_filtering FROM r"""
 ORACLES["corrected_text"] = rf"""{CHECKED},
-p AS (SELECT doc_id, line, unnest(w) AS piece, generate_subscripts(w, 1) AS at FROM (SELECT doc_id, line, CASE WHEN t = '' THEN [''] ELSE regexp_extract_all(t, '\p{{L}}+|\P{{L}}+') END AS w FROM btok_l)),
-x AS (SELECT doc_id, line, at, CASE WHEN candidate IS NULL THEN piece WHEN regexp_matches(piece, '^\p{{Lu}}') THEN replace(upper(candidate[1]), 'ẞ', 'ß') || substr(candidate, 2) ELSE candidate END AS piece
+p AS (SELECT doc_id, line, unnest(w) AS piece, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, line, CASE WHEN t = '' THEN [''] ELSE regexp_extract_all(t, '\p{{L}}+|\P{{L}}+') END AS w FROM btok_l)),
+x AS (SELECT doc_id, line, pos, CASE WHEN candidate IS NULL THEN piece WHEN regexp_matches(piece, '^\p{{Lu}}') THEN replace(upper(candidate[1]), 'ẞ', 'ß') || substr(candidate, 2) ELSE candidate END AS piece
   FROM p LEFT JOIN (SELECT word, candidate FROM staged WHERE rank = 1) b ON b.word = lower(piece)),
-l AS (SELECT doc_id, line, string_agg(piece, '' ORDER BY at) AS t FROM x GROUP BY ALL)
+l AS (SELECT doc_id, line, string_agg(piece, '' ORDER BY pos) AS t FROM x GROUP BY ALL)
 SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS corrected FROM l GROUP BY doc_id"""
