@@ -33,7 +33,7 @@ from glyphflow.llm.storage import materialize
 
 LENGTH = 2048
 END_ID = 1
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 QUERY_TERMS = 32
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
@@ -141,9 +141,9 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         self.n = len(docs)
         length = np.array([len(d) - 1 for d in docs])
-        doc = np.repeat(np.arange(self.n, dtype=np.int64), length)
-        term = np.concatenate([d[:-1] for d in docs]).astype(np.int64)
-        pair, tf = np.unique(doc << 32 | term, return_counts=True)
+        pair = np.repeat(np.arange(self.n, dtype=np.int64) << 32, length)
+        pair |= np.concatenate([d[:-1] for d in docs])
+        pair, tf = np.unique(pair, return_counts=True)
         self.doc, self.term = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
         norm = K1 * (1 - B + B * length / max(mean, 1e-9))
         weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
