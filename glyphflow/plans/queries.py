@@ -262,14 +262,6 @@ def suggest_staged(spark, sf):
     return S.suggest_staged(wrong, dictionary, common).select("word", F.col("stage").cast("long"), F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"))
 
 
-@query
-def suggest_documents(spark, sf):
-    """The same for every potential error of the documents."""
-    dictionary, common = _dictionary(spark, sf), _common(spark, sf)
-    wrong = D.potential_errors(_words(spark, sf), dictionary, common)
-    return S.suggest_staged(wrong, dictionary, common).select("word", F.col("stage").cast("long"), F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"))
-
-
 @query
 def suggest_stretched(spark, sf):
     """The dictionary's words with a letter drawn out."""
