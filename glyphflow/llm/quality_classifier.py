@@ -2,12 +2,12 @@
 
 1. Overlapping heuristics (``LABELLERS``) each call a document good, bad or abstain.
 2. Expectation-maximisation over the counts of the vote patterns estimates how often each labeller
-   is right on good and on bad documents, and from that the posterior of each pattern.
+   is right on good documents and on each kind of bad ones, and from that the posterior of each pattern.
 3. The posteriors are the targets of a ridge regression on hashed features: trigrams of character
-   classes, and shares of repeated words, in ``FEATURES`` buckets.
+   classes, shares of repeated words and of insults, in ``FEATURES`` buckets.
 
 All documents take part in both fits: one pass adds up the pattern counts, the features' moments and
-the features' sums by pattern; these sums are of a fixed size (at most 3**8 patterns and
+the features' sums by pattern; these sums are of a fixed size (at most 3**9 patterns and
 ``FEATURES`` squared cells) and only they reach the driver.  A second pass scores.
 
 Defined results.  A text that is null or has no words gets no score and is rejected.  Ties of the
@@ -30,7 +30,7 @@ FEATURES = 256
 THRESHOLD = 0.5
 RIDGE = 1e-4
 LEAST_WORDS = 20
-BELIEF = 0.2
+BELIEF = 1.0
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 #: (measure, bad from, good to, words that it takes at least); a negative measure is its opposite.
@@ -43,7 +43,16 @@ LABELLERS = [
     ("long_words", 6.6, 5.8, LEAST_WORDS),  # bytes a word
     ("shouts", 0.3, 0.1, LEAST_WORDS),  # exclamation marks a word
     ("ends", 0.7, 0.35, LEAST_WORDS),  # words that end in punctuation
+    ("insults", 0.002, 0.0005, 1),  # words of ``INSULTS``
 ]
+# Common insults of English, German, French and Spanish, in lower case.
+INSULTS = """
+bastard clown crap creep disgusting dumb freak garbage idiot idiotic idiots imbecile jerk loser losers lunatic moron morons pathetic
+pervert retard scum scumbag stupid sucker trash vermin weirdo worthless
+abschaum arschloch depp dreckskerl dummkopf idioten mistkerl scheusal trottel vollidiot widerlich wichser
+abruti abrutie connard connasse crétin débile enfoiré imbécile minable ordure racaille salaud salope
+basura cabrón despreciable estúpida estúpido gilipollas idiota imbécil inútil pendejo perdedor payaso
+""".split()
 PATTERNS = 3 ** len(LABELLERS)
 
 _CLASS = np.zeros(256, np.uint8)
@@ -53,10 +62,12 @@ _CLASS[48:58] = 3
 _CLASS[[9, 10, 11, 12, 13]] = 4
 _CLASS[32] = 5
 _CLASS[33:48], _CLASS[58:65], _CLASS[91:97], _CLASS[123:128] = range(6, 21), range(21, 28), range(28, 34), range(34, 39)
-_BUCKET = (mix(np.arange(64**3, dtype=U64), 31) % U64(FEATURES - 2)).astype(np.int64) + 2  # the first two are for repeated words
+_BUCKET = (mix(np.arange(64**3, dtype=U64), 31) % U64(FEATURES - 3)).astype(np.int64) + 3  # the first three are for repeated words and insults
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*|~^_=<>@{}[]\\!", np.uint8))
 _CAPITAL = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _MARK = (_CLASS >= 6) & (_CLASS < 39)
+_PLAIN = bytes(32 if _MARK[b] else b + 32 * _CAPITAL[b] for b in range(256))
+_INSULT = Words([" ".join(INSULTS).encode()]).hash
 
 
 def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,6 +90,8 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     distinct = np.bincount(d[new], minlength=n)
     last = np.flatnonzero(_MARK[data[:-1]] & ((kind[1:] == 4) | (kind[1:] == 5)))
     bangs = of(data == 33)
+    plain = Words([t.translate(_PLAIN) for t in texts])
+    insults = np.bincount(plain.doc[np.isin(plain.hash, _INSULT)], minlength=n) / np.maximum(plain.count, 1)
     measures = {
         "symbols": of(_SYMBOL[data]) / np.maximum(visible, 1),
         "capitals": of(_CAPITAL[data]) / np.maximum(visible, 1),
@@ -88,6 +101,7 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         "long_words": visible / per_word,
         "shouts": bangs / per_word,
         "ends": np.bincount(doc[last], minlength=n) / per_word,
+        "insults": insults,
     }
     pattern = np.zeros(n, np.int64)
     for name, bad, good, least in LABELLERS:
@@ -100,6 +114,7 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)))
     x[:, 0] = np.sqrt(repeats)
     x[:, 1] = np.where(words < LEAST_WORDS, 0, np.sqrt(np.clip(measures["sameness"], 0, 1)))
+    x[:, 2] = np.minimum(1, insults / LABELLERS[-1][1])  # the share at which its labeller objects counts in full
     return words, pattern, x
 
 
@@ -111,26 +126,34 @@ def votes(pattern: np.ndarray) -> np.ndarray:
 def label_model(pattern: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """EM: the posterior of good for each pattern, the accuracies (labeller; on bad, on good), the prior.
 
-    It starts from calling a document bad if any labeller does.  Each labeller looks for one kind of
-    junk: on bad documents it is expected to miss most, on good ones to err once in 200 votes.  The
-    second expectation counts as ``BELIEF`` votes for each document, so it weighs alike at every size."""
+    Each labeller looks for one kind of junk, and the kinds hardly go together: the classes are good
+    and a bad one for each labeller, so junk of one kind need not look like that of another.  It starts
+    from calling a document bad if any labeller does, of the kinds of those that do.  A labeller is
+    expected to find its own kind, to miss most of the others and to err on good documents once in 1000
+    votes.  The last expectation counts as ``BELIEF`` votes for each document, so it weighs alike at
+    every size."""
     v = votes(pattern)
-    good = np.where((v == BAD).any(1), 0.05, 0.95)
-    right = np.full((len(LABELLERS), 2), 0.7)
-    prior = 0.8
+    k, n = len(LABELLERS), max(1, count.sum())
+    said, bad = v != ABSTAIN, v == BAD
+    none = ~bad.any(1, keepdims=True)
+    kinds = (bad | none) / np.maximum(1, (bad | none).sum(1, keepdims=True))
+    of = np.hstack([np.where(none, 0.95, 0.05), np.where(none, 0.05, 0.95) * kinds])  # pattern; class, the good one first
+    yes, no = np.full((k, k + 1), 0.5), np.full((k, k + 1), 7.5)
+    yes[np.arange(k), np.arange(k) + 1], no[np.arange(k), np.arange(k) + 1] = 9, 1
+    yes[:, 0], no[:, 0] = 0.001 * BELIEF * n + 0.1, 0.999 * BELIEF * n + 1
     for _ in range(rounds):
-        old = good
-        prior = float(np.clip((count * good).sum() / max(1, count.sum()), 1e-3, 1 - 1e-3))
-        for k in range(len(LABELLERS)):
-            for c, (weight, vote) in enumerate(((count * (1 - good), BAD), (count * good, GOOD))):
-                said = v[:, k] != ABSTAIN
-                yes, no = (2, 6) if c == 0 else (0.995 * BELIEF * count.sum() + 1, 0.005 * BELIEF * count.sum() + 0.1)
-                right[k, c] = ((weight * (v[:, k] == vote)).sum() + yes) / ((weight * said).sum() + yes + no)
-        log = np.log(prior / (1 - prior)) + np.where(v == GOOD, np.log(right[:, 1] / (1 - right[:, 0])), np.where(v == BAD, np.log((1 - right[:, 1]) / right[:, 0]), 0)).sum(1)
-        good = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
-        if np.abs(good - old).max(initial=0) < 1e-9:
+        old = of
+        weight = count[:, None] * of
+        share = np.clip(weight.sum(0) / n, 1e-6, None)
+        rate = (bad.T @ weight + yes) / (said.T @ weight + yes + no)  # labeller; how often it calls the class bad
+        log = np.log(share / share.sum()) + bad @ np.log(rate) + (said & ~bad) @ np.log(1 - rate)
+        of = np.exp(log - log.max(1, keepdims=True, initial=-np.inf))
+        of /= of.sum(1, keepdims=True)
+        if np.abs(of - old).max(initial=0) < 1e-9:
             break
-    return good, right, prior
+    share = share / share.sum()
+    found = rate[:, 1:] @ share[1:] / share[1:].sum()
+    return of[:, 0], np.stack([found, 1 - rate[:, 0]], 1), float(share[0])
 
 
 @dataclass

@@ -1,6 +1,7 @@
 """Decontamination, packing, WARC, search, shards, secrets, quality."""
 
 import gzip
+import random
 import re
 from collections import defaultdict
 from hashlib import sha1, sha256
@@ -8,7 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
-from corpus import rows, table
+from corpus import rows, sentence, table
 from pyspark.sql import functions as F
 
 from glyphflow.llm import decontamination, packing, quality_classifier, secret_scan, sharding, topk_search, warc
@@ -241,6 +242,20 @@ def test_quality(spark):
     assert quality_classifier.classify(table(spark, [])).count() == 0
 
 
+def test_insults(spark):
+    """Prose with insults goes; one insult in a long text does not decide."""
+    rng = random.Random(8)
+    given = [(i, sentence(rng, rng.randint(40, 150)) + ".") for i in range(150)]
+    for k in range(12):
+        words = sentence(rng, 90).split(" ")
+        for word in rng.sample(["Idiot,", "pathetic", "MORON!", "stupid."], 3):
+            words.insert(rng.randrange(len(words)), word)
+        given.append((1000 + k, " ".join(words) + "."))
+    given.append((2000, sentence(rng, 3000) + " stupid " + sentence(rng, 3000) + "."))
+    out = {r.doc_id: r.accepted for r in quality_classifier.classify(table(spark, given)).collect()}
+    assert [i for i, kept in sorted(out.items()) if not kept] == list(range(1000, 1012))
+
+
 def test_label_model_finds_who_is_right():
     rng = np.random.default_rng(4)
     good = rng.random(20000) < 0.8
