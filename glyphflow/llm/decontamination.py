@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm.blocks import U64, WORDS, mix, runs, slices
+from glyphflow.llm.blocks import U64, WORDS, give_back, mix, runs, slices
 
 SPAN = 13
 GRAM = 5
@@ -175,6 +175,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                     columns[2] = pa.array([sorted({*o[names[2]], *f[2]}) for o, f in zip(old, found)], kinds[2])
                     b = b.select([c for c in b.schema.names if c not in names])
                 yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *names])
+            del index
+            give_back()
 
         kept = kept.mapInArrow(add, schema)
     return kept

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.llm import routed_sketch as sketch
-from glyphflow.llm.blocks import U64, Words, in_blocks, mix, slices, text_bytes
+from glyphflow.llm.blocks import U64, Words, give_back, in_blocks, mix, slices, text_bytes
 from glyphflow.llm.components import components
 from glyphflow.llm.skew import left_join, small
 from glyphflow.llm.storage import materialize
@@ -206,6 +206,7 @@ def link_sets(nodes: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> D
             if rest:
                 linked = set(_Circle(rest, percent).linked(centre).tolist())
                 out += [(hub, x[0], k in linked) for k, x in enumerate(rest)]
+        give_back()
         return sketch.table(out, ["hub", "node", "linked"], [pa.int64(), pa.int64(), pa.bool_()])
 
     tried = dealt(members.unionByName(centres)).select(columns).groupBy("g").applyInArrow(with_hub, "hub long, node long, linked boolean")
@@ -240,6 +241,7 @@ def link_sets(nodes: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> D
                             own_group = group[k]
                         else:
                             group[group == group[k]] = own_group
+        give_back()
         return sketch.table(out, ["a", "b"], [pa.int64(), pa.int64()])
 
     more = dealt(left.unionByName(right)).select(columns).groupBy("g").applyInArrow(rest, "a long, b long")
@@ -255,12 +257,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def send(t: pa.Table) -> pa.Table:
         s = _Shingles(t, shingle)
-        return sketch.sent_table(sketch.cell_rows(t["block"][0].as_py(), s.unique, s.docs, shape))
+        out = sketch.sent_table(sketch.cell_rows(t["block"][0].as_py(), s.unique, s.docs, shape))
+        del s
+        give_back()
+        return out
 
     def describe(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         s = _Shingles(t, shingle)
         count = sketch.estimates(s.unique, s.docs, shape, dict(zip(answers["key"].to_pylist(), answers["totals"].to_pylist())))
-        return _describe(s, count, t, key[0].as_py(), percent)
+        out = _describe(s, count, t, key[0].as_py(), percent)
+        del s, count
+        give_back()
+        return out
 
     answers = sketch.merged(base.groupBy("block").applyInArrow(send, sketch.SENT), shape)
     found = materialize(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(describe, _FOUND), "shingles")

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphflow.llm.blocks import give_back
 from glyphflow.llm.storage import materialize
 
 LENGTH = 2048
@@ -110,6 +111,7 @@ def tokenize(docs: DataFrame, path: str, size: int, id_col: str = "doc_id", text
         for b in batches:
             ids = [np.append(own.ids(t or ""), END_ID).astype(kind).tobytes() for t in b["text"].to_pylist()]
             yield pa.record_batch([b["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
@@ -265,6 +267,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                 tokens += len(one)
         if own:
             yield put()
+        give_back()
 
     return ids.mapInArrow(deal, PIECE + (", ids binary" if with_ids else ""))
 

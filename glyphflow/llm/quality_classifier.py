@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm.blocks import U64, Words, mix, slices
+from glyphflow.llm.blocks import U64, Words, give_back, mix, slices
 
 FEATURES = 256
 THRESHOLD = 0.5
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         cells = [up[0] * width + up[1], *(np.arange(width) + (p + width) * width for p in sums)]
         values = [square[up], *sums.values()]
         yield pa.record_batch([pa.array(np.concatenate(cells), pa.int64()), pa.array(np.concatenate(values), pa.float64())], names=["cell", "value"])
+        give_back()
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(add, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).where("value <> 0").toPandas()
     table = np.zeros((width, width))
@@ -221,6 +222,7 @@ def classify(docs: DataFrame, model: Model | None = None, text_col: str = "text"
             none = words_of == 0
             columns = [pa.array(out, pa.float64(), mask=none), pa.array(label, pa.float64()), pa.array((out >= threshold) & ~none, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *columns], names=[*keep, *names])
+        give_back()
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return docs.mapInArrow(score, ", ".join([*fields, "score double", "label_posterior double", "accepted boolean"]))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphflow.llm.blocks import U64, mix, pack, pack_sorted, unpack, unpack_sorted
+from glyphflow.llm.blocks import U64, give_back, mix, pack, pack_sorted, unpack, unpack_sorted
 
 DEPTH = 2
 MOST = 65535
@@ -96,7 +96,10 @@ def merged(sent: DataFrame, shape: Shape) -> DataFrame:
             old = total[c]
             n = unpack(n, np.uint16)
             total[c] = old + np.minimum(n, MOST - old)
-        return pa.table([t["block"], t["key"], pa.array([pack(total[c]) for c in cells], pa.binary())], names=["block", "key", "totals"])
+        out = pa.table([t["block"], t["key"], pa.array([pack(total[c]) for c in cells], pa.binary())], names=["block", "key", "totals"])
+        del total, cells
+        give_back()
+        return out
 
     return sent.groupBy("key").applyInArrow(add, ANSWER)
 
