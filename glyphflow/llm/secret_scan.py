@@ -3,11 +3,14 @@
 Besides the fixed patterns, every run of 16 or more characters of base64 or of identifiers that
 follows a sensitive word (within ``CONTEXT`` characters) is a candidate.  Its novelty is what it adds
 to a zstandard frame: the compressed size of the surrounding code with the candidate, less that
-without, with a dictionary of common identifiers and code loaded before both.  Prose, names put
-together from known words, repeated characters and paths cost fewer bytes than they have; keys and tokens cost all
-of theirs.  Candidates of at least ``NOVEL`` bytes a character, with digits and letters, are
-reported.  The work on a text is linear in its length: patterns run once over it, and the
-compressor sees only a bounded surrounding for each candidate.
+without, with a dictionary of common identifiers and code loaded before both.  What that means depends
+on the place and the length, for the entropy coder may take up to a quarter (of hexadecimal digits: half) of
+the bytes of any text.  So it is measured against ``RANDOM`` random strings of the same length, over the
+smallest of ``ALPHABETS`` that has all the candidate's characters, in the same place: prose, names put together
+from known words, repeated characters and paths cost less than these, keys and tokens cost as much.
+Candidates with a digit of at least ``NOVEL`` of the mean cost, or all but ``SLACK`` bytes of it, are
+reported: the cost of short random strings varies by some bytes.  The work on a text is linear
+in its length: patterns run once over it, and the compressor sees a candidate and a bounded surrounding.
 
 Defined results.  A null text is an empty one and has no spans.  Positions count code points, ends
 are exclusive.  Spans of the fixed patterns are leftmost and do not overlap within their kind, and
@@ -21,6 +24,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from hashlib import sha256
+from random import Random
 
 import pyarrow as pa
 import zstandard
@@ -38,7 +42,12 @@ DIGIT = re.compile(r"[0-9]")
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie|salt", re.I | re.A)
 CONTEXT = 48
 AROUND = 512
-NOVEL = 1.0
+NOVEL = 0.92
+SLACK = 4
+RANDOM = 4
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Smaller ones first.
+ALPHABETS = [_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER + _DIGITS, _UPPER + _DIGITS, _LOWER + _UPPER + _DIGITS, _LOWER + _UPPER + _DIGITS + "+/_=-"]
 #: What code around a secret is made of.
 IDENTIFIERS = """
 abstract access account active address admin alias amount api app apple application argument array assert async attribute auth author authorization await backend base batch bearer begin binary block body boolean branch break bucket buffer build builder byte cache call callback catch category cell certificate change channel character charset check child class clear client clone close cloud cluster code collection color column command comment commit common compile component config configuration connect connection console const constant constructor container content context continue control controller convert cookie copy core count create credential cursor customer data database date debug decode default delete deploy description destination detail device dictionary directory disable display document domain double download driver element email enable encode encoding endpoint engine entity entry enum environment error event example exception execute expire export extends extension factory false feature fetch field file filter final finally find first flag float folder format frame framework from function gateway generate get global group guest handle handler hash header height hidden host html http https icon identifier image implementation import include index info init input insert instance int integer interface internal invalid item iterator javascript job join json key keyword kind label lambda language last layer layout length level library license limit line link list listen load local localhost location lock log logger login logout long main manager map mapping master match message metadata method middleware migration mobile mode model modifier module monitor mount name namespace native network next node none normal notification null number object offset open operation option optional order origin output override owner package page parameter parent parse parser partition password path pattern payload permission phone platform plugin point pointer policy pool port position post prefix previous primary print private process processor product production profile program project promise property protected protocol provider proxy public query queue random range read reader record redirect reference refresh region register release remote remove render repository request required reset resource response result return role root route router row rule runtime sample save schedule schema scope script search secret section secure security select sequence serializer server service session set setting setup shared signature size sleep socket sort source specification staging start state statement static status step storage store stream string struct style subject submit success suffix super support switch symbol sync system table tag target task template temporary test text theme thread threshold throw time timeout timestamp title token tool total trace transaction transform transport tree trigger true try type undefined union unique unit update upload upstream url user username utility valid validate value variable vector vendor version view virtual visible void volume wait warning watch web webhook width window worker workflow wrapper write writer yaml year zone
@@ -55,9 +64,18 @@ class Novelty:
         words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.frame = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False)
 
-    def bytes(self, before: str, candidate: str, after: str) -> int:
+    def costs(self, before: str, candidates: list[str], after: str) -> list[int]:
         code = (before + after).encode()
-        return len(self.frame.compress(code + candidate.encode())) - len(self.frame.compress(code))
+        without = len(self.frame.compress(code))
+        return [len(self.frame.compress(code + c.encode())) - without for c in candidates]
+
+    def above(self, before: str, candidate: str, after: str, least: float) -> float:
+        """Bytes that a candidate costs beyond what it takes, by what random strings like it cost; the same each time."""
+        rng, used = Random(candidate), set(candidate)
+        alphabet = next((a for a in ALPHABETS if used <= set(a)), ALPHABETS[-1])
+        own, *others = self.costs(before, [candidate, *("".join(rng.choices(alphabet, k=len(candidate))) for _ in range(RANDOM))], after)
+        mean = sum(others) / RANDOM
+        return own - min(least * mean, mean - SLACK)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -80,7 +98,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
         before = bisect_left(taken, (b,))
         if before and ends[before - 1] > a:
             continue
-        if novelty.bytes(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= least * (b - a):
+        if novelty.above(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND], least) >= 0:
             out.append((a, 3, b))
     return out
 

@@ -231,6 +231,24 @@ def test_secrets(spark):
     assert secret_scan.scan(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_secrets_of_all_lengths(alphabet):
+    """The entropy coder shortens random text too; what is made of words is still plain."""
+    rng = random.Random(11)
+    code = "".join(f"    def connect_{k}(self, session, timeout={k}):\n        return self.session.get(url, timeout=timeout)\n" for k in range(8))
+    novelty = secret_scan.Novelty()
+    for n in (16, 24, 40, 64, 128, 256, 512, 1000, 4000):
+        found = 0
+        for k in range(12):
+            secret = "".join(rng.choices(alphabet, k=n - 1)) + "7"
+            before = [code + 'client.authorization = "', code + 'x = { privateKey: "', sentence(rng, 150) + " the key is "][k % 3]
+            after = [f'"\n{code}', f'" }}\n{code}', " " + sentence(rng, 150)][k % 3]
+            found += secret_scan.novel_spans(before + secret + after, [], novelty) == [(len(before), 3, len(before) + n)]
+        assert found >= (9 if n < 32 else 11), n
+    for plain in ("get_user_access_token_from_request_2", "sessionHandler2FactoryImplementation", "a1" * 40, "x" * 300 + "1", "src/main/java/com/example/service1/impl"):
+        assert not secret_scan.novel_spans(f'{code}session = "{plain}"\n{code}', [], novelty)
+
+
 def test_quality(spark):
     junk = ["BUY!! NOW!! CHEAP!! PILLS!! HERE!! FAST!! " * 8, "spam " * 80, "a | b | cdefg | hij | klm | nop | " * 9, "w$$$ x### y%%% zz&&& q*** " * 12]
     given = [(i, t) for i, t in rows() if t and 40 < len(t.split()) < 1000]
