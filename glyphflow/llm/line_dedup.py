@@ -15,7 +15,8 @@ thresholds join hot segments with themselves.
 
 Order is by id (none comes last), row, place in the text.  A line goes if an equal line comes before it, or
 if the first line equal to it is within the threshold of a line whose first place is before its own.
-Lines of fewer than ``least`` characters stay: they repeat by chance.
+Lines of fewer than ``least`` characters are no near copies: a few edits make any of them another.
+As exact copies they go too with ``short``, as in ``clean`` and the query; lines of white space alone stay.
 
 Defined results.  Lines end at line feeds.  A null or empty text has no lines and its kept text is
 empty.  Repeated rows are later copies, and lose their long lines.  Other columns are kept; columns of the
@@ -86,10 +87,10 @@ def within(a: str, b: str, edits: int) -> Column:
             x -> x.cost))[0] <= {edits})""")
 
 
-def distinct_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """``id, h1, h2, length, n, first`` and the keys of each distinct line."""
+def distinct_lines(lines: DataFrame, edits: int, least: int = 0) -> DataFrame:
+    """``id, h1, h2, length, n, first`` and the keys of each distinct line, null for lines of fewer than ``least`` characters."""
     entries = _entries(F.length("line"), F.col("line"), edits)
-    keyed = lines.select("doc_id", "row", "place", *_hashes(), F.length("line").alias("length"), *(k.alias(f"k{i}") for i, (k, _) in enumerate(entries)))
+    keyed = lines.select("doc_id", "row", "place", *_hashes(), F.length("line").alias("length"), *(F.when(F.length("line") >= least, k).alias(f"k{i}") for i, (k, _) in enumerate(entries)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "place")).alias("first")
     found = keyed.groupBy("h1", "h2", "length", *(f"k{i}" for i in range(len(entries)))).agg(first, F.count(F.lit(1)).alias("n"))
     return materialize(found.withColumn("id", F.monotonically_increasing_id()), "lines")
@@ -153,11 +154,12 @@ def near_lines(lines: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     return met.where(within("line_a", "line_b", edits)).select("a", "b", "first_a", "first_b")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_repeated`` (copies of an earlier line), ``n_near`` (first lines within
-    the threshold of an earlier one) and ``kept_text`` (the other lines)."""
-    lines = lines_of(docs, id_col, text_col).where(F.length("line") >= least)
-    known = distinct_lines(lines, edits)
+    the threshold of an earlier one) and ``kept_text`` (the other lines).  ``short``: exact copies of any length go."""
+    wanted = F.length("line") >= least
+    lines = lines_of(docs, id_col, text_col).where(wanted | F.col("line").rlike(r"\S") if short else wanted)
+    known = distinct_lines(lines, edits, least)
     links = near_lines(lines, known, edits)
     later = materialize(links.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "later").withColumn("near", F.lit(True))
     listed = known.select("id", "h1", "h2", "n", "first").join(later, "id", "left").where("n > 1 or near")
@@ -190,7 +192,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_
     """``docs`` with its texts less the lines that go, and their sizes."""
     names = ["n_lines", "n_repeated", "n_near", "kept_text"]
     free = docs.withColumnsRenamed({old: f"__own_{old}" for old in names if old in docs.columns})
-    out = dedup_lines(free, id_col, text_col)
+    out = dedup_lines(free, id_col, text_col, short=True)
     cut = (F.col("n_repeated") + F.col("n_near")) > 0
     new = {text_col: F.when(cut, F.col("kept_text")).otherwise(F.col(text_col))}
     if size_col in docs.columns:
@@ -200,4 +202,4 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_repeated", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return dedup_lines(docs, short=True).select("doc_id", "n_lines", "n_repeated", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -162,6 +162,17 @@ def test_lines(spark, tmp_path, monkeypatch, edits, bucket):
     assert {r.doc_id: (r.n_repeated, r.n_near, r.kept_text) for r in found} == lines_by_hand(given, edits)
 
 
+def test_short_lines(spark, tmp_path):
+    """Exact copies go whatever their length, near copies only if they are long; blank lines stay."""
+    given = [(1, "And ornd.\n\n}\n  \nOf, edti oner."), (2, "}\n\nAnd ornd.\nAnd ornd!\n  \nx"), (3, "x\nOf, edti oner.")]
+    written(spark, tmp_path / "sf" / "documents.parquet", given)
+    docs = spark.read.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    kept = {1: given[0][1], 2: "\nAnd ornd!\n  \nx", 3: ""}
+    assert {r.doc_id: r.text for r in line_dedup.clean(docs).collect()} == kept
+    found = {r.doc_id: (r.n_lines, r.n_repeated, r.n_near) for r in line_dedup.query(spark, str(tmp_path / "sf")).collect()}
+    assert found == {1: (5, 0, 0), 2: (6, 2, 0), 3: (2, 2, 0)}
+
+
 def test_lines_cleaned(spark, tmp_path):
     docs = written(spark, tmp_path / "cleaned").withColumn("n_lines", F.lit("own"))
     out = line_dedup.clean(docs)
