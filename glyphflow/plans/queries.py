@@ -213,9 +213,19 @@ def distinct_errors(spark, sf):
 
 @query
 def near_common_words(spark, sf):
+    """Words of up to four letters only, as its SQL has it; ``near_common_all_words`` takes all."""
     return D.near_common(_words(spark, sf).where(F.length("word") <= 4), _common(spark, sf))
 
 
+@query
+def near_common_all_words(spark, sf):
+    """Words of any length.  Those longer than the longest common word by two letters or more cannot be near one."""
+    common = _common(spark, sf)
+    longest = common.agg(F.max(F.length("word")).alias("longest"))
+    words = _words(spark, sf).crossJoin(F.broadcast(longest)).where("length(word) <= longest + 1").select("word")  # one row
+    return D.near_common(words, common)
+
+
 @query
 def short_uncommon_errors(spark, sf):
     return D.potential_errors(_words(spark, sf), _dictionary(spark, sf), _common(spark, sf)).where("known").select("word")

@@ -41,6 +41,35 @@ def test_tokens(spark):
     assert K.pattern_nodes(patterns).first().nodes == 1 + len({"h", "he", "her", "hers", "s", "sh", "she"})
 
 
+def test_near_common_all_words(spark, tmp_path):
+    """Against brute force, with long words; one has far more letters than any common word."""
+    from glyphflow.plans.queries import QUERIES
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 11))) for _ in range(60)]
+    for w in base[:30]:
+        k = rng.randrange(len(w))
+        base += [w[:k] + rng.choice("xyz") + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + w[k : k + 2][::-1] + w[k + 2 :]]
+    many = [f"{a}{b}{c}q" for a in "efgh" for b in "ijklmnop" for c in "rstuvwxyzabcdefghijklmnop"] + [f"{a}{b}{c}qq" for a in "efgh" for b in "ijklmnop" for c in "rstu"]
+    frequent = [w for w in base[:40] if w] + many
+    texts = [" ".join(frequent)] * 2 + [" ".join(w for w in base if w)] + ["w" * 400]
+    frame(spark, *texts).select(F.col("doc_id").cast("long").alias("doc_id"), "text").write.parquet(str(tmp_path / "documents.parquet"))
+    common = {r.word for r in QUERIES["common_words"](spark, str(tmp_path)).collect()}
+
+    def one_edit(a, b):
+        if len(a) == len(b):
+            wrong = [k for k in range(len(a)) if a[k] != b[k]]
+            return len(wrong) == 1 or (len(wrong) == 2 and wrong[1] == wrong[0] + 1 and a[wrong[0]] == b[wrong[1]] and a[wrong[1]] == b[wrong[0]])
+        short, long = sorted((a, b), key=len)
+        return len(long) == len(short) + 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+    every = {w for t in texts for w in t.split()}
+    by_hand = {w for w in every if any(one_edit(w, c) and not w.startswith(c) and not c.startswith(w) for c in common)}
+    found = [r.word for r in QUERIES["near_common_all_words"](spark, str(tmp_path)).collect()]
+    assert len(found) == len(set(found)) and set(found) == by_hand
+    assert any(len(w) > 4 for w in by_hand) and by_hand != every
+
+
 def test_lookup(spark, words, common):
     given = spark.createDataFrame([("teh",), ("the",), ("form",), ("then",), ("zz",)], "word string")
     assert {r.word for r in D.known(given, words).collect()} == {"the", "form", "then"}
