@@ -28,3 +28,11 @@ def left_join(rows: DataFrame, one: DataFrame, keys: list[str], spread: Column,
     if one_rows * row_bytes <= SMALL_BYTES:
         return rows.join(F.broadcast(one), keys, "left")
     return salted_left_join(rows, one, keys, spread)
+
+
+def inner_join(rows: DataFrame, one: DataFrame, keys: list[str], spread: Column, one_rows: int, row_bytes: int, salt: int = SALT) -> DataFrame:
+    """Inner join with a table of a row for each key: broadcast if that is small, else salted."""
+    if one_rows * row_bytes <= SMALL_BYTES:
+        return rows.join(F.broadcast(one), keys)
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salt)).cast("int"))
+    return left.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), [*keys, "__salt"]).drop("__salt")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of this machine only where the session sets none."""
+    """``spark.checkpoint.dir``; a folder of this machine only where the session sets none and runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="glyphflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -129,14 +129,15 @@ def lines_by_hand(given, edits=1, least=24):
     first = {}
     for i, t in given:
         for p, x in enumerate(t.split("\n") if t else []):
-            if len(x) >= least:
+            if x.strip():
                 first.setdefault(x, (i, p))
-    near = {b for a in first for b in first if first[a] < first[b] and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
+    long = [x for x in first if len(x) >= least]
+    near = {b for a in long for b in long if first[a] < first[b] and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
     out = {}
     for i, t in given:
         kept, repeated, close = [], 0, 0
         for p, x in enumerate(t.split("\n") if t else []):
-            if len(x) >= least and first[x] != (i, p):
+            if x in first and first[x] != (i, p):
                 repeated += 1
             elif x in near:
                 close += 1
@@ -167,7 +168,7 @@ def test_short_lines(spark, tmp_path):
     given = [(1, "And ornd.\n\n}\n  \nOf, edti oner."), (2, "}\n\nAnd ornd.\nAnd ornd!\n  \nx"), (3, "x\nOf, edti oner.")]
     written(spark, tmp_path / "sf" / "documents.parquet", given)
     docs = spark.read.parquet(str(tmp_path / "sf" / "documents.parquet"))
-    kept = {1: given[0][1], 2: "\nAnd ornd!\n  \nx", 3: ""}
+    kept = {1: given[0][1], 2: "\nAnd ornd!\n  \nx"}  # nothing is left of the third
     assert {r.doc_id: r.text for r in line_dedup.clean(docs).collect()} == kept
     found = {r.doc_id: (r.n_lines, r.n_repeated, r.n_near) for r in line_dedup.query(spark, str(tmp_path / "sf")).collect()}
     assert found == {1: (5, 0, 0), 2: (6, 2, 0), 3: (2, 2, 0)}
@@ -178,7 +179,9 @@ def test_lines_cleaned(spark, tmp_path):
     out = line_dedup.clean(docs)
     assert out.columns == docs.columns
     by_hand = lines_by_hand(rows())
-    for r in out.collect():
+    found = out.collect()
+    assert {r.doc_id for r in found} == {i for i, (repeated, near, kept) in by_hand.items() if not repeated + near or kept.strip()}
+    for r in found:
         repeated, near, kept = by_hand[r.doc_id]
         assert r.n_lines == "own"
         assert r.text == (kept if repeated + near else dict(rows())[r.doc_id])
