@@ -157,8 +157,10 @@ def _by_fragments(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """Links ``a``-``b`` of distinct lines of ``least`` characters or more within ``edits``; a line's name is its first place."""
     long = lines.where(F.length("line") >= least)
-    entry = F.array(*(F.struct(k.alias("key"), F.lit(p).alias("probe")) for k, p in _entries(F.length("line"), F.col("line"), edits)))
-    entries = long.select(F.inline(F.filter(entry, lambda e: e["key"].isNotNull())), *_hashes(), _first())
+    made = _entries(F.length("line"), F.col("line"), edits)
+    keyed = long.select(*_hashes(), _first(), *(k.alias(f"k{i}") for i, (k, _) in enumerate(made)))
+    stacked = F.stack(F.lit(len(made)), *(x for i, (_, p) in enumerate(made) for x in (F.col(f"k{i}"), F.lit(p)))).alias("key", "probe")
+    entries = keyed.select("h1", "h2", "id", stacked).where("key is not null")
     members = materialize(_shared(entries), "members")
     refine = edits == 1
     few = members.where(F.col("met") <= BUCKET) if refine else members
