@@ -67,7 +67,7 @@ class Words:
         inside = np.zeros(len(data) + 1, np.int8)
         inside[1:] = ~WHITE[data]
         step = np.diff(inside)
-        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        starts, ends = self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         at = np.zeros(len(texts), np.int64)
         np.cumsum([len(t) + 1 for t in texts[:-1]], out=at[1:])
         self.hash = mix(runs(data.astype(U64) + U64(1), CHARS, starts, ends))

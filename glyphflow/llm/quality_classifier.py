@@ -1,23 +1,31 @@
-"""Quality of documents by weak supervision: heuristic labellers, a label model and a linear scorer.
+"""Quality of documents by weak supervision: overlapping labellers, a label model and a linear scorer.
 
-1. Overlapping heuristics (``LABELLERS``) each call a document good, bad or abstain.
-2. Expectation-maximisation over the counts of the vote patterns estimates how often each labeller
-   is right on good documents and on each kind of bad ones, and from that the posterior of each pattern.
-3. The posteriors are the targets of a ridge regression on hashed features: trigrams of character
-   classes, shares of repeated words and of insults, in ``FEATURES`` buckets.
+1. Overlapping labellers (``LABELLERS``) each call a document good, bad or abstain.  Eight are measures of
+   form; a share is held against its bound together with its standard error, so short texts are called bad
+   only by what chance cannot explain.  The ninth counts words and beginnings of words that are significantly
+   more frequent in texts labelled toxic; which these are is learned from the labels alone.  It
+   works by passages of ``PASSAGE`` words, so abuse in a part of a long text counts.
+2. Expectation-maximisation over the counts of the vote patterns of all documents estimates how often each
+   labeller is right on good and on bad documents, and from that the posterior of each pattern.  Labelled
+   documents are known to it and weigh as much as all others together; the prior has the weight of
+   ``PRIOR`` votes at every size.
+3. The posteriors, of labelled documents the labels, are the targets of a logistic regression on hashed
+   features: words, beginnings of words, trigrams of character classes, and the measures.
 
-All documents take part in both fits: one pass adds up the pattern counts, the features' moments and
-the features' sums by pattern; these sums are of a fixed size (at most 3**9 patterns and
-``FEATURES`` squared cells) and only they reach the driver.  A second pass scores.
+All documents take part in the label model: one pass adds up the pattern counts (at most 3**9 patterns).
+The words and the scorer are fitted on a documented, bounded sample: about ``SAMPLE`` labelled documents and
+as many others, those with the smallest hashes of id and text.  Only these reach the driver.  A last pass scores.
 
 Defined results.  A text that is null or has no words gets no score and is rejected.  Ties of the
-score with the threshold are kept.  Rows without id and repeated rows are rows like others.  Other
+score with the threshold are kept.  Rows without id and repeated rows are rows like others; a document that is labelled
+twice is bad if any label says so; labels that are null say good.  Without labels, or without toxic ones, the ninth labeller abstains.
+A very long text is a slice by itself: its arrays take some 50 bytes for each of its own.  Other
 columns are kept; columns of the result's names are replaced.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +34,31 @@ from pyspark.sql import functions as F
 
 from glyphflow.llm.blocks import U64, Words, give_back, mix, slices
 
-FEATURES = 256
 THRESHOLD = 0.5
-RIDGE = 1e-4
-LEAST_WORDS = 20
-BELIEF = 1.0
+SAMPLE = 20_000
+PRIOR = 50.0
+PASSAGE = 64
+SIGNIFICANT = 25.0
+LEAST_TOXIC = 3
+CLASSES = 256
+BUCKETS = 1 << 18
+EPOCHS, STEPS, BATCH, RATE, RIDGE = 6, 600, 256, 0.05, 1e-5
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
-#: (measure, bad from, good to, words that it takes at least); a negative measure is its opposite.
+#: (measure, bad from, good to)
 LABELLERS = [
-    ("symbols", 0.05, 0.02, 1),
-    ("capitals", 0.4, 0.12, 4),
-    ("repeats", 0.3, 0.1, 4),
-    ("pipes", 0.1, 0.02, 4),
-    ("sameness", 0.6, 0.45, LEAST_WORDS),  # 1 - distinct words / words
-    ("long_words", 6.6, 5.8, LEAST_WORDS),  # bytes a word
-    ("shouts", 0.3, 0.1, LEAST_WORDS),  # exclamation marks a word
-    ("ends", 0.7, 0.35, LEAST_WORDS),  # words that end in punctuation
-    ("insults", 0.002, 0.0005, 1),  # words of ``INSULTS``
+    ("symbols", 0.05, 0.02),  # of the visible characters
+    ("capitals", 0.4, 0.12),
+    ("repeats", 0.3, 0.1),  # words equal to the one before
+    ("pipes", 0.1, 0.02),  # a word
+    ("sameness", 0.6, 0.45),  # 1 - distinct words / words
+    ("long_words", 6.6, 5.8),  # bytes a word
+    ("shouts", 0.3, 0.1),  # exclamation marks a word
+    ("ends", 0.7, 0.35),  # words that end in punctuation
+    ("abuse", 3.0, 0.5),  # log likelihood ratio of the worst passage
 ]
-# Common insults of English, German, French and Spanish, in lower case.
-INSULTS = """
-bastard clown crap creep disgusting dumb freak garbage idiot idiotic idiots imbecile jerk loser losers lunatic moron morons pathetic
-pervert retard scum scumbag stupid sucker trash vermin weirdo worthless
-abschaum arschloch depp dreckskerl dummkopf idioten mistkerl scheusal trottel vollidiot widerlich wichser
-abruti abrutie connard connasse crétin débile enfoiré imbécile minable ordure racaille salaud salope
-basura cabrón despreciable estúpida estúpido gilipollas idiota imbécil inútil pendejo perdedor payaso
-""".split()
 PATTERNS = 3 ** len(LABELLERS)
+ERRORS = 2.0  # standard errors that a measure is beyond its bound
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 1
@@ -62,16 +67,87 @@ _CLASS[48:58] = 3
 _CLASS[[9, 10, 11, 12, 13]] = 4
 _CLASS[32] = 5
 _CLASS[33:48], _CLASS[58:65], _CLASS[91:97], _CLASS[123:128] = range(6, 21), range(21, 28), range(28, 34), range(34, 39)
-_BUCKET = (mix(np.arange(64**3, dtype=U64), 31) % U64(FEATURES - 3)).astype(np.int64) + 3  # the first three are for repeated words and insults
+_BUCKET = (mix(np.arange(64**3, dtype=U64), 31) % U64(CLASSES - 2 * len(LABELLERS))).astype(np.int64)
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*|~^_=<>@{}[]\\!", np.uint8))
 _CAPITAL = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _MARK = (_CLASS >= 6) & (_CLASS < 39)
 _PLAIN = bytes(32 if _MARK[b] else b + 32 * _CAPITAL[b] for b in range(256))
-_INSULT = Words([" ".join(INSULTS).encode()]).hash
 
 
-def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: words, vote pattern (digits in base three), features."""
+@dataclass
+class Lexicon:
+    """Terms of abusive passages, by ascending hash, with what each says; ``rate`` is what a word without any says."""
+
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rate: float = 0.0
+
+    def says(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, self.weight[at], 0.0)
+
+
+@dataclass
+class Texts:
+    """What is told of some texts."""
+
+    words: np.ndarray
+    measures: np.ndarray  # text, labeller; the last one is for the lexicon
+    error: np.ndarray
+    classes: np.ndarray
+    plain: np.ndarray  # words without punctuation of each text
+    doc: np.ndarray  # the text of each such word
+    terms: np.ndarray  # kind (whole, 4 bytes, 6 bytes), word: hashes
+
+    def judged(self, lexicon: Lexicon) -> np.ndarray:
+        """The measures with that of the lexicon: the worst passage, less what so many passages give by chance."""
+        out = self.measures.copy()
+        if len(lexicon.terms) and len(self.doc):
+            said = np.max([lexicon.says(t) for t in self.terms], axis=0)
+            first = np.cumsum(self.plain) - self.plain
+            count = -(-self.plain // PASSAGE)
+            start = np.cumsum(count) - count
+            passage = start[self.doc] + (np.arange(len(self.doc)) - first[self.doc]) // PASSAGE
+            ratio = np.bincount(passage, said - lexicon.rate, minlength=int(count.sum()))
+            some = np.flatnonzero(count)
+            out[some, -1] = np.maximum.reduceat(ratio, start[some]) - np.log(count[some])
+        return out
+
+    def pattern(self, lexicon: Lexicon) -> np.ndarray:
+        """The votes as digits in base three."""
+        judged = self.judged(lexicon)
+        out = np.zeros(len(self.words), np.int64)
+        for j, (name, bad, good) in enumerate(LABELLERS):
+            x, e = judged[:, j], ERRORS * self.error[:, j]
+            vote = np.where(x - e >= bad, BAD, np.where(x <= good, GOOD, ABSTAIN))
+            if name == "abuse" and not len(lexicon.terms):
+                vote[:] = ABSTAIN
+            out = out * 3 + vote
+        return out
+
+    def buckets(self, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, bucket, value) of all features that are not 0; a bucket can stand several times for a text."""
+        lexical = [CLASSES + (mix(t, 41 + k) >> U64(64 - 18)).astype(np.int64) for k, t in enumerate(self.terms)]
+        share = 4 / np.maximum(1, self.plain)
+        # A measure up to its bound, and beyond it.
+        held = (self.judged(lexicon) - ERRORS * self.error) / [b for _, b, _ in LABELLERS]
+        dense = np.hstack([np.clip(held, 0, 1), np.clip(4 * (held - 1), 0, 1), self.classes])
+        doc, column = np.nonzero(dense)
+        texts = [doc, *([self.doc] * len(lexical))]
+        values = [dense[doc, column], *([share[self.doc]] * len(lexical))]
+        return np.concatenate(texts), np.concatenate([column, *lexical]), np.concatenate(values)
+
+
+def _beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the first ``n`` bytes of words; of a shorter word, of all of it."""
+    value = np.full(len(starts), n, U64)
+    for k in range(n):
+        inside = starts + k < ends
+        value = value * U64(257) + np.where(inside, data[np.minimum(starts + k, len(data) - 1)].astype(U64) + U64(1), U64(0))
+    return mix(value, 61)
+
+
+def describe(texts: list[bytes]) -> Texts:
     n = len(texts)
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     length = np.array([len(t) + 1 for t in texts])
@@ -83,39 +159,65 @@ def describe(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     visible = np.bincount(doc[(kind != 4) & (kind != 5)], minlength=n)
     of = lambda mask: np.bincount(doc[mask], minlength=n)
     same = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-    repeats = np.bincount(w.doc[1:][same], minlength=n) / per_word
     order = np.lexsort((w.hash, w.doc))
     h, d = w.hash[order], w.doc[order]
     new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]
-    distinct = np.bincount(d[new], minlength=n)
     last = np.flatnonzero(_MARK[data[:-1]] & ((kind[1:] == 4) | (kind[1:] == 5)))
-    bangs = of(data == 33)
-    plain = Words([t.translate(_PLAIN) for t in texts])
-    insults = np.bincount(plain.doc[np.isin(plain.hash, _INSULT)], minlength=n) / np.maximum(plain.count, 1)
-    measures = {
-        "symbols": of(_SYMBOL[data]) / np.maximum(visible, 1),
-        "capitals": of(_CAPITAL[data]) / np.maximum(visible, 1),
-        "repeats": repeats,
-        "pipes": of(data == 124) / per_word,
-        "sameness": 1 - distinct / per_word,
-        "long_words": visible / per_word,
-        "shouts": bangs / per_word,
-        "ends": np.bincount(doc[last], minlength=n) / per_word,
-        "insults": insults,
-    }
-    pattern = np.zeros(n, np.int64)
-    for name, bad, good, least in LABELLERS:
-        x = measures[name]
-        pattern = pattern * 3 + np.where(words < least, ABSTAIN, np.where(x >= bad, BAD, np.where(x <= good, GOOD, ABSTAIN)))
+    shown = np.maximum(visible, 1)
+    shares = [
+        of(_SYMBOL[data]) / shown,
+        of(_CAPITAL[data]) / shown,
+        np.bincount(w.doc[1:][same], minlength=n) / per_word,
+        of(data == 124) / per_word,
+        1 - np.bincount(d[new], minlength=n) / per_word,
+        visible / per_word,
+        of(data == 33) / per_word,
+        np.bincount(doc[last], minlength=n) / per_word,
+        np.zeros(n),
+    ]
+    measures = np.stack(shares, 1)
+    part = (np.clip(measures, 0, 1) * words[:, None] + 1) / (words[:, None] + 2)
+    error = np.sqrt(part * (1 - part)) / np.sqrt(per_word)[:, None]
+    error[:, 5] = 3 / np.sqrt(per_word)  # lengths of words differ by about three bytes
+    error[:, 8] = 0
     k = kind.astype(np.int64)
     within = doc[2:] == doc[:-2]
-    cell = doc[:-2] * FEATURES + _BUCKET[(k[:-2] << 12) | (k[1:-1] << 6) | k[2:]]
-    x = np.bincount(cell[within], minlength=n * FEATURES).reshape(n, FEATURES).astype(np.float64)
+    width = CLASSES - 2 * len(LABELLERS)
+    cell = doc[:-2] * width + _BUCKET[(k[:-2] << 12) | (k[1:-1] << 6) | k[2:]]
+    x = np.bincount(cell[within], minlength=n * width).reshape(n, width).astype(np.float64)
     x = np.sqrt(x / np.maximum(1, x.sum(1, keepdims=True)))
-    x[:, 0] = np.sqrt(repeats)
-    x[:, 1] = np.where(words < LEAST_WORDS, 0, np.sqrt(np.clip(measures["sameness"], 0, 1)))
-    x[:, 2] = np.minimum(1, insults / LABELLERS[-1][1])  # the share at which its labeller objects counts in full
-    return words, pattern, x
+    plain = [t.translate(_PLAIN) for t in texts]
+    p = Words(plain)
+    data = np.frombuffer(b"\n".join(plain) + b"\n", np.uint8)
+    terms = np.stack([p.hash, _beginnings(data, p.starts, p.ends, 4), _beginnings(data, p.starts, p.ends, 6)])
+    return Texts(words, measures, error, x, p.count, p.doc, terms)
+
+
+def learn_lexicon(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, words: np.ndarray) -> Lexicon:
+    """Terms that are significantly more frequent in toxic texts, from each text's distinct terms and how
+    often it has them.  Significant: a log likelihood ratio of ``SIGNIFICANT`` by the numbers of texts."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    if not n1 or not n0:
+        return Lexicon()
+    h = np.concatenate([c[0] for c in counts])
+    often = np.concatenate([c[1] for c in counts]).astype(float)
+    bad = np.repeat(toxic, [len(c[0]) for c in counts])
+    terms, number = np.unique(h, return_inverse=True)
+    texts1, texts = np.bincount(number[bad], minlength=len(terms)), np.bincount(number)
+    texts0 = texts - texts1
+    share = texts / (n1 + n0)
+
+    def part(a: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(a > 0, a * np.log(a / (n * share)), 0) + np.where(a < n, (n - a) * np.log((n - a) / (n * (1 - share))), 0)
+
+    with np.errstate(invalid="ignore"):
+        tells = (texts1 >= LEAST_TOXIC) & (texts1 / n1 > texts0 / n0) & (2 * (part(texts1, n1) + part(texts0, n0)) >= SIGNIFICANT)
+    w1, w0 = max(1.0, float(words[toxic].sum())), max(1.0, float(words[~toxic].sum()))
+    in1, in0 = np.bincount(number[bad], often[bad], minlength=len(terms)), np.bincount(number[~bad], often[~bad], minlength=len(terms))
+    weight = np.log((in1 + 0.5) / w1) - np.log((in0 + 0.5) / w0)
+    tells &= weight > 1
+    return Lexicon(terms[tells], weight[tells], max(0.0, float(in1[tells].sum() / w1 - in0[tells].sum() / w0)) / 3)  # a word is counted whole and by two beginnings
 
 
 def votes(pattern: np.ndarray) -> np.ndarray:
@@ -123,90 +225,158 @@ def votes(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(len(LABELLERS) - 1, -1, -1) % 3
 
 
-def label_model(pattern: np.ndarray, count: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def label_model(pattern: np.ndarray, count: np.ndarray, good: np.ndarray | None = None, bad: np.ndarray | None = None, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """EM: the posterior of good for each pattern, the accuracies (labeller; on bad, on good), the prior.
 
-    Each labeller looks for one kind of junk, and the kinds hardly go together: the classes are good
-    and a bad one for each labeller, so junk of one kind need not look like that of another.  It starts
-    from calling a document bad if any labeller does, of the kinds of those that do.  A labeller is
-    expected to find its own kind, to miss most of the others and to err on good documents once in 1000
-    votes.  The last expectation counts as ``BELIEF`` votes for each document, so it weighs alike at
-    every size."""
+    ``count``: documents of each pattern; ``good`` and ``bad``: how many labelled ones of them there are.  Most labellers
+    look for one kind of junk, and the kinds hardly go together, so there is a bad class for each labeller besides
+    the good one; a labelled bad document is of any of them.  It starts from calling a document bad if any labeller
+    does, of the kinds of those that do.  A labeller is expected to err on one good document in fifty, to find most of
+    its own kind and few of others, each with ``PRIOR`` votes of evidence."""
     v = votes(pattern)
-    k, n = len(LABELLERS), max(1, count.sum())
-    said, bad = v != ABSTAIN, v == BAD
-    none = ~bad.any(1, keepdims=True)
-    kinds = (bad | none) / np.maximum(1, (bad | none).sum(1, keepdims=True))
+    k, n = len(LABELLERS), max(1.0, float(count.sum()))
+    zero = np.zeros(len(pattern))
+    good, bad = (zero if x is None else x for x in (good, bad))
+    told = good.sum() + bad.sum()
+    weigh = n / told if told else 0
+    said, called = v != ABSTAIN, v == BAD
+    none = ~called.any(1, keepdims=True)
+    kinds = (called | none) / np.maximum(1, (called | none).sum(1, keepdims=True))
     of = np.hstack([np.where(none, 0.95, 0.05), np.where(none, 0.05, 0.95) * kinds])  # pattern; class, the good one first
-    yes, no = np.full((k, k + 1), 0.5), np.full((k, k + 1), 7.5)
-    yes[np.arange(k), np.arange(k) + 1], no[np.arange(k), np.arange(k) + 1] = 9, 1
-    yes[:, 0], no[:, 0] = 0.001 * BELIEF * n + 0.1, 0.999 * BELIEF * n + 1
+    expected = np.full((k, k + 1), 0.05)
+    expected[:, 0] = 0.02
+    expected[np.arange(k), np.arange(k) + 1] = 0.9
     for _ in range(rounds):
         old = of
-        weight = count[:, None] * of
-        share = np.clip(weight.sum(0) / n, 1e-6, None)
-        rate = (bad.T @ weight + yes) / (said.T @ weight + yes + no)  # labeller; how often it calls the class bad
-        log = np.log(share / share.sum()) + bad @ np.log(rate) + (said & ~bad) @ np.log(1 - rate)
+        junk = of[:, 1:] / np.maximum(1e-300, of[:, 1:].sum(1, keepdims=True))
+        weight = count[:, None] * of + weigh * np.hstack([good[:, None], bad[:, None] * junk])
+        share = weight.sum(0) + PRIOR / (k + 1)
+        share = share / share.sum()
+        rate = (called.T @ weight + PRIOR * expected) / (said.T @ weight + PRIOR)  # labeller; how often it calls the class bad
+        log = np.log(share) + called @ np.log(rate) + (said & ~called) @ np.log(1 - rate)
         of = np.exp(log - log.max(1, keepdims=True, initial=-np.inf))
         of /= of.sum(1, keepdims=True)
         if np.abs(of - old).max(initial=0) < 1e-9:
             break
-    share = share / share.sum()
     found = rate[:, 1:] @ share[1:] / share[1:].sum()
     return of[:, 0], np.stack([found, 1 - rate[:, 0]], 1), float(share[0])
 
 
 @dataclass
 class Model:
+    lexicon: Lexicon
     weights: np.ndarray  # the last one is the constant
     posterior: dict[int, float]
     accuracies: np.ndarray
     prior: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights[:-1] + self.weights[-1]
+    def scores(self, t: Texts) -> np.ndarray:
+        doc, bucket, value = t.buckets(self.lexicon)
+        return 1 / (1 + np.exp(-(np.bincount(doc, self.weights[bucket] * value, minlength=len(t.words)) + self.weights[-1])))
+
+
+def learn_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Logistic regression by at least ``STEPS`` steps over batches, each weight with its own rate, which falls with what it has moved."""
+    width = CLASSES + BUCKETS + 1
+    weights, moved = np.zeros(width), np.full(width, 1e-8)
+    rng = np.random.default_rng(seed)
+    balance = np.clip(np.array([0.5 / max(1e-6, 1 - target.mean()), 0.5 / max(1e-6, target.mean())]), 0.2, 5) if len(target) else np.ones(2)
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(rows)))) if rows else 0):
+        order = rng.permutation(len(rows))
+        for a in range(0, len(order), BATCH):
+            own = order[a : a + BATCH]
+            bucket = np.concatenate([np.append(rows[i][0], width - 1) for i in own])
+            value = np.concatenate([np.append(rows[i][1], 1.0) for i in own])
+            doc = np.repeat(np.arange(len(own)), [len(rows[i][0]) + 1 for i in own])
+            z = np.bincount(doc, weights[bucket] * value, minlength=len(own))
+            y = target[own]
+            slope = (1 / (1 + np.exp(-z)) - y) * (balance[0] * (1 - y) + balance[1] * y) / len(own)
+            used, number = np.unique(bucket, return_inverse=True)
+            step = np.bincount(number, slope[doc] * value) + RIDGE * weights[used]
+            moved[used] += step * step
+            weights[used] -= RATE * step / np.sqrt(moved[used])
+    return weights
+
+
+def _gathered(docs: DataFrame, more: list[str], rows_of, schema: str):
+    """A row for each text with words, made by ``rows_of``, on the driver in a fixed order: only for bounded samples."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def put(batches):
+        for b in batches:
+            for start, some in slices([x or b"" for x in b["text"].cast(pa.binary()).to_pylist()]):
+                told = describe(some)
+                out = [r for r in rows_of(told) if told.words[r[0]] > 0]
+                columns = [b.column(c).take(pa.array([r[0] + start for r in out], pa.int64())) for c in more]
+                made = [pa.array([r[1 + k] for r in out], pa.binary() if name != "n" else pa.int64()) for k, name in enumerate(names[len(more) :])]
+                yield pa.RecordBatch.from_arrays([*columns, *made], names=names)
+        give_back()
+
+    return docs.select("text", *more).mapInArrow(put, schema).orderBy(F.xxhash64(*names[-2:]), *names[:-2]).toPandas()
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """``labels``: ``doc_id, quality, toxic``, of which at most ``sample`` are used."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)))
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(toxic).alias("toxic"), F.max(toxic | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"))
+    known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))  # at most ``sample`` rows of 10 bytes
+    marked = own.join(known, "id", "left")
+    n_told, n_rest = marked.agg(F.count("bad"), F.count_if(F.col("bad").isNull())).first()
+    chosen = lambda n: F.col("hash") * max(1, n) < sample * (1 << 30)  # noqa: E731  about ``sample`` of ``n`` rows, in the tasks where they are
+    labelled = marked.where(F.col("bad").isNotNull() & chosen(n_told))
 
+    def distinct_terms(t: Texts):
+        end = np.cumsum(t.plain)
+        for d in range(len(t.words)):
+            h, n = np.unique(t.terms[:, end[d] - t.plain[d] : end[d]], return_counts=True)
+            yield d, int(t.plain[d]), h.tobytes(), n.astype(np.int32).tobytes()
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Label model and scorer from all documents."""
-    width = FEATURES + 1
+    found = _gathered(labelled, ["toxic"], distinct_terms, "toxic boolean, n long, terms binary, often binary")
+    lexicon = learn_lexicon([(np.frombuffer(h, U64), np.frombuffer(n, np.int32)) for h, n in zip(found["terms"], found["often"])], found["toxic"].to_numpy(bool), found["n"].to_numpy(float)) if len(found) else Lexicon()
+    del found
 
-    def add(batches):
-        square, sums = np.zeros((width, width)), {}
+    def count(batches):
+        sums: dict[int, int] = {}
         for b in batches:
             for _, some in slices([x or b"" for x in b["text"].cast(pa.binary()).to_pylist()]):
-                words, pattern, x = describe(some)
-                x = np.hstack([x, np.ones((len(x), 1))])[words > 0]
-                pattern = pattern[words > 0]
-                square += x.T @ x
-                for p in np.unique(pattern).tolist():
-                    sums[p] = sums.get(p, 0) + x[pattern == p].sum(0)
-        up = np.triu_indices(width)
-        cells = [up[0] * width + up[1], *(np.arange(width) + (p + width) * width for p in sums)]
-        values = [square[up], *sums.values()]
-        yield pa.record_batch([pa.array(np.concatenate(cells), pa.int64()), pa.array(np.concatenate(values), pa.float64())], names=["cell", "value"])
+                t = describe(some)
+                for p, n in zip(*np.unique(t.pattern(lexicon)[t.words > 0], return_counts=True)):
+                    sums[int(p)] = sums.get(int(p), 0) + int(n)
+        yield pa.record_batch([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], names=["pattern", "n"])
         give_back()
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(add, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).where("value <> 0").toPandas()
-    table = np.zeros((width, width))
-    cell, value = found["cell"].to_numpy(), found["value"].to_numpy()
-    low = cell < width * width
-    table[cell[low] // width, cell[low] % width] = value[low]
-    table = table + np.triu(table, 1).T
-    patterns = np.unique(cell[~low] // width) - width
-    sums = np.zeros((len(patterns), width))
-    sums[np.searchsorted(patterns, cell[~low] // width - width), cell[~low] % width] = value[~low]
-    posterior, right, prior = label_model(patterns, sums[:, -1])
-    n = max(1.0, table[-1, -1])
-    weights = np.linalg.solve(table / n + RIDGE * np.eye(width), (posterior @ sums) / n if len(patterns) else np.zeros(width))
-    return Model(weights, dict(zip(patterns.tolist(), posterior.tolist())), right, prior)
-
-
-def classify(docs: DataFrame, model: Model | None = None, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    patterns = own.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()  # at most PATTERNS rows
+    pattern, n = patterns["pattern"].to_numpy(np.int64), patterns["n"].to_numpy(float)
+
+    def features(t: Texts):
+        doc, bucket, value = t.buckets(lexicon)
+        order = np.argsort(doc, kind="stable")
+        cut = np.searchsorted(doc[order], np.arange(len(t.words) + 1))
+        votes_of = t.pattern(lexicon)
+        for d in range(len(t.words)):
+            at = order[cut[d] : cut[d + 1]]
+            u, number = np.unique(bucket[at], return_inverse=True)
+            yield d, int(votes_of[d]), u.astype(np.int32).tobytes(), np.bincount(number, value[at]).astype(np.float32).tobytes()
+
+    some = marked.where(F.when(F.col("bad").isNotNull(), chosen(n_told)).otherwise(chosen(n_rest)))
+    told = _gathered(some, ["bad"], features, "bad boolean, n long, buckets binary, amounts binary")
+    votes_of, bad, unknown = told["n"].to_numpy(np.int64), (told["bad"] == True).to_numpy(bool), told["bad"].isna().to_numpy()  # noqa: E712
+    at = lambda rows: np.bincount(np.searchsorted(pattern, votes_of[rows]), minlength=len(pattern)).astype(float)
+    posterior, right, prior = label_model(pattern, n, at(~bad & ~unknown), at(bad))
+    of = dict(zip(pattern.tolist(), posterior.tolist()))
+    target = np.where(unknown, [of[p] for p in votes_of.tolist()], 1.0 - bad)
+    rows = [(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32)) for b, v in zip(told["buckets"], told["amounts"])]
+    return Model(lexicon, learn_scorer(rows, target), of, right, prior)
+
+
+def classify(docs: DataFrame, model: Model | None = None, labels: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns ``keep`` of ``docs`` (all if None) with ``score``, ``label_posterior`` (null for a
-    pattern that the fit has not seen) and ``accepted``."""
-    model = model or fit(docs, text_col)
-    names = ["score", "label_posterior", "accepted"]
+    pattern that the fit has not seen) and ``accepted``, each name after ``prefix``."""
+    model = model or fit(docs, labels, text_col, id_col)
+    names = [prefix + c for c in ("score", "label_posterior", "accepted")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
 
     def score(batches):
@@ -215,19 +385,19 @@ def classify(docs: DataFrame, model: Model | None = None, text_col: str = "text"
             out, label = np.zeros(len(texts)), []
             words_of = np.zeros(len(texts), np.int64)
             for start, some in slices(texts):
-                words, pattern, x = describe(some)
-                out[start : start + len(some)] = model.scores(x)
-                words_of[start : start + len(some)] = words
-                label += [model.posterior.get(p) if n else None for p, n in zip(pattern.tolist(), words.tolist())]
+                t = describe(some)
+                out[start : start + len(some)] = model.scores(t)
+                words_of[start : start + len(some)] = t.words
+                label += [model.posterior.get(p) if n else None for p, n in zip(t.pattern(model.lexicon).tolist(), t.words.tolist())]
             none = words_of == 0
             columns = [pa.array(out, pa.float64(), mask=none), pa.array(label, pa.float64()), pa.array((out >= threshold) & ~none, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *columns], names=[*keep, *names])
         give_back()
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.mapInArrow(score, ", ".join([*fields, "score double", "label_posterior double", "accepted boolean"]))
+    return docs.mapInArrow(score, ", ".join([*fields, *(f"`{c}` {k}" for c, k in zip(names, ("double", "double", "boolean")))]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classify(docs, keep=["doc_id"])
+    return classify(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])

@@ -15,6 +15,7 @@ JUNK = [(1000 + k, "BUY!! NOW!! CHEAP!! PILLS!! HERE!! FAST!! " * 8 + f"n{k}") f
 def folder(spark, path, given, items):
     table(spark, given).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in given[::2]], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return str(path)
 
 
@@ -35,7 +36,7 @@ def test_stages(spark, tmp_path):
         judged, docs = docs, spark.read.schema(SCHEMA).parquet(str(tmp_path / str(number)))
         inputs.append(texts(docs))
         if name == "quality_classifier":
-            kept = sorted(r.doc_id for r in quality_classifier.classify(judged).where("accepted").collect())
+            kept = sorted(r.doc_id for r in quality_classifier.classify(judged, labels=spark.read.parquet(f"{sf_dir}/labels.parquet")).where("accepted").collect())
             assert [i for i, _ in inputs[-1]] == kept
             assert not {i for i, _ in JUNK} & set(kept)
             assert {i for i, t in rows() if t and 40 < len(t.split()) < 1000} <= set(kept)

@@ -260,18 +260,28 @@ def test_quality(spark):
     assert quality_classifier.classify(table(spark, [])).count() == 0
 
 
-def test_insults(spark):
-    """Prose with insults goes; one insult in a long text does not decide."""
+def test_toxic_words_are_learned(spark):
+    """Labelled texts teach words and beginnings of words; other texts with them go, wherever in the text they are."""
     rng = random.Random(8)
-    given = [(i, sentence(rng, rng.randint(40, 150)) + ".") for i in range(150)]
-    for k in range(12):
-        words = sentence(rng, 90).split(" ")
-        for word in rng.sample(["Idiot,", "pathetic", "MORON!", "stupid."], 3):
-            words.insert(rng.randrange(len(words)), word)
-        given.append((1000 + k, " ".join(words) + "."))
-    given.append((2000, sentence(rng, 3000) + " stupid " + sentence(rng, 3000) + "."))
-    out = {r.doc_id: r.accepted for r in quality_classifier.classify(table(spark, given)).collect()}
-    assert [i for i, kept in sorted(out.items()) if not kept] == list(range(1000, 1012))
+    given = [(i, sentence(rng, rng.randint(40, 150)) + ".") for i in range(400)]
+    toxic = {i for i in range(0, 400, 5)}
+    given = [(i, " ".join(w if i not in toxic or k % 25 else rng.choice(["Vile,", "QUEBLAR", "zoxi" + sentence(rng, 1)]) for k, w in enumerate(t.split(" ")))) for i, t in given]
+    given.append((2000, sentence(rng, 3000) + " vile queblar zoxid vile queblar zoxin " + sentence(rng, 3000) + "."))
+    given.append((2001, sentence(rng, 6000) + "."))
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(0, 300)] + [(7, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.accepted for r in quality_classifier.classify(table(spark, given), labels=labels).collect()}
+    assert [i for i, kept in sorted(out.items()) if not kept] == sorted(toxic) + [2000]
+
+
+def test_clashing_names_and_ties(spark):
+    given = [(i, sentence(random.Random(i % 3), 60) + ".") for i in range(30)]
+    docs = table(spark, given).withColumn("score", F.lit("own")).withColumn("accepted", F.lit(7))
+    out = quality_classifier.classify(docs, prefix="__q_").collect()
+    assert {(r.score, r.accepted) for r in out} == {("own", 7)}
+    by_text = defaultdict(set)
+    for r in out:
+        by_text[r.text].add(r["__q_score"])
+    assert all(len(v) == 1 for v in by_text.values())
 
 
 def test_label_model_finds_who_is_right():
@@ -280,12 +290,15 @@ def test_label_model_finds_who_is_right():
     k = len(quality_classifier.LABELLERS)
     votes = np.zeros((20000, k), int)
     for j in range(k):
-        miss, wrong = 0.3 + 0.05 * j, 0.002
+        miss, wrong = 0.3 + 0.05 * j, 0.3 if j == 4 else 0.002  # the fifth errs on good documents, too
         says_bad = np.where(good, rng.random(20000) < wrong, rng.random(20000) > miss)
         votes[:, j] = np.where(says_bad, quality_classifier.BAD, quality_classifier.GOOD)
     pattern = votes @ 3 ** np.arange(k - 1, -1, -1)
     u, n = np.unique(pattern, return_counts=True)
-    posterior, right, prior = quality_classifier.label_model(u, n)
+    told = np.arange(1000)  # labelled ones: who errs alone cannot be told from who finds alone
+    at = lambda rows: np.bincount(np.searchsorted(u, pattern[rows]), minlength=len(u)).astype(float)
+    posterior, right, prior = quality_classifier.label_model(u, n, at(told[good[:1000]]), at(told[~good[:1000]]))
     assert abs(prior - 0.8) < 0.02
     assert np.abs(right[:, 0] - (0.7 - 0.05 * np.arange(k))).max() < 0.05
+    assert np.abs(right[:, 1] - np.where(np.arange(k) == 4, 0.7, 0.998)).max() < 0.03
     assert np.mean((posterior[np.searchsorted(u, pattern)] >= 0.5) == good) > 0.99
