@@ -7,18 +7,20 @@ keeps with the columns of ``documents``; the last returns the pieces of the sequ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glyphflow.llm import decontamination, line_dedup, ngram_jaccard, packing, quality_classifier
 from glyphflow.llm.storage import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on all of them, accepts."""
-    return quality_classifier.classify(docs).where("accepted").select(docs.columns)
+    """Documents that the classifier, fitted on all of them and the labels, accepts."""
+    scored = quality_classifier.classify(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"), prefix="__quality_")
+    return scored.where("__quality_accepted").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines that an earlier one has."""
+    """Documents less the lines that an earlier one has; those of which nothing is left go."""
     return line_dedup.clean(docs)
 
 
@@ -33,7 +35,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, with_ids=False)
+    """The pieces of the sequences with their ids."""
+    return packing.pack(docs)
 
 
 STAGES = [
