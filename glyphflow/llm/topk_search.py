@@ -1,18 +1,23 @@
 """Exact top-k search by inner product: the threshold algorithm over sorted per-dimension lists.
 
-The vectors are dealt into blocks of at most ``BLOCK`` rows, the queries into chunks.  A block sorts
-each dimension once.  For a query the algorithm walks all lists down from the end that the sign of
-the query's component prefers, to depths that double; every vector met gets its full score.  At each
-depth the inner product of the query with the values that the lists stand at bounds all vectors
-not met yet, and the walk stops when that bound is below the k-th score (Fagin, Lotem and Naor,
+The vectors are dealt into blocks of about ``BLOCK`` rows.  Every block gets the whole stated query set, row by
+row behind its own rows, so a task holds one block and some queries; a block sorts each dimension once.  For a query
+the algorithm walks all lists down from the end that the sign of the query's component prefers, to depths that
+double; every vector met gets its full score.  At each depth the inner product of the query with the values
+that the lists stand at bounds all vectors not met yet, and so does the largest length of a vector by the
+query's length; the walk stops when a bound is below the k-th score (Fagin, Lotem and Naor,
 "Optimal aggregation algorithms for middleware").  The k best of each block are then merged, in two
 steps, so that no task takes all of a query's candidates at once.
 
+How early it stops is up to the data: with few dimensions or a query of few large components after a small
+part of the lists; with many alike dimensions (the 64 of the test tables) not before every vector has been met.
+
 Components become ``floor(256 x)``.  Defined results.  Vectors that are null, or hold a null or a
 non-finite component, take no part, nor do rows without id.  Only vectors of the query's length are
 compared; empty vectors score 0.  Ties go to the smaller id.  Repeated ids are separate candidates,
 but no row whose id is the query's own is one.  Scores beyond a signed 64-bit number become the
-nearest such number.  An empty table, or one without queries, gives no rows.
+nearest such number.  An empty table, or one without queries, gives no rows.  Very long vectors make a block as
+many times larger; ``block`` is a parameter.
 """
 
 from __future__ import annotations
@@ -23,17 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 8192
-QUERIES = 1024
 FIRST_DEPTH = 16
 EXACT = 1 << 53
 _HITS = "query_id long, vec_id long, score long"
 
 
-def _matrix(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(vectors, np.float64).reshape(len(own), -1)
-
-
 class SortedLists:
     """A block of vectors with, for each dimension, its rows in ascending order of that component."""
 
@@ -42,8 +41,9 @@ class SortedLists:
         self.ids, self.rows = ids[order], rows[order]
         self.order = np.argsort(self.rows, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.rows, self.order, axis=0)
-        largest = np.abs(rows).max() if rows.size else 0.0
-        self.largest = float(largest)
+        self.largest = float(np.abs(rows).max()) if rows.size else 0.0
+        self.length = float(np.sqrt((rows * rows).sum(1).max())) if rows.size else 0.0
+        self.scored = 0
 
     def _scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Exact scores: in floating point while every sum is exact there, else in whole numbers."""
@@ -59,54 +59,57 @@ class SortedLists:
         best_rows, best = np.zeros(0, np.int64), np.zeros(0)
         used = np.flatnonzero(query)
         up, down = used[query[used] > 0], used[query[used] < 0]
-        depth, before = FIRST_DEPTH, 0
+        ceiling = self.length * float(np.sqrt((query * query).sum())) * (1 + 1e-9)
+        depth, before = FIRST_DEPTH if len(used) else n, 0
         while True:
             depth = min(depth, n)
             fresh = np.zeros(n, bool)
-            if len(used) and (depth - before) * len(used) < 2 * n and depth < n:
+            if len(used):
                 fresh[self.order[n - depth : n - before, up].ravel()] = True
                 fresh[self.order[before:depth, down].ravel()] = True
-            else:  # the lists' ends would be met more than once each
+            else:  # no list says anything: all scores are 0
                 fresh[:] = True
-                depth = n
             rows = np.flatnonzero(fresh & ~met)
             met |= fresh
+            self.scored += len(rows)
             best_rows = np.concatenate([best_rows, rows])
             best = np.concatenate([best, self._scores(query, rows)])
             order = np.lexsort((best_rows, -best))[:k] if best.dtype != object else np.array(sorted(range(len(best)), key=lambda i: (-best[i], best_rows[i]))[:k], np.int64)
             best_rows, best = best_rows[order], best[order]
-            if depth >= n:
+            if depth >= n or met.all():
                 break
             bound = float(self.values[n - depth, up] @ query[up] + self.values[depth - 1, down] @ query[down])
-            slack = abs(bound) * 1e-9  # only sums beyond the exact range are rounded
-            if len(best) == k and bound + slack < best[-1]:
+            bound = min(bound + abs(bound) * 1e-9, ceiling)  # only sums beyond the exact range are rounded
+            if len(best) == k and bound < best[-1]:
                 break
             before, depth = depth, depth * 2
         top = (1 << 63) - 1
         return [(int(self.ids[r]), max(-top - 1, min(top, int(s)))) for r, s in zip(best_rows, best)]
 
 
-def _packed(vectors: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors of one length: ``dims``, ``ids`` and ``rows``."""
-    def put(batches):
-        for b in batches:
-            ids, lists = b["id"].to_numpy(zero_copy_only=False), b["v"]
-            lengths = np.diff(lists.offsets.to_numpy()) if len(ids) else np.zeros(0, int)
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            start = np.cumsum(lengths) - lengths
-            out = []
-            for n in np.unique(lengths).tolist():
-                own = np.flatnonzero(lengths == n)
-                for a in range(0, len(own), size):
-                    part = own[a : a + size]
-                    rows = values[start[part][:, None] + np.arange(n)] if n else np.zeros((len(part), 0))
-                    out.append((n, ids[part].astype(np.int64).tobytes(), np.floor(rows.astype(np.float64) * 256).tobytes()))
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(list(zip(*out)) or [[]] * 3, [pa.int32(), pa.binary(), pa.binary()])], names=["dims", "ids", "rows"])
-
-    return vectors.mapInArrow(put, "dims int, ids binary, rows binary")
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+class _Block:
+    """Vectors of one block as they come, and its sorted lists once the first query does."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.lists: dict[int, SortedLists] | None = None
+
+    def sorted(self) -> dict[int, SortedLists]:
+        if self.lists is None:
+            self.lists = {}
+            for n in sorted({int(x) for _, lengths, _ in self.parts for x in np.unique(lengths)}):
+                ids, rows = zip(*((i[l == n], v[np.repeat(l == n, l)].reshape(-1, n) if n else np.zeros(((l == n).sum(), 0))) for i, l, v in self.parts))
+                self.lists[n] = SortedLists(np.concatenate(ids), np.concatenate(rows))
+            self.parts = []
+        return self.lists
+
+
+def _whole(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of some vectors and their components as whole numbers, one after the other."""
+    return np.diff(values.offsets.to_numpy()), np.floor(values.flatten().to_numpy(zero_copy_only=False) * 256)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """For each row of ``queries`` (same columns as ``vectors``) the ``k`` rows of ``vectors`` of
     the highest scores: ``query_id, rank, vec_id, score``."""
     def sound(df: DataFrame) -> DataFrame:
@@ -114,27 +117,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & usable)
 
-    spark = vectors.sparkSession
-    asked = sound(queries)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_queries = asked.count()
-    chunks = max(1, -(-n_queries // QUERIES))
-    # A block reaches a chunk of queries by an equi-join on the chunk's number: all rows against a stated set.
-    chunk = _packed(asked.repartition(chunks, F.xxhash64("id")), QUERIES).withColumn("c", F.pmod(F.xxhash64("ids"), F.lit(chunks)))
-    chunk = chunk.select("c", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    rows = _packed(sound(vectors).repartition(partitions), BLOCK).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    pairs = rows.join(chunk, (rows["c"] == chunk["c"]) & (rows["dims"] == chunk["q_dims"])).select("ids", "rows", "q_ids", "q_rows")
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = vectors.count()
+    blocks = max(1, -(-n // block), min(partitions, n // 512))
+    # The row's number alone deals the rows out, so repeated ones share no block; all rows meet the stated query set, block by block.
+    dealt = sound(vectors).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
+    asked = sound(queries).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "v")
+    rows = dealt.unionByName(asked).repartition(min(blocks, 16 * partitions), "block").sortWithinPartitions("block", "asks")
 
     def search(batches):
-        last, lists = None, None
+        number, own = None, _Block()
         for b in batches:
-            for ids, own, q_ids, q_rows in zip(*(b[c].to_pylist() for c in ("ids", "rows", "q_ids", "q_rows"))):
-                if last != (ids, own):
-                    last, lists = (ids, own), SortedLists(*_matrix(ids, own))
-                hits = [(q, i, s) for q, v in zip(*_matrix(q_ids, q_rows)) for i, s in lists.top(int(q), v, k)]
+            of, asks = b["block"].to_numpy(), b["asks"].to_numpy()
+            ids = b["id"].to_numpy()
+            cuts = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (asks[1:] != asks[:-1])))[: len(of)].tolist() if len(of) else []
+            for start, end in zip(cuts, [*cuts[1:], len(of)]):
+                if of[start] != number:
+                    number, own = of[start], _Block()
+                lengths, values = _whole(b["v"].slice(start, end - start))
+                if not asks[start]:
+                    own.parts.append((ids[start:end], lengths, values))
+                    continue
+                lists, at, hits = own.sorted(), 0, []
+                for q, size in zip(ids[start:end].tolist(), lengths.tolist()):
+                    if size in lists:
+                        hits += [(q, i, s) for i, s in lists[size].top(q, values[at : at + size], k)]
+                    at += size
                 yield pa.record_batch([pa.array([h[c] for h in hits], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-    hits = pairs.mapInArrow(search, _HITS)
+    hits = rows.mapInArrow(search, _HITS)
     order = [F.desc("score"), F.asc("vec_id")]
     near = Window.partitionBy("query_id", "part").orderBy(*order)
     parted = hits.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
