@@ -13,8 +13,9 @@
    features: words, beginnings of words, trigrams of character classes, and the measures.
 
 All documents take part in the label model: one pass adds up the pattern counts (at most 3**9 patterns).
-The words and the scorer are fitted on a documented, bounded sample: about ``SAMPLE`` labelled documents and
-as many others, those with the smallest hashes of id and text.  Only these reach the driver.  A last pass scores.
+The toxic words are learned from at most ``LABELLED`` labels, counted where the texts are; the scorer is
+fitted on a documented, bounded sample: about ``SAMPLE`` labelled documents and as many others, those with the smallest
+hashes of id and text.  Only their features reach the driver.  A last pass scores.
 
 Defined results.  A text that is null or has no words gets no score and is rejected.  Ties of the
 score with the threshold are kept.  Rows without id and repeated rows are rows like others; a document that is labelled
@@ -35,14 +36,15 @@ from pyspark.sql import functions as F
 from glyphflow.llm.blocks import U64, Words, give_back, mix, slices
 
 THRESHOLD = 0.5
-SAMPLE = 20_000
+LABELLED = 20_000
+SAMPLE = 5_000
 PRIOR = 50.0
 PASSAGE = 64
 SIGNIFICANT = 25.0
 LEAST_TOXIC = 3
 CLASSES = 256
 BUCKETS = 1 << 18
-EPOCHS, STEPS, BATCH, RATE, RIDGE = 6, 600, 256, 0.05, 1e-5
+EPOCHS, STEPS, BATCH, RATE, RIDGE = 6, 300, 256, 0.1, 1e-6
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 #: (measure, bad from, good to)
@@ -193,19 +195,13 @@ def describe(texts: list[bytes]) -> Texts:
     return Texts(words, measures, error, x, p.count, p.doc, terms)
 
 
-def learn_lexicon(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, words: np.ndarray) -> Lexicon:
-    """Terms that are significantly more frequent in toxic texts, from each text's distinct terms and how
-    often it has them.  Significant: a log likelihood ratio of ``SIGNIFICANT`` by the numbers of texts."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1 or not n0:
+def learn_lexicon(terms: np.ndarray, texts1: np.ndarray, texts0: np.ndarray, in1: np.ndarray, in0: np.ndarray, n1: int, n0: int, w1: float, w0: float) -> Lexicon:
+    """Terms that are significantly more frequent in toxic texts (1) than in others (0): of each, how many texts
+    have it and how often; how many texts and words there are.  Significant: a log likelihood ratio of
+    ``SIGNIFICANT`` by the numbers of texts."""
+    if not n1 or not n0 or not len(terms):
         return Lexicon()
-    h = np.concatenate([c[0] for c in counts])
-    often = np.concatenate([c[1] for c in counts]).astype(float)
-    bad = np.repeat(toxic, [len(c[0]) for c in counts])
-    terms, number = np.unique(h, return_inverse=True)
-    texts1, texts = np.bincount(number[bad], minlength=len(terms)), np.bincount(number)
-    texts0 = texts - texts1
-    share = texts / (n1 + n0)
+    share = (texts1 + texts0) / (n1 + n0)
 
     def part(a: np.ndarray, n: int) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -213,11 +209,27 @@ def learn_lexicon(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray
 
     with np.errstate(invalid="ignore"):
         tells = (texts1 >= LEAST_TOXIC) & (texts1 / n1 > texts0 / n0) & (2 * (part(texts1, n1) + part(texts0, n0)) >= SIGNIFICANT)
-    w1, w0 = max(1.0, float(words[toxic].sum())), max(1.0, float(words[~toxic].sum()))
-    in1, in0 = np.bincount(number[bad], often[bad], minlength=len(terms)), np.bincount(number[~bad], often[~bad], minlength=len(terms))
-    weight = np.log((in1 + 0.5) / w1) - np.log((in0 + 0.5) / w0)
+    weight = np.log((in1 + 0.5) / max(1.0, w1)) - np.log((in0 + 0.5) / max(1.0, w0))
     tells &= weight > 1
-    return Lexicon(terms[tells], weight[tells], max(0.0, float(in1[tells].sum() / w1 - in0[tells].sum() / w0)) / 3)  # a word is counted whole and by two beginnings
+    order = np.argsort(terms[tells])
+    rate = float(in1[tells].sum() / max(1.0, w1) - in0[tells].sum() / max(1.0, w0)) / 3  # a word is counted whole and by two beginnings
+    return Lexicon(terms[tells][order], weight[tells][order], max(0.0, rate))
+
+
+def term_counts(t: Texts, toxic: np.ndarray) -> np.ndarray:
+    """Of each term (first column) and, in the row of term 0, of the texts and words: texts and occurrences by class."""
+    kinds, texts = len(t.terms), np.tile(t.doc, len(t.terms))
+    h = t.terms.reshape(-1)
+    order = np.lexsort((texts, h))
+    h, texts = h[order], texts[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (texts[1:] != texts[:-1]))[: len(h)]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    bad = toxic[texts]
+    add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    rows = np.stack([h[first].view(np.int64), add(new & bad), add(new & ~bad), add(bad), add(~bad)], 1)
+    some = t.words > 0
+    whole = np.array([[0, (toxic & some).sum(), (~toxic & some).sum(), t.plain[toxic].sum(), t.plain[~toxic].sum()]], np.int64)
+    return np.concatenate([whole, rows]) if kinds else whole
 
 
 def votes(pattern: np.ndarray) -> np.ndarray:
@@ -291,85 +303,81 @@ def learn_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray,
             z = np.bincount(doc, weights[bucket] * value, minlength=len(own))
             y = target[own]
             slope = (1 / (1 + np.exp(-z)) - y) * (balance[0] * (1 - y) + balance[1] * y) / len(own)
-            used, number = np.unique(bucket, return_inverse=True)
-            step = np.bincount(number, slope[doc] * value) + RIDGE * weights[used]
-            moved[used] += step * step
-            weights[used] -= RATE * step / np.sqrt(moved[used])
+            step = np.bincount(bucket, slope[doc] * value, minlength=width) + RIDGE * weights
+            moved += step * step
+            weights -= RATE * step / np.sqrt(moved)
     return weights
 
 
-def _gathered(docs: DataFrame, more: list[str], rows_of, schema: str):
-    """A row for each text with words, made by ``rows_of``, on the driver in a fixed order: only for bounded samples."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def put(batches):
-        for b in batches:
-            for start, some in slices([x or b"" for x in b["text"].cast(pa.binary()).to_pylist()]):
-                told = describe(some)
-                out = [r for r in rows_of(told) if told.words[r[0]] > 0]
-                columns = [b.column(c).take(pa.array([r[0] + start for r in out], pa.int64())) for c in more]
-                made = [pa.array([r[1 + k] for r in out], pa.binary() if name != "n" else pa.int64()) for k, name in enumerate(names[len(more) :])]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=names)
-        give_back()
-
-    return docs.select("text", *more).mapInArrow(put, schema).orderBy(F.xxhash64(*names[-2:]), *names[:-2]).toPandas()
-
-
-def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """``labels``: ``doc_id, quality, toxic``, of which at most ``sample`` are used."""
+def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", known: int = LABELLED, sample: int = SAMPLE) -> Model:
+    """``labels``: ``doc_id, quality, toxic``, of which at most ``known`` are used."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)))
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
     toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(toxic).alias("toxic"), F.max(toxic | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"))
-    known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))  # at most ``sample`` rows of 10 bytes
-    marked = own.join(known, "id", "left")
-    n_told, n_rest = marked.agg(F.count("bad"), F.count_if(F.col("bad").isNull())).first()
-    chosen = lambda n: F.col("hash") * max(1, n) < sample * (1 << 30)  # noqa: E731  about ``sample`` of ``n`` rows, in the tasks where they are
-    labelled = marked.where(F.col("bad").isNotNull() & chosen(n_told))
-
-    def distinct_terms(t: Texts):
-        end = np.cumsum(t.plain)
-        for d in range(len(t.words)):
-            h, n = np.unique(t.terms[:, end[d] - t.plain[d] : end[d]], return_counts=True)
-            yield d, int(t.plain[d]), h.tobytes(), n.astype(np.int32).tobytes()
-
-    found = _gathered(labelled, ["toxic"], distinct_terms, "toxic boolean, n long, terms binary, often binary")
-    lexicon = learn_lexicon([(np.frombuffer(h, U64), np.frombuffer(n, np.int32)) for h, n in zip(found["terms"], found["often"])], found["toxic"].to_numpy(bool), found["n"].to_numpy(float)) if len(found) else Lexicon()
+    told = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(toxic).alias("toxic"), F.max(toxic | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"))
+    marked = own.join(F.broadcast(told.orderBy(F.xxhash64("id"), "id").limit(known)), "id", "left")  # at most ``known`` rows of 10 bytes
+
+    def texts_of(b):
+        for start, some in slices([x or b"" for x in b["text"].cast(pa.binary()).to_pylist()]):
+            yield start, len(some), describe(some)
+
+    def terms(batches):
+        for b in batches:
+            flag = b["toxic"].to_numpy(zero_copy_only=False)
+            for start, n, t in texts_of(b):
+                found = term_counts(t, flag[start : start + n].astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(5)], names=["term", "texts1", "texts0", "in1", "in0"])
+        give_back()
+
+    sums = [F.sum(c).alias(c) for c in ("texts1", "texts0", "in1", "in0")]
+    found = marked.where("toxic is not null").select("text", "toxic").mapInArrow(terms, "term long, texts1 long, texts0 long, in1 long, in0 long").groupBy("term").agg(*sums)
+    found = found.where(F.col("texts1") >= LEAST_TOXIC).orderBy("term").toPandas()  # terms that three of the labelled texts have
+    whole = found[found["term"] == 0].to_numpy(np.int64)
+    found = found[found["term"] != 0]
+    lexicon = learn_lexicon(found["term"].to_numpy(np.int64).view(U64), *(found[c].to_numpy(np.int64) for c in ("texts1", "texts0", "in1", "in0")), *whole[0, 1:].tolist()) if len(whole) else Lexicon()
     del found
 
     def count(batches):
-        sums: dict[int, int] = {}
+        sums: dict[tuple[int, int], int] = {}
         for b in batches:
-            for _, some in slices([x or b"" for x in b["text"].cast(pa.binary()).to_pylist()]):
-                t = describe(some)
-                for p, n in zip(*np.unique(t.pattern(lexicon)[t.words > 0], return_counts=True)):
-                    sums[int(p)] = sums.get(int(p), 0) + int(n)
-        yield pa.record_batch([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], names=["pattern", "n"])
+            label = b["bad"].fill_null(2).to_numpy()
+            for start, n, t in texts_of(b):
+                some = t.words > 0
+                both = t.pattern(lexicon)[some] * 3 + label[start : start + n][some]
+                for p, m in zip(*np.unique(both, return_counts=True)):
+                    sums[divmod(int(p), 3)] = sums.get(divmod(int(p), 3), 0) + int(m)
+        yield pa.record_batch([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array(sums.values(), pa.int64())], names=["pattern", "label", "n"])
         give_back()
 
-    patterns = own.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()  # at most PATTERNS rows
-    pattern, n = patterns["pattern"].to_numpy(np.int64), patterns["n"].to_numpy(float)
+    counts = marked.select("text", F.col("bad").cast("int").alias("bad")).mapInArrow(count, "pattern long, label long, n long").groupBy("pattern").pivot("label", [0, 1, 2]).agg(F.sum("n")).fillna(0).orderBy("pattern").toPandas()  # at most PATTERNS rows
+    pattern, by_label = counts["pattern"].to_numpy(np.int64), counts[["0", "1", "2"]].to_numpy(float)
+    posterior, right, prior = label_model(pattern, by_label.sum(1), by_label[:, 0], by_label[:, 1])
+    of = dict(zip(pattern.tolist(), posterior.tolist()))
+    n_told, n_rest = by_label[:, :2].sum(), by_label[:, 2].sum()
 
-    def features(t: Texts):
-        doc, bucket, value = t.buckets(lexicon)
-        order = np.argsort(doc, kind="stable")
-        cut = np.searchsorted(doc[order], np.arange(len(t.words) + 1))
-        votes_of = t.pattern(lexicon)
-        for d in range(len(t.words)):
-            at = order[cut[d] : cut[d + 1]]
-            u, number = np.unique(bucket[at], return_inverse=True)
-            yield d, int(votes_of[d]), u.astype(np.int32).tobytes(), np.bincount(number, value[at]).astype(np.float32).tobytes()
+    def features(batches):
+        for b in batches:
+            label = b["bad"].to_pylist()
+            for start, n, t in texts_of(b):
+                doc, bucket, value = t.buckets(lexicon)
+                order = np.argsort(doc, kind="stable")
+                cut = np.searchsorted(doc[order], np.arange(n + 1))
+                votes_of, rows = t.pattern(lexicon).tolist(), []
+                for d in np.flatnonzero(t.words).tolist():
+                    at = order[cut[d] : cut[d + 1]]
+                    u, number = np.unique(bucket[at], return_inverse=True)
+                    target = of.get(votes_of[d], prior) if label[start + d] is None else 1.0 - label[start + d]
+                    rows.append((target, u.astype(np.int32).tobytes(), np.bincount(number, value[at]).astype(np.float16).tobytes()))
+                yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.float64(), pa.binary(), pa.binary()))], names=["target", "buckets", "amounts"])
+        give_back()
 
+    # About ``sample`` rows of either kind, in the tasks where they are; sorted, so the steps come in the same order each time.
+    chosen = lambda n: F.col("hash") * float(max(1, n)) < float(sample * (1 << 30))
     some = marked.where(F.when(F.col("bad").isNotNull(), chosen(n_told)).otherwise(chosen(n_rest)))
-    told = _gathered(some, ["bad"], features, "bad boolean, n long, buckets binary, amounts binary")
-    votes_of, bad, unknown = told["n"].to_numpy(np.int64), (told["bad"] == True).to_numpy(bool), told["bad"].isna().to_numpy()  # noqa: E712
-    at = lambda rows: np.bincount(np.searchsorted(pattern, votes_of[rows]), minlength=len(pattern)).astype(float)
-    posterior, right, prior = label_model(pattern, n, at(~bad & ~unknown), at(bad))
-    of = dict(zip(pattern.tolist(), posterior.tolist()))
-    target = np.where(unknown, [of[p] for p in votes_of.tolist()], 1.0 - bad)
-    rows = [(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32)) for b, v in zip(told["buckets"], told["amounts"])]
-    return Model(lexicon, learn_scorer(rows, target), of, right, prior)
+    drawn = some.select("text", F.col("bad").cast("int").alias("bad")).mapInArrow(features, "target double, buckets binary, amounts binary").orderBy(F.xxhash64("buckets", "amounts"), "target").toPandas()
+    rows = [(np.frombuffer(b, np.int32), np.frombuffer(v, np.float16)) for b, v in zip(drawn["buckets"], drawn["amounts"])]
+    return Model(lexicon, learn_scorer(rows, drawn["target"].to_numpy(float)), of, right, prior)
 
 
 def classify(docs: DataFrame, model: Model | None = None, labels: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
