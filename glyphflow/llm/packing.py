@@ -4,17 +4,19 @@
 2. One pass counts in how many documents each id occurs: a table as long as the vocabulary.
 3. Each task deals its documents into shards of at most ``SHARD_TOKENS`` ids and builds an inverted
    BM25 index of each shard, with the counts of the whole corpus.  The first document of a sequence
-   is its seed.  The unused documents that score highest for the seed's ``QUERY_TERMS`` weightiest
-   ids follow it until the sequence is full; the one that does not fit is cut, and its rest begins
+   is its seed.  The unused documents that score highest for all of the seed's ids follow it until the
+   sequence is full; the one that does not fit is cut, and its rest begins
    the next sequence.  What a shard has left for its last sequence is cut at powers of two, so
    nothing is padded.
 
 No step shuffles documents, and a group of copies of any size is spread like other documents.
 
+A seed meets the documents of its own shard: the index is sharded, and a shard is what fits a task.
+
 Defined results.  A null text is an empty one: its document is the end id alone.  Rows without id and
 repeated rows are packed like others.  Ties of the score go to the document that comes first in
 the shard.  Other columns are ignored.  An empty table gives no pieces.  Texts that hold a special
-token's own string get that token's id, as the tokenizer has it.
+token's own string get that token's id, as the tokenizer has it.  A text of more ids than a shard is a shard alone.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ from glyphflow.llm.storage import materialize
 LENGTH = 2048
 END_ID = 1
 SHARD_TOKENS = 2 << 20
-QUERY_TERMS = 32
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -168,17 +169,17 @@ class Shard:
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents, the best first, as long as they share an id that the query has."""
         own = slice(self.rows[seed], self.rows[seed + 1])
-        terms, weight = self.term[own], self.weight[own]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        at = [slice(self.start[t], self.start[t + 1]) for t in terms]
+        terms = self.term[own]
+        at = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist())]
         if not at:
             return
         docs, values = np.concatenate([self.posted[s] for s in at]), np.concatenate([self.value[s] for s in at])
         scores = np.bincount(docs, values, minlength=self.n)
+        asked = NEIGHBOURS // 2
         while True:
+            asked *= 2  # so that many neighbours cost no scan each few of them
             scores[self.used] = 0
-            best = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
+            best = np.argpartition(-scores, asked)[:asked] if self.n > asked else np.arange(self.n)
             best = best[np.lexsort((best, -scores[best]))]
             best = best[scores[best] > 0]
             if not len(best):
