@@ -9,6 +9,8 @@ given in either direction, and emits one nested row for each capture.
 Archives are written by Spark's text writer and read as binary files, so they can be in any
 store that Spark reaches, and a lost task leaves no half archive.  Which page is the response is
 found on digests alone; the page texts are shuffled once, by a key that is unique to the row.
+An archive holds ``ARCHIVE_BYTES`` of pages at most, or one page: pages of like size are written together, so many
+to an archive.  An archive to be read is one row of Spark's reader, which takes up to 2 GiB.
 
 Defined results.  A null page is an empty payload.  Equal means equal SHA-1, length and 64-bit hash.  Payloads
 below ``LEAST`` bytes are always responses.  Of equal payloads the one with the largest page id is the
@@ -31,7 +33,9 @@ from glyphflow.llm.skew import salted_left_join
 from glyphflow.llm.storage import materialize, new_path
 
 LEAST = 1000
-RECORDS_A_FILE = 4096
+ARCHIVE_BYTES = 256 << 20
+#: Pages up to so many bytes are written together.
+SIZES = [1 << 16, 1 << 20, 1 << 24]
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -76,8 +80,13 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     fields = F.concat(F.coalesce(F.concat(F.lit("page_id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("via: page table\r\n"))
     metadata = _record("metadata", _name("metadata", F.col("row")), [("WARC-Target-URI", url), ("WARC-Concurrent-To", capture), ("Content-Type", F.lit("application/warc-fields"))], fields)
     text = F.concat_ws(END, request, F.when(F.col("of_row").isNull(), response).otherwise(revisit), metadata)
-    writer = told.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    writer.option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    most = rows.agg(F.max("size")).first()[0] or 0
+    for least, limit in zip([-1, *SIZES], [*SIZES, None]):
+        if most <= least and least >= 0:
+            break
+        alike = F.col("size") > least if limit is None else (F.col("size") > least) & (F.col("size") <= limit)
+        writer = told.where(alike).select(text.alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+        writer.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // limit) if limit else 1).text(path)
 
 
 class _Bytes:
@@ -169,18 +178,32 @@ def _row(fields: dict[str, list[str]], block: bytes, with_payload: bool) -> tupl
     return kind, one("warc-record-id"), fields.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-target-uri"), one("warc-date"), list(told.items()), size, digest, payload if with_payload else None
 
 
-def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row for each record of the archives in the folder ``path``."""
+def read_records(spark: SparkSession, path: str, with_payload: bool = True, broken: str = "raise") -> DataFrame:
+    """One row for each record of the archives in the folder ``path``.
+
+    An archive that breaks off or holds something else raises; with ``broken="row"`` the records before that place are
+    followed by one of type ``broken`` with the reason in ``fields``."""
+    if broken not in ("raise", "row"):
+        raise ValueError("broken is 'raise' or 'row'")
     kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
     names = ["type", "record_id", "concurrent_to", "refers_to", "url", "date", "fields", "payload_bytes", "payload_digest", "payload"]
 
+    def told(content):
+        try:
+            for fields, block in parse(content):
+                yield _row(fields, block, with_payload), len(block)
+        except (ValueError, KeyError, zlib.error) as error:
+            if broken == "raise":
+                raise
+            yield ("broken", None, [], None, None, None, [("error", str(error))], None, None, None), 0
+
     def read(batches):
         for b in batches:
             for content in b["content"]:
                 rows, size = [], 0
-                for fields, block in parse(content.as_buffer()):
-                    rows.append(_row(fields, block, with_payload))
-                    size += len(block) if with_payload else 0
+                for row, n in told(content.as_buffer()):
+                    rows.append(row)
+                    size += n if with_payload else 0
                     if len(rows) >= 2000 or size > 8 << 20:
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(map(list, zip(*rows)), kinds)], names=names)
                         rows, size = [], 0
