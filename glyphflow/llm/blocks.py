@@ -8,6 +8,7 @@ per word or per window.
 from __future__ import annotations
 
 import ctypes
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,6 @@ class Powers:
         return self.up, self.down
 
 
-CHARS = Powers(0x9E3779B97F4A7C15)
 WORDS = (Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F))
 
 
@@ -51,6 +51,34 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+LANES = 32  # longer words are hashed by hashlib
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each ``data[start:end]``: eight bytes at a time are mixed into what came before, so a word
+    of eight bytes or fewer has a hash of its own and nothing is a sum that a pattern in a long word could cancel."""
+    length = ends - starts
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(wide, 8)
+
+    def lane(k: int, own: np.ndarray) -> np.ndarray:
+        at = starts[own] + 8 * k
+        left = np.minimum(length[own] - 8 * k, 8).astype(U64)
+        return eight[at].view("<u8").reshape(-1) & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * left))
+
+    out = mix(lane(0, slice(None)), family) if len(starts) else np.zeros(0, U64)
+    out = mix(out ^ length.astype(U64), 17)
+    own = np.flatnonzero((length > 8) & (length <= 8 * LANES))
+    k = 1
+    while len(own):
+        out[own] = mix(out[own] ^ lane(k, own), 19 + family)
+        k += 1
+        own = own[length[own] > 8 * k]
+    for w in np.flatnonzero(length > 8 * LANES).tolist():
+        out[w] = int.from_bytes(blake2b(data[starts[w] : ends[w]].tobytes(), digest_size=8, salt=bytes([family])).digest(), "little")
+    return out
+
+
 def runs(values: np.ndarray, powers: Powers, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A polynomial hash of ``values[start:end]`` for each pair, the same wherever the run stands."""
     up, down = powers.upto(len(values) + 1)
@@ -70,7 +98,8 @@ class Words:
         starts, ends = self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         at = np.zeros(len(texts), np.int64)
         np.cumsum([len(t) + 1 for t in texts[:-1]], out=at[1:])
-        self.hash = mix(runs(data.astype(U64) + U64(1), CHARS, starts, ends))
+        self.data = data
+        self.hash = word_hashes(data, starts, ends)
         self.first = np.searchsorted(starts, at)  # first word of each text
         self.count = np.diff(np.append(self.first, len(starts)))
         self.doc = np.repeat(np.arange(len(texts)), self.count)
@@ -79,12 +108,16 @@ class Words:
         """Position of the first word of each window of ``n`` words within one text, and its hash."""
         at = np.arange(max(0, len(self.hash) - n + 1))
         at = at[self.doc[at] == self.doc[at + n - 1]] if len(at) else at
-        return at, mix(runs(self.hash, WORDS[family], at, at + n), n)
+        return at, mix(runs(self._hashes(family), WORDS[family], at, at + n), n)
+
+    def _hashes(self, family: int) -> np.ndarray:
+        """Each family hashes the words anew, so words that are alike under one are not under the other."""
+        return self.hash if family == 0 else word_hashes(self.data, self.starts, self.ends, family)
 
     def shorter(self, n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Texts of fewer words than ``n``, but not none, and a hash of all their words."""
         docs = np.flatnonzero((self.count > 0) & (self.count < n))
-        whole = runs(self.hash, WORDS[family], self.first[docs], self.first[docs] + self.count[docs])
+        whole = runs(self._hashes(family), WORDS[family], self.first[docs], self.first[docs] + self.count[docs])
         return docs, mix(whole ^ mix(self.count[docs].astype(U64), 7), n)
 
 
@@ -137,8 +170,9 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, total: int, block_bytes: int = BLOCK_BYTES, tag: Column | None = None) -> DataFrame:
     """``doc_id``, ``text``, the ``block`` of each row, and ``tag`` if given; the number of blocks follows ``total``.
 
-    The block comes from the id and the text, so neither one source nor rows without id share one."""
-    key: Column = F.xxhash64(F.col(id_col), F.col(text_col))
+    The block comes from the id, the text and the row's number, if ``tag`` is one, so neither one source nor rows
+    without id nor repeated rows share one."""
+    key: Column = F.xxhash64(F.col(id_col), F.col(text_col), *([] if tag is None else [tag]))
     n = max(1, -(-total // block_bytes))
     more = [] if tag is None else [tag.alias("tag")]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.pmod(key, F.lit(n)).cast("int").alias("block"), *more)

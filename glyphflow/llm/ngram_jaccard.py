@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from glyphflow.llm import routed_sketch as sketch
 from glyphflow.llm.blocks import U64, Words, give_back, in_blocks, mix, slices, text_bytes
 from glyphflow.llm.components import components
-from glyphflow.llm.skew import left_join, small
+from glyphflow.llm.skew import inner_join, left_join, small
 from glyphflow.llm.storage import materialize
 
 SHINGLE = 5
@@ -179,7 +179,8 @@ def link_sets(nodes: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> D
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = nodes.select("node", "central", F.explode("prefix").alias("token"))
     hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node")).getField("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub")
-    circles = materialize(posted.join(hubs, "token").where("node <> hub").select("hub", "node").distinct(), "circles")
+    hubs = materialize(hubs, "hubs")
+    circles = materialize(inner_join(posted, hubs, ["token"], F.col("node"), hubs.count(), 24).where("node <> hub").select("hub", "node").distinct(), "circles")
     met = circles.count()
     groups = max(partitions, -(-met // 2048))
     dealt = lambda df: df.withColumn("g", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(groups)))

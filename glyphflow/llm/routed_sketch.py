@@ -33,8 +33,10 @@ class Shape:
 
     @staticmethod
     def of(keys: int) -> Shape:
-        """At least two cells for each of so many keys."""
-        return Shape(max(10, (2 * max(1, keys) - 1).bit_length()))
+        """At least two cells for each of so many keys.  Beyond 2**34 cells the slices grow, to 256 MB at most, so
+        that blocks send fewer messages."""
+        width = max(10, (2 * max(1, keys) - 1).bit_length())
+        return Shape(width, min(27, max(24, width - 10)))
 
     @property
     def slices(self) -> int:

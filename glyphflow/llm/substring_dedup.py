@@ -3,7 +3,8 @@
 1. Every block of documents counts its windows of ``n`` words into a routed count-min sketch
    (:mod:`glyphflow.llm.routed_sketch`), which over-estimates and so loses no repeated window.
 2. Only windows estimated to be in two documents or more are sent, once per block with the
-   smallest document id there, to the shard of their 128-bit hash.  The shard finds the smallest id
+   smallest document id there, to the shard of their 128-bit hash (two families that hash the words
+   themselves anew).  The shard finds the smallest id
    of all and answers one bit per window: whether a smaller id than the block's own exists.
 3. The block marks the words that such windows cover.
 
@@ -34,9 +35,10 @@ _NOTE = "block int, shard int, hash1 binary, hash2 binary, least binary"
 
 
 class _Windows:
-    """The distinct windows of a block in order of their hashes, and where they are."""
+    """The distinct windows of a block in order of their hashes, and where they are; by the first hash alone
+    if that will do (for counts that may be too high)."""
 
-    def __init__(self, t: pa.Table, n: int) -> None:
+    def __init__(self, t: pa.Table, n: int, both: bool = True) -> None:
         self.texts = [x or b"" for x in t["text"].cast(pa.binary()).to_pylist()]
         ids = t["doc_id"].to_pylist()
         self.known = np.array([x is not None for x in ids], bool)
@@ -46,7 +48,7 @@ class _Windows:
         for start, some in slices(self.texts):
             w = Words(some)
             at, h1 = w.windows(n)
-            h2 = w.windows(n, 1)[1]
+            h2 = w.windows(n, 1)[1] if both else h1
             doc = w.doc[at] + start
             self.words[start : start + len(some)] = w.count
             keep = self.known[doc]
@@ -79,7 +81,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bits = max(0, (total // 6 // SHARD_WINDOWS).bit_length())
 
     def send(t: pa.Table) -> pa.Table:
-        w = _Windows(t, window)
+        w = _Windows(t, window, both=False)
         return sketch.sent_table(sketch.cell_rows(t["block"][0].as_py(), w.h1, w.docs, shape))
 
     def shards(h1: np.ndarray) -> list[tuple[int, int, int]]:
