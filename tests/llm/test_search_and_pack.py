@@ -41,6 +41,29 @@ def contamination_by_hand(given, items, span=13):
     return out
 
 
+def test_a_phrase_that_all_items_have():
+    """A thousand items share twelve words, and a document has them a thousand times: nothing is found, at once."""
+    from time import process_time
+
+    phrase = " ".join(f"w{k}" for k in range(12))
+    index = decontamination.Index([(str(k), f"a{k} {phrase} b{k}".encode()) for k in range(1000)], 13, 5)
+    began = process_time()
+    found = list(decontamination._find_all([" ".join(f"x{k} {phrase} y{k}" for k in range(1000)).encode(), f"a7 {phrase} b7".encode()], index))
+    assert process_time() - began < 1
+    assert found == [(14000, [], []), (14, [{"start": 0, "end": 14}], ["7"])]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", 100)
+    rng = random.Random(6)
+    text = [f"v{rng.randrange(300)}" for _ in range(2000)]
+    items = [(k, " ".join(text[k * 31 : k * 31 + 20 + k])) for k in range(40)] + [(99, "v1 v2")]
+    index = decontamination.Index([(str(k), t.encode()) for k, t in items], 13, 5)
+    (found,) = decontamination._find_all([" ".join(text).encode()], index)
+    (by_hand,) = contamination_by_hand([(0, " ".join(text))], items).values()
+    assert (found[0], sum(h["end"] - h["start"] for h in found[1]), found[2]) == by_hand
+
+
 @pytest.mark.parametrize("part", [4_000_000, 40])
 def test_decontamination(spark, monkeypatch, part):
     monkeypatch.setattr(decontamination, "PART_WORDS", part)
@@ -101,6 +124,29 @@ def test_neighbours_are_alike():
     assert next(shard.neighbours(0)) == 3
 
 
+def test_all_of_the_seeds_ids_count():
+    """The order is that of the whole BM25 score, whatever the number of neighbours and ids."""
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(2, 400, rng.integers(1, 300)), 1).astype(np.uint16) for _ in range(400)]
+    counts = np.bincount(np.concatenate([np.unique(d[:-1]) for d in docs]), minlength=400)
+    idf, mean = np.log(1 + (len(docs) - counts + 0.5) / (counts + 0.5)), float(np.mean([len(d) - 1 for d in docs]))
+    shard = packing.Shard(docs, idf, mean)
+    shard.take(3)
+    scores = []
+    for d in docs:
+        tf = np.bincount(d[:-1], minlength=400)
+        own = np.intersect1d(d[:-1], docs[3][:-1])
+        norm = packing.K1 * (1 - packing.B + packing.B * (len(d) - 1) / mean)
+        scores.append(float(sum(np.float32(idf[t] * tf[t] * (packing.K1 + 1) / (tf[t] + norm)) for t in own)))
+    found = []
+    for d in shard.neighbours(3):
+        found.append(d)
+        shard.take(d)
+    want = [d for d in sorted(range(len(docs)), key=lambda d: (-scores[d], d)) if d != 3 and scores[d] > 0]
+    assert sorted(found) == sorted(want)
+    assert all(scores[a] >= scores[b] - 1e-3 for a, b in zip(found, found[1:]))
+
+
 def test_warc(spark, tmp_path):
     big, other = "é<p>" * 400, "x" * 2000
     pages = [(k, f"http://h/{k}", big) for k in range(5)] + [(9, "u", other), (10, None, None), (11, "http://h/a\r\nb", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 40), (12, "u", "small"), (13, "u", "small"), (4, "http://h/4", big), (None, "v", other), (14, "w", "")]
@@ -144,6 +190,30 @@ def test_broken_archives_are_not_passed_over():
         list(warc.parse(b"junk\r\n\r\n"))
 
 
+def test_broken_archives_as_rows(spark, tmp_path):
+    good = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(good + b"WARC/1.0\r\nContent-Length: 9\r\n\r\nshort")
+    (tmp_path / "b" / "y.warc").write_bytes(good[:-4] + b"\r\n\r\njunk\r\n\r\n")
+    found = warc.read_records(spark, str(tmp_path / "b"), broken="row").collect()
+    assert sorted(r.type for r in found) == ["broken", "broken", "resource", "resource"]
+    assert {r.fields["error"] for r in found if r.type == "broken"} == {"an archive ends within a record", "no WARC record where one should begin"}
+    assert warc.assemble(warc.read_records(spark, str(tmp_path / "b"), broken="row")).count() == 2
+
+
+def test_archives_by_size(spark, tmp_path, monkeypatch):
+    """Large pages stand alone, small ones together; no pages make no captures."""
+    monkeypatch.setattr(warc, "SIZES", [100, 1000])
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    pages = [(k, "u", "x" * n) for k, n in enumerate([0, 5, 100, 101, 1000, 1001, 5000])]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_captures(frame, str(tmp_path / "w"))
+    found = warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).withColumn("page_id", warc.page_id_of()).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in found) == [(k, len(t)) for k, _, t in pages]
+    warc.write_captures(frame.where("false"), str(tmp_path / "none"))
+    assert warc.assemble(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     given = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(300)]
