@@ -153,7 +153,7 @@ class Shard:
         self.rows = np.searchsorted(self.doc, np.arange(self.n + 1))
         self.weight = weight
         order = np.argsort(self.term, kind="stable")
-        self.posted, self.value = self.doc[order], weight[order]
+        self.posted, self.value = self.doc[order].astype(np.intp), weight[order].astype(np.float64)  # as they are added up
         self.start = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
         self.used = np.zeros(self.n, bool)
         self.next = 0
