@@ -25,20 +25,25 @@ def osa(a: str, b: str) -> Column:
             s -> element_at(s.last, -1)))[0]""")
 
 
+def letters(word: str) -> Column:
+    """The letters of a word in order."""
+    return F.array_join(F.array_sort(F.split(F.col(word), "")), "")
+
+
 def letters_apart(a: str, b: str) -> Column:
     """Distance of the sorted letters: 0 for swaps, 1 for an insertion or deletion, 2 at most for a substitution."""
-    ordered = lambda c: F.array_join(F.array_sort(F.split(F.col(c), "")), "")
-    return F.levenshtein(ordered(a), ordered(b))
+    return F.levenshtein(letters(a), letters(b))
 
 
-def bounded_osa(a: str, b: str, most: int) -> Column:
+def bounded_osa(a: str, b: str, most: int, apart: Column | None = None) -> Column:
     """Distance where it is at most ``most``, else null.
 
     With x swaps and y other edits, Levenshtein's distance is at most 2x + y and the sorted letters are
     at most 2y apart.  So the built-in with a threshold drops most pairs, swaps can shorten the way only
-    where the letters are close, and only such pairs need the full table."""
+    where the letters are close, and only such pairs need the full table.  ``apart``: the distance of the sorted
+    letters, where it is known."""
     lev = F.expr(f"levenshtein({a}, {b}, {2 * most})")
-    others = F.ceil(letters_apart(a, b) / 2)
+    others = F.ceil((letters_apart(a, b) if apart is None else apart) / 2)
     room = F.least(lev - 2, 2 * most - lev)
     full = F.when(lev <= 1, lev).when(others <= F.when(lev <= most, lev - 2).otherwise(room), osa(a, b)).when(lev <= most, lev)
     return F.when(lev >= 0, F.when(full <= most, full))
@@ -55,12 +60,35 @@ def deletions(word: Column, most: int) -> Column:
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
+#: Words beyond this length have too many remainders; they are cut into segments instead.
+LONG_WORD = 40
+
+
+def _segments(word: Column, most: int, entered: bool) -> Column:
+    """Keys of long words: ``2 * most + 1`` segments of its own length, or all that words within ``most`` edits can have
+    as theirs.  An edit, a swap of neighbours too, breaks two segments at most and moves the others by ``most`` places."""
+    parts = 2 * most + 1
+    cut = lambda n, k: F.floor(n * k / parts).cast("int")
+    key = lambda n, k, shift: F.concat_ws("\x00", F.lit(""), n.cast("string"), k.cast("string"), F.substring(word, cut(n, k) + 1 + shift, cut(n, k + 1) - cut(n, k)))
+    numbers, around = F.sequence(F.lit(0), F.lit(parts - 1)), F.sequence(F.lit(-most), F.lit(most))
+    if entered:
+        return F.transform(numbers, lambda k: key(F.length(word), k, F.lit(0)))
+    made = F.flatten(F.transform(around, lambda d: F.flatten(F.transform(numbers, lambda k: F.transform(around, lambda shift: F.when(cut(F.length(word) + d, k) + shift >= 0, key(F.length(word) + d, k, shift)))))))
+    return F.array_distinct(F.filter(made, lambda x: x.isNotNull()))
+
+
 def close_pairs(words: DataFrame, others: DataFrame, most: int, word: str = "word", other: str = "candidate") -> DataFrame:
     """Pairs (``word``, ``other``, ``distance``) of distinct words within ``most`` edits.
 
     Two words that close have a common remainder after up to ``most`` deletions from each, so an
-    equi-join on remainders finds them all without comparing every word with every other."""
-    left = words.select(F.col(word)).distinct().withColumn("__rest", F.explode(deletions(F.col(word), most)))
-    right = others.select(F.col(other)).distinct().withColumn("__rest", F.explode(deletions(F.col(other), most)))
-    met = left.join(right, "__rest").select(word, other).distinct()
-    return met.withColumn("distance", bounded_osa(word, other, most)).where("distance is not null")
+    equi-join on remainders finds them all without comparing every word with every other.  Of long words, of
+    which there would be very many remainders, one of few segments is common."""
+    def keys(c: str, entered: bool) -> Column:
+        none, n = F.array().cast("array<string>"), F.length(c)
+        rests = F.when(n <= LONG_WORD, deletions(F.col(c), most)).otherwise(none)
+        return F.concat(rests, F.when(n > LONG_WORD - most, _segments(F.col(c), most, entered)).otherwise(none))
+
+    left = words.select(F.col(word)).distinct().select(word, letters(word).alias("__letters"), F.explode(keys(word, True)).alias("__rest"))
+    right = others.select(F.col(other)).distinct().select(other, letters(other).alias("__others"), F.explode(keys(other, False)).alias("__rest"))
+    met = left.join(right, "__rest").select(word, other, "__letters", "__others").distinct()
+    return met.withColumn("distance", bounded_osa(word, other, most, F.levenshtein("__letters", "__others"))).where("distance is not null").drop("__letters", "__others")

@@ -130,8 +130,16 @@ def estimate(share: Column, n: Column) -> tuple[Column, Column, Column]:
     return share, share - half, share + half
 
 
-def format_percent(share: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", share.cast("double") * 100), F.lit("N/A (division by zero)"))
+def percent(share: Column) -> Column:
+    """Percent to one place, half up; ``N/A (division by zero)`` for no share."""
+    return F.coalesce(F.format_string("%.1f%%", F.floor(share.cast("double") * 1000 + 0.5) / 10.0), F.lit("N/A (division by zero)"))
+
+
+def format_estimate(hits: Column, n: Column) -> Column:
+    """A share with its counts and the half width of its 95 % interval."""
+    share = F.try_divide(hits.cast("double"), n.cast("double"))
+    half = 1.96 * F.sqrt(share * (1 - share) / n)
+    return F.concat(percent(share), F.lit(" ("), hits.cast("string"), F.lit("/"), n.cast("string"), F.lit("), 95 % interval +-"), percent(half))
 
 
 def format_suggestions(suggestions: Column, most: int = 3) -> Column:
@@ -141,8 +149,10 @@ def format_suggestions(suggestions: Column, most: int = 3) -> Column:
 
 
 def preview(c: Column, most: int = 300) -> Column:
-    more = F.length(c) - most
-    return F.when(more > 0, F.concat(F.substring(c, 1, most), F.lit(" ["), more.cast("string"), F.lit(" more characters]"))).otherwise(c)
+    """The trimmed text, or its first characters and how many more there are."""
+    own = trim(c)
+    more = F.length(own) - most
+    return F.when(more > 0, F.concat(F.substring(own, 1, most), F.lit(" ["), more.cast("string"), F.lit(" more characters]"))).otherwise(own)
 
 
 def composed(words: DataFrame, col: str) -> DataFrame:

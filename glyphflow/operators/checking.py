@@ -20,10 +20,16 @@ def text_accuracy(total: Column, errors: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise((total - errors) * 100.0 / F.when(total == 0, 1).otherwise(total))
 
 
+#: Most words of an input type, and its name.
+INPUT_TYPES = [(1, "Single Word"), (20, "Short Sentence"), (300, "Paragraph")]
+LARGE = "Large Text"
+FILTERED_FROM = 20
+
+
 def strategy(words: Column) -> Column:
     """``input_type`` and whether candidates are filtered by length, from the number of words."""
-    kind = F.when(words <= 1, "Single Word").when(words <= 20, "Short Sentence").when(words <= 300, "Paragraph").otherwise("Large Text")
-    return F.struct(kind.alias("input_type"), (words > 20).alias("use_filtering"))
+    kind = F.coalesce(*(F.when(words <= most, name) for most, name in INPUT_TYPES), F.lit(LARGE))
+    return F.struct(kind.alias("input_type"), (words > FILTERED_FROM).alias("use_filtering"))
 
 
 def document_accuracy(docs: DataFrame, tokens: DataFrame, dictionary: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -59,12 +65,16 @@ def analyze(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text
     return errors.join(own, "word", "left").select(id_col, "line", "word_number", "raw", "word", F.coalesce("suggestions", none).alias("suggestions"))
 
 
-def check(docs: DataFrame, dictionary: DataFrame, common: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Errors by the potential-error rule, and staged suggestions for their distinct words."""
+def check(docs: DataFrame, dictionary: DataFrame, common: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Errors by the potential-error rule, and staged suggestions for their distinct words.
+
+    ``keep``: the wrong words and their suggestions, which are as many as the vocabulary has, are persisted, so that
+    several reports of one check do not search anew."""
     found = K.tokens(docs, id_col, text_col)
     wrong = D.potential_errors(found, dictionary, common)
-    errors = found.join(wrong, "word")
-    return errors, S.suggest_staged(wrong, dictionary, common)
+    wrong = wrong.persist() if keep else wrong
+    suggestions = S.suggest_staged(wrong, dictionary, common, keep=keep)
+    return found.join(wrong, "word"), suggestions.persist() if keep else suggestions
 
 
 def check_summary(docs: DataFrame, errors: DataFrame, suggestions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

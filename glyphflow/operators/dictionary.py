@@ -61,3 +61,24 @@ def potential_errors(words: DataFrame, dictionary: DataFrame, common: DataFrame,
 def linear_lookup(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The same answer as ``known`` by a plan without hashing, for comparison of speed."""
     return words.join(dictionary.select("word").distinct().hint("merge"), "word", "left_semi")
+
+
+def lookup_comparison(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """One row: ``tokens``, how many of them either lookup knows, and whether they agree."""
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    one = known(counts, dictionary).agg(F.sum("n").alias("known"))
+    other = linear_lookup(counts, dictionary).agg(F.sum("n").alias("known_linear"))
+    out = counts.agg(F.sum("n").alias("tokens")).crossJoin(one).crossJoin(other)  # one row each
+    return out.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "known", "known_linear"))).withColumn("agree", F.col("known") == F.col("known_linear"))
+
+
+def lookup_times(words: DataFrame, dictionary: DataFrame) -> dict[str, float | None]:
+    """Seconds of either lookup of all words, and how many times faster the hashed one is (none if it took no time)."""
+    from time import perf_counter
+
+    took = {}
+    for name, lookup in (("hashed", known), ("linear", linear_lookup)):
+        began = perf_counter()
+        lookup(words, dictionary).agg(F.count(F.lit(1))).first()
+        took[name] = perf_counter() - began
+    return took | {"speed_up": took["linear"] / took["hashed"] if took["hashed"] else None}

@@ -69,19 +69,32 @@ def corrupt_plainly(word: Column) -> Column:
     return corrupt_at(word, F.length(word) % 4, at, F.when(here == "q", "z").otherwise("q"))
 
 
+ATTEMPTS = 8
+
+
+def draw(seed: int, attempt: Column, what: str, key: Column, n: Column) -> Column:
+    """A number below ``n`` from a hash of the key: the same on every machine, unlike the next draw's."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), attempt.cast("string"), F.lit(f"{what}:"), key).cast("binary")), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), n.cast("long")).cast("int")
+
+
 def corrupt(words: DataFrame, seed: int, word: str = "word", name: str = "corrupted") -> DataFrame:
-    """One random typing error in each word, never the word itself."""
-    draw = lambda k, n: F.floor(F.rand(seed + k) * n).cast("int")
-    drawn = words.withColumns({"__kind": draw(0, F.lit(4)), "__at": draw(1, F.greatest(F.lit(1), F.length(word))), "__letter": F.substring(F.lit(LETTERS), draw(2, F.lit(26)) + 1, F.lit(1))})
-    made = drawn.withColumn(name, corrupt_at(F.col(word), F.col("__kind"), F.col("__at"), F.col("__letter")))
-    # A swap of equal letters or a substitution by itself changes nothing: insert instead.
-    again = corrupt_at(F.col(word), F.lit(1), F.col("__at"), F.col("__letter"))
-    return made.withColumn(name, F.when(F.col(name) == F.col(word), again).otherwise(F.col(name))).drop("__kind", "__at", "__letter")
+    """One random typing error in each word, never the word itself: a letter goes, comes (anywhere, also at the end), is
+    another one or changes places with the next.  What leaves the word as it was is drawn again."""
+    w = F.col(word)
+    kinds = F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), lambda k: F.struct(k.alias("k"), draw(seed, k, "kind", w, F.lit(4)).alias("kind"), draw(seed, k, "letter", w, F.lit(26)).alias("letter")))
+    kinds = F.filter(kinds, lambda d: (F.length(w) > 1) | d["kind"].isin(1, 2))
+    places = lambda d: F.greatest(F.lit(1), F.when(d["kind"] == 1, F.length(w) + 1).when(d["kind"] == 3, F.length(w) - 1).otherwise(F.length(w)))
+    drawn = F.transform(kinds, lambda d: F.struct(d["kind"].alias("kind"), F.substring(F.lit(LETTERS), d["letter"] + 1, F.lit(1)).alias("letter"), draw(seed, d["k"], "at", w, places(d)).alias("at")))
+    made = F.filter(F.transform(drawn, lambda d: corrupt_at(w, d["kind"], d["at"], d["letter"])), lambda x: x != w)
+    return words.withColumn(name, F.coalesce(F.get(made, F.lit(0)), F.concat(w, F.lit("x"))))
 
 
-def reservoir(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """Exactly ``min(size, rows)`` rows, each equally likely."""
-    return df.orderBy(F.rand(seed)).limit(size)
+def reservoir(df: DataFrame, size: int, seed: int, key: str | None = None) -> DataFrame:
+    """Exactly ``min(size, rows)`` rows, each equally likely; by the hash of a key without repeats, if one is named,
+    which draws the same rows each time."""
+    order = F.rand(seed) if key is None else F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(order).limit(size)
 
 
 def monte_carlo(dictionary: DataFrame, common: DataFrame, trials: int = 40, seed: int = 7) -> DataFrame:
@@ -89,8 +102,8 @@ def monte_carlo(dictionary: DataFrame, common: DataFrame, trials: int = 40, seed
     words of five letters or more; the trials are between 5 and 300."""
     trials = min(300, max(5, trials))
     pool = common.where(F.length("word") >= 5).select("word")
-    # A sample drawn again would be another one: it is a few hundred rows and so made a local table.
-    drawn = pool.sparkSession.createDataFrame(corrupt(reservoir(pool, trials, seed), seed + 1).collect(), "word string, corrupted string")
+    # A few hundred rows, so they are made a local table: what follows needs them several times.
+    drawn = pool.sparkSession.createDataFrame(corrupt(reservoir(pool, trials, seed, "word"), seed + 1).collect(), "word string, corrupted string")
     wrong = D.potential_errors(drawn.select(F.col("corrupted").alias("word")), dictionary, common).select(F.col("word").alias("corrupted"), F.lit(True).alias("detected"))
     ranked = S.suggest_staged(wrong.select(F.col("corrupted").alias("word")), dictionary, common)
     listed = ranked.groupBy(F.col("word").alias("corrupted")).agg(F.min_by("candidate", "rank").alias("top1"), F.collect_set("candidate").alias("found"))

@@ -15,6 +15,13 @@ def exclusive_scan(df: DataFrame, value: str, order: list[str], by: list[str], n
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
 
+def scan_check(scanned: DataFrame, value: str, order: list[str], by: list[str], scan: str = "scan") -> DataFrame:
+    """``agrees``: whether each scan is the one before it and that one's value, and the first is 0."""
+    own = Window.partitionBy(*by).orderBy(*order)
+    step = F.coalesce(F.lag(scan).over(own) + F.lag(value).over(own), F.lit(0))
+    return scanned.withColumn("__same", F.col(scan) == step).groupBy(*by).agg(F.every("__same").alias("agrees"))
+
+
 def scan_array(values: Column) -> Column:
     """The same for an array of integers."""
     return F.transform(values, lambda v, i: F.aggregate(F.slice(values, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))

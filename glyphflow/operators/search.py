@@ -16,15 +16,29 @@ def occurrences(text: Column, keyword: Column) -> Column:
     return F.when(keyword == "", 0).otherwise(F.regexp_count(text, _ahead(keyword)))
 
 
+RUN = 128
+
+
+def sums_before(values: Column) -> Column:
+    """For each number of an array, the sum of those before it: sums of runs first, then within each run, so the work
+    grows with the array and not with its square."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / RUN).cast("int")), lambda r: F.slice(values, r * RUN + 1, F.lit(RUN)))
+
+    def within(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + total(p)))
+        return F.transform(F.array(ends), lambda e: F.flatten(F.transform(parts, lambda p, r: F.transform(p, lambda x, i: F.get(e, r) + total(F.slice(p, F.lit(1), i))))))[0]
+
+    return F.transform(F.array(runs), within)[0]
+
+
 def positions(text: Column, pattern: Column) -> Column:
-    """All starts from 0, overlaps included, in one pass: the text is cut before each occurrence and the
-    lengths of the pieces add up to the starts."""
+    """All starts from 0, overlaps included: the text is cut before each occurrence and the lengths of the
+    pieces add up to the starts."""
     none = F.array().cast("array<int>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
     # Every piece but a first one without the pattern begins where the pattern does.
-    pieces = F.split(text, _ahead(pattern), -1)
-    cut = F.aggregate(pieces, start, lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.array_append(acc["found"], acc["at"]).alias("found")))["found"]
-    return F.when((F.length(pattern) > 0) & F.contains(text, pattern), F.when(F.startswith(text, pattern), cut).otherwise(F.slice(cut, F.lit(2), F.size(pieces)))).otherwise(none)
+    starts = F.transform(F.array(F.transform(F.split(text, _ahead(pattern), -1), F.length)), sums_before)[0]
+    return F.when((F.length(pattern) > 0) & F.contains(text, pattern), F.filter(starts, lambda k, i: (i > 0) | F.startswith(text, pattern))).otherwise(none)
 
 
 def keyword_analytics(articles: DataFrame, keyword: str, text_col: str = "content") -> DataFrame:
@@ -84,6 +98,15 @@ def in_scan_order(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def summary(texts: DataFrame, patterns: DataFrame, matches: DataFrame, id_col: str = "doc_id", shown: int = 10) -> DataFrame:
     """For each text and pattern, the number of matches and the first positions, zeros included."""
     every = texts.select(id_col).withColumn("pattern", F.explode(F.lit([r["pattern"] for r in patterns.orderBy("ord").collect()])))
-    own = matches.groupBy(id_col, "pattern").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("start")), 1, shown).alias("first"))
+    counts = matches.groupBy(id_col, "pattern").agg(F.count(F.lit(1)).alias("n"))
+    first = matches.withColumn("at", F.row_number().over(Window.partitionBy(id_col, "pattern").orderBy("start"))).where(F.col("at") <= shown)
+    first = first.groupBy(id_col, "pattern").agg(F.sort_array(F.collect_list("start")).alias("first"))  # ``shown`` at most
+    own = counts.join(first, [id_col, "pattern"])
     none = F.array().cast("array<int>")
     return every.join(own, [id_col, "pattern"], "left").select(id_col, "pattern", F.coalesce("n", F.lit(0)).alias("matches"), F.coalesce("first", none).alias("first_positions"))
+
+
+def demo_scan(words: DataFrame, texts: DataFrame, limit: int, order: str = "rank", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Occurrences of the first ``limit`` words in texts in lower case; the words stay as they are."""
+    first = words.orderBy(order).limit(limit).select((F.row_number().over(Window.orderBy(order)) - 1).alias("ord"), F.col("word").alias("pattern"))
+    return multi_search(texts.select(id_col, F.lower(text_col).alias(text_col)), first, id_col, text_col)

@@ -76,12 +76,14 @@ def suggest_ranked(words: DataFrame, dictionary: DataFrame, common: DataFrame, t
     return _top(_keyed(pairs, common), _keys(), top).select("word", "rank", "candidate", "distance", "sounds_alike", "common")
 
 
-def suggest_staged(words: DataFrame, dictionary: DataFrame, common: DataFrame, top: int = TOP) -> DataFrame:
+def suggest_staged(words: DataFrame, dictionary: DataFrame, common: DataFrame, top: int = TOP, keep: bool = False) -> DataFrame:
     """``word, stage, rank, candidate, distance, sounds_alike``.
 
     Stage 1: for words with a letter three times in a row, the ten best for the word squeezed to two and
     to one letter, merged by the smaller distance, common words first.  Stage 2: ``suggest_ranked``.
-    Stage 3: common words at three edits.  A word gets the first stage that has any."""
+    Stage 3: common words at three edits.  A word gets the first stage that has any.  ``keep``: the first two stages'
+    results, at most ``top`` rows a word, are persisted, as the later ones leave out their words."""
+    hold = (lambda df: df.persist()) if keep else (lambda df: df)
     own = words.select("word").distinct()
     columns = ["word", "stage", "rank", "candidate", "distance", "sounds_alike"]
 
@@ -89,10 +91,10 @@ def suggest_staged(words: DataFrame, dictionary: DataFrame, common: DataFrame, t
     forms = long.select("word", F.explode(F.array(*(F.struct(F.lit(n).alias("kept"), squeeze(F.col("word"), n).alias("form")) for n in (2, 1)))).alias("f")).select("word", "f.kept", "f.form")
     best = suggest_ranked(forms.select(F.col("form").alias("word")), dictionary, common, STRETCHED_TOP)
     merged = forms.join(best.withColumnRenamed("word", "form"), "form").groupBy("word", "candidate").agg(F.min(F.struct("distance", (-F.col("kept")).alias("order"), "sounds_alike", "common")).alias("m"))
-    one = _top(merged.select("word", "candidate", "m.*"), [F.desc("common"), F.col("distance"), F.col("candidate")], top).withColumn("stage", F.lit(1)).select(columns)
+    one = hold(_top(merged.select("word", "candidate", "m.*"), [F.desc("common"), F.col("distance"), F.col("candidate")], top).withColumn("stage", F.lit(1)).select(columns))
 
     left = own.join(one.select("word").distinct(), "word", "left_anti")
-    two = suggest_ranked(left, dictionary, common, top).withColumn("stage", F.lit(2)).select(columns)
+    two = hold(suggest_ranked(left, dictionary, common, top).withColumn("stage", F.lit(2)).select(columns))
 
     left = left.join(two.select("word").distinct(), "word", "left_anti")
     frequent = dictionary.join(common.select("word"), "word", "left_semi")
@@ -108,3 +110,20 @@ def comparisons(words: DataFrame, dictionary: DataFrame, filtered: bool, most: i
     buckets = dictionary.groupBy(F.length("word").alias("len")).agg(F.count(F.lit(1)).alias("n"))
     wanted = own.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - most), F.length("word") + most)))
     return wanted.join(buckets, "len", "left").groupBy("word").agg(F.sum(F.coalesce("n", F.lit(0))).alias("comparisons"))
+
+
+def staged_comparisons(words: DataFrame, dictionary: DataFrame, staged: DataFrame) -> DataFrame:
+    """``word, comparisons``: how many distances the staged search of each word compares, with candidates filtered by
+    length: two passes for the squeezed forms of a word with a long run, one with the word if those gave nothing, and
+    a wider one if that gave nothing.  ``staged``: what the search found."""
+    own = words.select("word").distinct().join(staged.select("word", "stage").distinct(), "word", "left").withColumn("stage", F.coalesce("stage", F.lit(4)))
+    stretched = has_long_run(F.col("word"))
+    passes = F.array(
+        *(F.when(stretched, F.struct(squeeze(F.col("word"), n).alias("form"), F.lit(2).alias("most"))) for n in (2, 1)),
+        F.when(F.col("stage") > 1, F.struct(F.col("word").alias("form"), F.lit(2).alias("most"))),
+        F.when(F.col("stage") > 2, F.struct(F.col("word").alias("form"), F.lit(3).alias("most"))),
+    )
+    done = own.select("word", F.explode(passes).alias("p")).where("p is not null").select("word", F.length("p.form").alias("n"), "p.most")
+    buckets = dictionary.groupBy(F.length("word").alias("len")).agg(F.count(F.lit(1)).alias("n_words"))
+    wanted = done.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("most")), F.col("n") + F.col("most"))))
+    return wanted.join(buckets, "len", "left").groupBy("word").agg(F.sum(F.coalesce("n_words", F.lit(0))).alias("comparisons"))

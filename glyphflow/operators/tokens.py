@@ -27,9 +27,9 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def raw_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words between white space after punctuation is stripped.  A text that begins with white space, or
     has nothing, gives one empty word."""
-    split = F.split(T.strip_punctuation(F.col(text_col)), r"\s+")
-    whole = F.when((F.size(split) > 1) & (F.element_at(split, -1) == ""), F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
-    return docs.select(id_col, F.explode(whole).alias("word"))
+    cut = F.split(T.strip_punctuation(F.col(text_col)), r"\s+")
+    whole = F.transform(F.array(cut), lambda w: F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), F.slice(w, F.lit(1), F.size(w) - 1)).otherwise(w))
+    return docs.select(id_col, F.explode(F.get(whole, F.lit(0))).alias("word"))
 
 
 def word_frequency(words: DataFrame, by: list[str] | None = None) -> DataFrame:

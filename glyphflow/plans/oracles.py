@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from glyphflow.functions.text import SOUND_DIGITS, SOUND_LETTERS
-from glyphflow.plans.queries import CORES, PATTERNS, PREFIXES
+from glyphflow.operators.evaluate import ATTEMPTS, LETTERS
+from glyphflow.plans.queries import CORES, GIVEN, PATTERNS, PREFIXES
 
 WS = r"[ \t\n\x0B\f\r]+"
 
@@ -112,8 +113,15 @@ staged AS (SELECT word, 1 AS stage, rank, candidate, distance FROM one UNION ALL
     )
 
 
-GRAPHS = "g AS (SELECT DISTINCT l_suppkey % 100 AS graph_id, CAST(l_partkey % 9 AS INTEGER) AS u, CAST(l_orderkey % 9 AS INTEGER) AS v FROM lineitem WHERE l_partkey % 9 < l_orderkey % 9)"
-NETS = "n AS (SELECT l_suppkey % 100 AS graph_id, CAST(l_partkey % 9 AS INTEGER) AS u, CAST(l_orderkey % 9 AS INTEGER) AS v, count(*) AS cap FROM lineitem WHERE l_partkey % 9 < l_orderkey % 9 GROUP BY ALL)"
+GEN1 = f"""
+w AS (SELECT DISTINCT word FROM btok WHERE word NOT IN (SELECT word FROM dict)),
+b AS MATERIALIZED (SELECT w.word, d.word AS candidate, {swaps('w.word', 'd.word')} AS low FROM w JOIN dict d ON abs(length(w.word) - length(d.word)) <= 2),
+-- The three best score at most the third smallest low bound, or what that is by the full distance: one more covers it.
+t AS MATERIALIZED (SELECT * FROM (SELECT *, nth_value(low, 3) OVER (PARTITION BY word ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM b) WHERE third IS NULL OR low <= third + 2),
+k AS (SELECT word, candidate, {osa('word', 'candidate')} AS distance, ({sound('word')}) = ({sound('candidate')}) AS sounds_alike FROM t),
+gen1 AS (SELECT word, rank, candidate, CAST(distance AS BIGINT) AS distance, sounds_alike FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance - CASE WHEN sounds_alike THEN 0.5 ELSE 0 END, candidate) AS rank FROM k) WHERE rank <= 3)"""
+GRAPHS = "g AS (SELECT DISTINCT l_suppkey AS graph_id, CAST(least(l_partkey % 9, l_orderkey % 9) AS INTEGER) AS u, CAST(greatest(l_partkey % 9, l_orderkey % 9) AS INTEGER) AS v FROM lineitem WHERE l_partkey % 9 <> l_orderkey % 9)"
+NETS = "n AS (SELECT l_suppkey AS graph_id, CAST(l_partkey % 9 AS INTEGER) AS u, CAST(l_orderkey % 9 AS INTEGER) AS v, count(*) AS cap FROM lineitem WHERE l_partkey % 9 <> l_orderkey % 9 GROUP BY ALL)"
 #: The largest flow is the smallest cut: all sets with vertex 0 and without vertex 8.
 CUTS = f"""WITH {NETS},
 m AS (SELECT unnest(range(0, 128)) * 2 + 1 AS mask),
@@ -175,12 +183,7 @@ ORACLES: dict[str, str] = {
     "short_uncommon_errors": f"WITH {TOK},{DICT},{COMMON}, w AS (SELECT DISTINCT word FROM tok),{SHORT.format(words='w')},{NEAR.format(source='rare')} SELECT word FROM near",
     "potential_error_counts": f"WITH {TOK},{DICT},{COMMON}, w AS (SELECT DISTINCT word FROM tok),{SHORT.format(words='w')},{NEAR.format(source='rare')} SELECT doc_id, count(*) AS errors FROM tok WHERE word NOT IN (SELECT word FROM dict) OR word IN (SELECT word FROM near) GROUP BY doc_id",
     "osa_pairs": f"WITH {TOK},{COMMON}, p AS MATERIALIZED (SELECT a.word, b.word AS candidate FROM common a JOIN common b ON a.word < b.word WHERE {swaps('a.word', 'b.word')} <= 2) SELECT * FROM (SELECT word, candidate, CAST({osa('word', 'candidate')} AS BIGINT) AS distance FROM p) WHERE distance <= 2",
-    "suggest_gen1": f"""WITH {TOK},{DICT},{ITEMS}, w AS (SELECT DISTINCT word FROM btok WHERE word NOT IN (SELECT word FROM dict)),
-b AS MATERIALIZED (SELECT w.word, d.word AS candidate, {swaps('w.word', 'd.word')} AS low FROM w JOIN dict d ON abs(length(w.word) - length(d.word)) <= 2),
--- The three best score at most the third smallest low bound, or what that is by the full distance: one more covers it.
-t AS MATERIALIZED (SELECT * FROM (SELECT *, nth_value(low, 3) OVER (PARTITION BY word ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM b) WHERE third IS NULL OR low <= third + 2),
-k AS (SELECT word, candidate, {osa('word', 'candidate')} AS distance, ({sound('word')}) = ({sound('candidate')}) AS sounds_alike FROM t)
-SELECT word, rank, candidate, CAST(distance AS BIGINT) AS distance, sounds_alike FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance - CASE WHEN sounds_alike THEN 0.5 ELSE 0 END, candidate) AS rank FROM k) WHERE rank <= 3""",
+    "suggest_gen1": f"WITH {TOK},{DICT},{ITEMS},{GEN1} SELECT word, rank, candidate, distance, sounds_alike FROM gen1",
     "suggest_gen2": f"{ERRORS},{ranked('two', 'err', 'dict', 2, 3)} SELECT word, rank, candidate, CAST(distance AS BIGINT) AS distance, sounds_alike FROM two",
     "comparison_count": f"WITH {TOK},{DICT}, w AS (SELECT DISTINCT word FROM tok WHERE word NOT IN (SELECT word FROM dict)), h AS (SELECT length(word) AS len, count(*) AS n FROM dict GROUP BY len) SELECT word, CAST(coalesce(sum(n), 0) AS BIGINT) AS comparisons, (SELECT count(*) FROM dict) AS unfiltered FROM w LEFT JOIN h ON h.len BETWEEN greatest(1, length(word) - 2) AND length(word) + 2 GROUP BY word",
     "keyword_occurrences": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'the')) AS BIGINT) AS occurrences FROM documents",
@@ -191,7 +194,7 @@ SELECT word, rank, candidate, CAST(distance AS BIGINT) AS distance, sounds_alike
     "corrupted_words": f"WITH {TOK},{COMMON},{PAIRS} SELECT correct, corrupted FROM pairs",
     "confusion": f"{CONFUSION} SELECT tp, fp, fn, tn FROM c",
     "prf": f"{CONFUSION} SELECT tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS f1 FROM c",
-    "reservoir_size": "SELECT CAST(100 AS BIGINT) AS n",
+    "reservoir_size": f"WITH {TOK},{COMMON} SELECT least(100, count(*)) AS n, least(100, count(*)) AS different, least(100, count(*)) AS of_the_pool FROM common",
     "prefix_scan": f"WITH {LINE_WORDS} SELECT doc_id, line, n, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM lw",
     "turn_scan": f"WITH t AS (SELECT conv_id, turn, CAST(len(regexp_split_to_array({trimmed('text')}, '{WS}')) AS BIGINT) AS n FROM conversations) SELECT conv_id, turn, n, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM t",
     "work_span": f"WITH {LINE_WORDS}, s AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS work, max(n) + CAST(ceil(log2(greatest(2, count(*)))) AS BIGINT) AS span FROM lw GROUP BY doc_id) SELECT doc_id, work, span, work / greatest(1, span) AS speed_up, work // {CORES} + span AS bound FROM s",
@@ -230,3 +233,125 @@ x AS (SELECT doc_id, line, pos, CASE WHEN candidate IS NULL THEN piece WHEN rege
   FROM p LEFT JOIN (SELECT word, candidate FROM staged WHERE rank = 1) b ON b.word = lower(piece)),
 l AS (SELECT doc_id, line, string_agg(piece, '' ORDER BY pos) AS t FROM x GROUP BY ALL)
 SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS corrected FROM l GROUP BY doc_id"""
+
+
+# Random errors and samples, drawn by hashes
+
+DRAW = "CAST(('0x' || substr(md5('{seed}:{what}:' || {key}), 1, 8))::BIGINT % ({n}) AS INTEGER)"
+
+
+def corrupted(word: str, seed: int) -> str:
+    """The first of the attempts that changes the word."""
+    tried = []
+    for k in range(ATTEMPTS):
+        own = lambda what, n: DRAW.format(seed=seed, what=f"{k}{what}", key=word, n=n)  # noqa: B023, E731
+        kind, letter = own("kind", 4), f"substr('{LETTERS}', {own('letter', 26)} + 1, 1)"
+        at = own("at", f"greatest(1, CASE {kind} WHEN 1 THEN length({word}) + 1 WHEN 3 THEN length({word}) - 1 ELSE length({word}) END)")
+        begin = f"substr({word}, 1, {at})"
+        made = f"""CASE WHEN length({word}) < 2 AND {kind} IN (0, 3) THEN NULL WHEN {kind} = 0 THEN {begin} || substr({word}, {at} + 2)
+  WHEN {kind} = 1 THEN {begin} || {letter} || substr({word}, {at} + 1) WHEN {kind} = 2 THEN {begin} || {letter} || substr({word}, {at} + 2)
+  ELSE {begin} || substr({word}, {at} + 2, 1) || substr({word}, {at} + 1, 1) || substr({word}, {at} + 3) END"""
+        tried.append(f"nullif({made}, {word})")
+    return f"coalesce({', '.join(tried)}, {word} || 'x')"
+
+
+ORACLES["random_errors"] = f"WITH {TOK},{DICT} SELECT word, {corrupted('word', 11)} AS corrupted FROM dict"
+ORACLES["reservoir_words"] = f"WITH {TOK},{COMMON} SELECT word FROM common ORDER BY md5('7:' || word) LIMIT 100"
+SHARE = "count(*) FILTER ({}) / count(*)"
+ORACLES["monte_carlo"] = f"""WITH {TOK},{DICT},{COMMON},
+drawn AS (SELECT word, {corrupted('word', 8)} AS corrupted FROM (SELECT word FROM common WHERE length(word) >= 5 ORDER BY md5('7:' || word) LIMIT 40)),
+cw AS (SELECT DISTINCT corrupted AS word FROM drawn),{SHORT.format(words='cw')},{NEAR.format(source='rare')},
+err AS (SELECT word FROM cw WHERE word NOT IN (SELECT word FROM dict) UNION SELECT word FROM near),{staged('err')},
+f AS (SELECT d.corrupted IN (SELECT word FROM err) AS found, (d.corrupted, d.word) IN (SELECT (word, candidate) FROM staged WHERE rank = 1) AS first, (d.corrupted, d.word) IN (SELECT (word, candidate) FROM staged) AS among FROM drawn d),
+s AS (SELECT count(*) AS trials, {SHARE.format('found')} AS detection, {SHARE.format('first')} AS top1, {SHARE.format('among')} AS top3 FROM f)
+SELECT trials, detection, top1, top3, """ + ", ".join(f"{c} {sign} 1.96 * sqrt({c} * (1 - {c}) / trials) AS {c}_{side}" for c in ("detection", "top1", "top3") for sign, side in (("-", "low"), ("+", "high"))) + " FROM s"
+
+# Word lists, pairs, edges, articles
+
+FILE_LINES = r"""
+fl AS (SELECT doc_id, unnest(l) AS value, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents))"""
+ORACLES["word_list_lines"] = f"WITH {FILE_LINES}, w AS (SELECT nfc_normalize(lower({trimmed('value')})) AS word FROM fl) SELECT word, CAST(length(word) AS BIGINT) AS len, count(*) AS n FROM w WHERE word <> '' GROUP BY word"
+ORACLES["word_list_distinct"] = f"WITH {FILE_LINES}, w AS (SELECT lower({trimmed('value')}) AS word, doc_id * 10000000 + pos AS pos FROM fl) SELECT min(pos) AS pos, word, CAST(length(word) AS BIGINT) AS len FROM w WHERE word <> '' GROUP BY word"
+ORACLES["labelled_pairs"] = f"""WITH {TOK},{COMMON},{PAIRS},{FILE_LINES},
+v AS (SELECT {trimmed('value')} AS line FROM fl UNION ALL SELECT {trimmed("(' ' || correct || ' , ' || corrupted)")} FROM pairs),
+p AS (SELECT string_split(regexp_replace(line, ',+$', ''), ',') AS p FROM v WHERE line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, 'correct,'))
+SELECT lower({trimmed('p[1]')}) AS correct, lower({trimmed('p[2]')}) AS corrupted, count(*) AS n FROM p WHERE len(p) = 2 GROUP BY ALL"""
+ORACLES["parsed_edges"] = "SELECT DISTINCT l_suppkey AS graph_id, l_partkey AS u, l_orderkey AS v FROM lineitem"
+CONTENT = "array_to_string(list_transform(l[4:], lambda x: x || ' '), '')"
+ORACLES["article_listing"] = rf"""WITH a AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r') END AS l FROM documents)
+SELECT doc_id AS article_no, coalesce(l[1], 'Untitled') AS title, coalesce(l[2], 'Unknown Author') AS author, coalesce(l[3], 'Unknown Date') AS date,
+  CAST(CASE WHEN {trimmed(CONTENT)} = '' THEN 0 ELSE len(regexp_split_to_array({trimmed(CONTENT)}, '{WS}')) END AS BIGINT) AS words FROM a"""
+ORACLES["cover_report"] = f"""WITH a AS ({ORACLES['approx_cover']}), x AS ({ORACLES['exact_cover']})
+SELECT graph_id, vertices, size AS approximate, matched, minimum, covers, size / minimum AS ratio, size <= 2 * minimum AS within_twice FROM a JOIN x USING (graph_id)"""
+
+# Lookups, scans, comparisons
+
+ORACLES["lookup_benchmark"] = f"WITH {TOK},{DICT}, c AS (SELECT count(*) AS tokens, count(*) FILTER (word IN (SELECT word FROM dict)) AS known FROM tok) SELECT tokens, known, known AS known_linear, true AS agree FROM c"
+ORACLES["scan_check"] = f"WITH {LINES} SELECT doc_id, true AS agrees FROM cut WHERE len(l) > 0"
+ORACLES["demo_scan"] = f"""WITH {TOK},{COMMON},
+parts AS (SELECT doc_id, word, unnest(p) AS part, generate_subscripts(p, 1) AS i, len(p) AS k FROM (SELECT doc_id, word, string_split(lower(text), word) AS p FROM documents, common WHERE rank < 20)),
+ends AS (SELECT doc_id, word, i, k, CAST(sum(length(part)) OVER (PARTITION BY doc_id, word ORDER BY i) AS BIGINT) + (i - 1) * length(word) AS start FROM parts)
+SELECT doc_id, word AS pattern, start, start + length(word) - 1 AS end_index FROM ends WHERE i < k"""
+ORACLES["staged_comparisons"] = f"""{CHECKED},
+h AS (SELECT length(word) AS len, count(*) AS n FROM dict GROUP BY len),
+g AS (SELECT e.word, min(stage) AS stage FROM err e LEFT JOIN staged s ON s.word = e.word GROUP BY e.word),
+passes AS (SELECT word, length(form) AS n, 2 AS most FROM stretched UNION ALL SELECT word, length(word), 2 FROM g WHERE coalesce(stage, 4) > 1 UNION ALL SELECT word, length(word), 3 FROM g WHERE coalesce(stage, 4) > 2)
+SELECT word, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS comparisons FROM passes p LEFT JOIN h ON h.len BETWEEN greatest(1, p.n - most) AND p.n + most GROUP BY word"""
+
+# Reports
+
+
+def percent(x: str) -> str:
+    return f"coalesce(printf('%.1f%%', floor(({x}) * 1000 + 0.5) / 10.0), 'N/A (division by zero)')"
+
+
+KNOWN_SHARE = "(CASE WHEN total_words = 0 THEN NULL ELSE (total_words - errors_found) / total_words END)"
+ORACLES["accuracy_estimates"] = f"""{DOC_ACC}, e AS (SELECT *, {KNOWN_SHARE} AS p FROM r)
+SELECT doc_id, {percent('p')} || ' (' || (total_words - errors_found) || '/' || total_words || '), 95 % interval +-' || {percent('1.96 * sqrt(p * (1 - p) / total_words)')} AS estimate FROM e"""
+ITEM_TOTALS = f"""
+bs AS (SELECT doc_id, count(*) AS total_words, count(*) FILTER (word NOT IN (SELECT word FROM dict)) AS errors_found FROM btok GROUP BY doc_id),
+br AS (SELECT item_id AS doc_id, coalesce(total_words, 0) AS total_words, coalesce(errors_found, 0) AS errors_found FROM benchmark LEFT JOIN bs ON bs.doc_id = item_id),
+bt AS (SELECT *, {ACC} AS accuracy_percent FROM br),
+be AS (SELECT * FROM btok WHERE word NOT IN (SELECT word FROM dict))"""
+BATCH = f"WITH {TOK},{DICT},{ITEMS},{GEN1},{ITEM_TOTALS}"
+ORACLES["json_batch_report"] = f"""{BATCH},
+s AS (SELECT word, list(candidate ORDER BY rank) AS found FROM gen1 GROUP BY word),
+e AS (SELECT doc_id, list({{'line': line, 'word_number': word_number, 'word': raw, 'suggestions': coalesce(found, [])}} ORDER BY line, word_number) AS errors FROM be LEFT JOIN s USING (word) GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS source, CAST(to_json({{'source': CAST(doc_id AS VARCHAR), 'total_words': total_words, 'errors_found': errors_found, 'accuracy_percent': CAST(accuracy_percent AS DOUBLE), 'errors': coalesce(errors, [])}}) AS VARCHAR) AS report FROM bt LEFT JOIN e USING (doc_id)"""
+ORACLES["json_text_report"] = f"""{BATCH},
+s AS (SELECT word, list({{'word': candidate, 'edit_distance': distance, 'phonetic_match': sounds_alike}} ORDER BY rank) AS found FROM gen1 GROUP BY word),
+e AS (SELECT doc_id, list({{'word': word, 'suggestions': coalesce(found, [])}} ORDER BY line, word_number) AS errors FROM be LEFT JOIN s USING (word) GROUP BY doc_id)
+SELECT doc_id, CAST(to_json({{'doc_id': doc_id, 'total_words_scanned': total_words, 'errors_found': errors_found, 'accuracy_percent': CAST(accuracy_percent AS DOUBLE), 'dictionary_size': (SELECT count(*) FROM dict), 'errors': coalesce(errors, [])}}) AS VARCHAR) AS report FROM bt LEFT JOIN e USING (doc_id)"""
+ORACLES["printed_report"] = f"""{BATCH},
+s AS (SELECT word, string_agg(candidate, ', ' ORDER BY rank) AS found FROM gen1 GROUP BY word),
+e AS (SELECT doc_id, string_agg('Line ' || line || ', Word ' || word_number || ': "' || raw || '"' || chr(10) || '   Suggestions: ' || coalesce(found, '(none found)'), chr(10) ORDER BY line, word_number) AS errors FROM be LEFT JOIN s USING (word) GROUP BY doc_id)
+SELECT doc_id, 'Total words: ' || total_words || '   Correct: ' || (total_words - errors_found) || '   Errors: ' || errors_found || '   Accuracy: ' || CAST(accuracy_percent AS DOUBLE) || '%' || chr(10) || coalesce(errors, 'No spelling errors found.') AS report FROM bt LEFT JOIN e USING (doc_id)"""
+ORACLES["printed_summary"] = f"""WITH o AS ({ORACLES['overall_accuracy']})
+SELECT 'Documents processed: ' || documents || chr(10) || 'Total words scanned: ' || total_words || chr(10) || 'Total errors found: ' || errors_found || chr(10) || 'Overall accuracy: ' || CAST(accuracy_percent AS DOUBLE) || '%' AS report FROM o"""
+
+
+def preview(c: str) -> str:
+    own = trimmed(c)
+    return f"CASE WHEN length({own}) > 300 THEN substr({own}, 1, 300) || ' [' || (length({own}) - 300) || ' more characters]' ELSE {own} END"
+
+
+def report(start: str, summary: str, corrected_sql: str, texts: str) -> str:
+    """The composed report after common table expressions with ``btok``, ``err`` and ``staged``."""
+    return f"""{start},
+sm AS ({summary}), ct AS ({corrected_sql}),
+er AS (SELECT doc_id, line, word_number, raw, row_number() OVER (PARTITION BY doc_id ORDER BY line, word_number) AS n FROM btok WHERE word IN (SELECT word FROM err)),
+fe AS (SELECT doc_id, string_agg('Line ' || line || ', Word ' || word_number || ': ' || raw, chr(10) ORDER BY n) FILTER (n <= 20) AS t, count(*) AS c FROM er GROUP BY doc_id),
+sg AS (SELECT word, string_agg(candidate || ' (' || distance || ')', ', ' ORDER BY rank) AS t FROM staged GROUP BY word),
+oe AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, word_number) AS n FROM (SELECT doc_id, word, line, word_number FROM btok WHERE word IN (SELECT word FROM err) QUALIFY row_number() OVER (PARTITION BY doc_id, word ORDER BY line, word_number) = 1)),
+fs AS (SELECT doc_id, string_agg(oe.word || ' -> ' || coalesce(sg.t, 'none within 3 edits'), chr(10) ORDER BY n) FILTER (n <= 20) AS t, count(*) AS c FROM oe LEFT JOIN sg USING (word) GROUP BY doc_id)
+SELECT sm.doc_id, input_type, use_filtering, total_tokens, characters, errors_found, suggestions_generated, {preview('text')} AS input, {preview("coalesce(corrected, '')")} AS output,
+  coalesce(fe.t, '') AS first_errors, greatest(0, coalesce(fe.c, 0) - 20) AS more_errors, coalesce(fs.t, '') AS first_suggestions, greatest(0, coalesce(fs.c, 0) - 20) AS more_suggestions,
+  {percent('CASE WHEN total_tokens = 0 THEN 0.0 ELSE (total_tokens - errors_found) / total_tokens END')} AS text_accuracy
+FROM sm JOIN {texts} x ON x.item_id = sm.doc_id LEFT JOIN ct USING (doc_id) LEFT JOIN fe USING (doc_id) LEFT JOIN fs USING (doc_id)"""
+
+
+SUMMARY, CORRECTED = (ORACLES[k].removeprefix(CHECKED).lstrip(",") for k in ("check_summary", "corrected_text"))
+ORACLES["spell_report"] = report(CHECKED, "WITH " + SUMMARY.lstrip(), "WITH " + CORRECTED.lstrip(), "benchmark")
+GIVEN_TEXT = f"given AS (SELECT 'given' AS item_id, '{' '.join(GIVEN)}' AS text)"
+_one = lambda sql: sql.replace("FROM benchmark", "FROM given")
+ORACLES["quick_check"] = report(_one(CHECKED).replace("WITH ", f"WITH {GIVEN_TEXT}, ", 1), _one("WITH " + SUMMARY.lstrip()), "WITH " + CORRECTED.lstrip(), "given")

@@ -50,11 +50,12 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return D.derive(_tokens(spark, sf))
+    """Loaded once, as a word list from a file would be: its size is the vocabulary's."""
+    return D.derive(_tokens(spark, sf)).persist()
 
 
 def _common(spark: SparkSession, sf: str) -> DataFrame:
-    return D.derive_common(_tokens(spark, sf))
+    return D.derive_common(_tokens(spark, sf)).persist()
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,6 +183,11 @@ def linear_lookup(spark, sf):
     return D.linear_lookup(_words(spark, sf), _dictionary(spark, sf))
 
 
+@query
+def lookup_benchmark(spark, sf):
+    return D.lookup_comparison(_tokens(spark, sf), _dictionary(spark, sf))
+
+
 @query
 def prefix_lookup(spark, sf):
     prefixes = spark.createDataFrame([(p,) for p in PREFIXES], "prefix string")
@@ -287,9 +293,23 @@ def comparison_count(spark, sf):
     return S.comparisons(wrong, dictionary, True).join(S.comparisons(wrong, dictionary, False).withColumnRenamed("comparisons", "unfiltered"), "word")
 
 
+@query
+def staged_comparisons(spark, sf):
+    wrong, dictionary, common = _item_errors(spark, sf)
+    return S.staged_comparisons(wrong, dictionary, S.suggest_staged(wrong, dictionary, common))
+
+
+@query
+def suggest_documents(spark, sf):
+    """Staged suggestions for every error word of all documents."""
+    dictionary, common = _dictionary(spark, sf), _common(spark, sf)
+    wrong = D.potential_errors(_words(spark, sf), dictionary, common).persist()  # the vocabulary's size
+    return S.suggest_staged(wrong, dictionary, common, keep=True).select("word", F.col("stage").cast("long"), F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"))
+
+
 def _checked(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = _items(spark, sf)
-    return items, *C.check(items, _dictionary(spark, sf), _common(spark, sf))
+    return items, *C.check(items, _dictionary(spark, sf), _common(spark, sf), keep=True)
 
 
 @query
@@ -303,17 +323,63 @@ def corrected_text(spark, sf):
 
 
 @query
-def one_to_one_corrections(spark, sf):
-    """For each benchmark item, different corrections for as many of its errors as possible."""
-    _, errors, suggestions = _checked(spark, sf)
-    first = errors.groupBy("doc_id", F.col("word").alias("error")).agg(F.min(F.struct("line", "word_number")).alias("at"))
+def spell_report(spark, sf):
+    """The report of a check of each benchmark item."""
+    items, errors, suggestions = _checked(spark, sf)
+    return reports.check_report(items, errors, suggestions, C.check_summary(items, errors, suggestions), C.corrected_text(items, errors, suggestions))
+
+
+GIVEN = ["Of", "thsi", "and", "teh", "ohter", "tionn", "in", "hheee", "the", "xqzwv"]
+
+
+@query
+def quick_check(spark, sf):
+    """The report for words as a command line gives them."""
+    given = readers.words_given(spark, GIVEN)
+    errors, suggestions = C.check(given, _dictionary(spark, sf), _common(spark, sf), keep=True)
+    return reports.check_report(given, errors, suggestions, C.check_summary(given, errors, suggestions), C.corrected_text(given, errors, suggestions))
+
+
+def _checked_documents(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _docs(spark, sf)
+    return docs, *C.check(docs, _dictionary(spark, sf), _common(spark, sf), keep=True)
+
+
+@query
+def check_documents(spark, sf):
+    """``check_summary`` of all documents."""
+    return C.check_summary(*_checked_documents(spark, sf))
+
+
+@query
+def corrected_documents(spark, sf):
+    """``corrected_text`` of all documents."""
+    return C.corrected_text(*_checked_documents(spark, sf))
+
+
+def _one_to_one(errors: DataFrame, suggestions: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
+    first = errors.groupBy("doc_id", F.col("word").alias("error")).agg(F.min(F.struct("line", "word_number")).alias("at"))
     placed = first.withColumn("error_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))).drop("at")
     choices = placed.join(suggestions.select(F.col("word").alias("error"), "candidate", "rank"), "error", "left")
     return G.assign(choices.select("doc_id", "error", "error_ord", "candidate", "rank"))
 
 
+@query
+def one_to_one_corrections(spark, sf):
+    """For each benchmark item, different corrections for as many of its errors as possible."""
+    return _one_to_one(*_checked(spark, sf)[1:])
+
+
+@query
+def accuracy_estimates(spark, sf):
+    """The share of known words of each document with its interval, in print."""
+    found = doc_accuracy(spark, sf)
+    known = F.col("total_words") - F.col("errors_found")
+    return found.select("doc_id", T.format_estimate(known, F.col("total_words")).alias("estimate"))
+
+
 # Search
 
 
@@ -352,6 +418,13 @@ def trie_nodes(spark, sf):
     return K.pattern_nodes(_dictionary(spark, sf).select(F.col("word").alias("pattern")))
 
 
+@query
+def demo_scan(spark, sf):
+    """The twenty most frequent words in all documents."""
+    found = P.demo_scan(_common(spark, sf), _docs(spark, sf), 20)
+    return found.select("doc_id", "pattern", F.col("start").cast("long"), F.col("end_index").cast("long"))
+
+
 # Evaluation
 
 
@@ -392,8 +465,23 @@ def failure_list(spark, sf):
 
 @query
 def reservoir_size(spark, sf):
-    """A sampling operator: a hundred of the common words."""
-    return E.reservoir(_common(spark, sf), 100, 7).agg(F.count(F.lit(1)).alias("n"))
+    """A sampling operator: a hundred of the common words, how many they are, and that they are among them."""
+    common = _common(spark, sf)
+    drawn = E.reservoir(common, 100, 7)
+    joined = drawn.join(common.select("word", F.lit(True).alias("there")), "word", "left")
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("different"), F.count("there").alias("of_the_pool"))
+
+
+@query
+def reservoir_words(spark, sf):
+    """The same by a hash of the word."""
+    return E.reservoir(_common(spark, sf), 100, 7, "word").select("word")
+
+
+@query
+def random_errors(spark, sf):
+    """A random typing error in each word of the dictionary."""
+    return E.corrupt(_dictionary(spark, sf).select("word"), 11)
 
 
 @query
@@ -414,6 +502,11 @@ def prefix_scan(spark, sf):
     return N.exclusive_scan(_line_words(spark, sf), "n", ["line"], ["doc_id"])
 
 
+@query
+def scan_check(spark, sf):
+    return N.scan_check(N.exclusive_scan(_line_words(spark, sf), "n", ["line"], ["doc_id"]), "n", ["line"], ["doc_id"])
+
+
 @query
 def turn_scan(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", T.count_words(F.col("text")).cast("long").alias("n"))
@@ -453,9 +546,10 @@ def prime_report(spark, sf):
 
 
 def _graphs(spark, sf) -> DataFrame:
-    """A graph for each supplier: its parts' and orders' keys modulo 9 are the vertices."""
+    """A graph for each supplier: its parts' and orders' keys modulo 9 are the vertices, so that all covers can be tried."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
-    rows = items.select((F.col("l_suppkey") % 100).alias("graph_id"), (F.col("l_partkey") % 9).cast("int").alias("u"), (F.col("l_orderkey") % 9).cast("int").alias("v")).where("u < v").distinct()
+    part, order = (F.col("l_partkey") % 9).cast("int"), (F.col("l_orderkey") % 9).cast("int")
+    rows = items.select(F.col("l_suppkey").alias("graph_id"), F.least(part, order).alias("u"), F.greatest(part, order).alias("v")).where("u < v").distinct()
     return rows.withColumn("ord", F.col("u") * 9 + F.col("v"))
 
 
@@ -477,9 +571,9 @@ def cover_report(spark, sf):
 
 
 def _networks(spark, sf) -> DataFrame:
-    """Flows between vertices 0 and 8 of the same graphs; the number of lines is an edge's capacity."""
+    """Flows from vertex 0 to 8, from parts to orders; the number of lines is an edge's capacity."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
-    rows = items.select((F.col("l_suppkey") % 100).alias("graph_id"), (F.col("l_partkey") % 9).cast("int").alias("u"), (F.col("l_orderkey") % 9).cast("int").alias("v")).where("u < v")
+    rows = items.select(F.col("l_suppkey").alias("graph_id"), (F.col("l_partkey") % 9).cast("int").alias("u"), (F.col("l_orderkey") % 9).cast("int").alias("v")).where("u <> v")
     return rows.groupBy("graph_id", "u", "v").agg(F.count(F.lit(1)).alias("cap")).withColumns({"ord": F.col("u") * 9 + F.col("v"), "source": F.lit(0), "sink": F.lit(8)})
 
 
@@ -493,9 +587,45 @@ def min_cut(spark, sf):
     return G.min_cut(_networks(spark, sf)).groupBy("graph_id").agg(F.sum("cap").alias("capacity"))
 
 
+@query
+def parsed_edges(spark, sf):
+    """Edge lists as text, one for each supplier, read back."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    one = F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_orderkey").cast("string"))
+    text = items.select("l_suppkey", one.alias("e")).groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_set("e")), ",").alias("text"))
+    return text.select(F.col("l_suppkey").alias("graph_id"), F.explode(G.parse_edges(F.concat(F.col("text"), F.lit(",1-2-3,7")))).alias("e")).select("graph_id", F.col("e.u").cast("long").alias("u"), F.col("e.v").cast("long").alias("v"))
+
+
 # Articles and reports
 
 
+def _lines(spark, sf) -> DataFrame:
+    """Lines of all documents, as a word list's file has them."""
+    split = F.split("text", r"\r\n|\n|\r", -1)
+    return _docs(spark, sf).select("doc_id", F.posexplode(split).alias("pos", "value"))
+
+
+@query
+def word_list_lines(spark, sf):
+    """Every line of the documents as an entry of a word list."""
+    return readers.parse_word_list(_lines(spark, sf)).groupBy("word", F.col("len").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def word_list_distinct(spark, sf):
+    """Every line as an entry at its first place, the places being the documents' in order."""
+    lines = _lines(spark, sf).select((F.col("doc_id") * 10000000 + F.col("pos")).alias("pos"), "value")
+    return readers.parse_distinct_words(lines).select("pos", "word", F.col("len").cast("long"))
+
+
+@query
+def labelled_pairs(spark, sf):
+    """Every line as a labelled pair, with the common words as pairs among them."""
+    lines = _lines(spark, sf).select("value")
+    pairs = _pairs(spark, sf).select(F.concat(F.lit(" "), "correct", F.lit(" , "), "corrupted").alias("value"))
+    return readers.parse_pairs(lines.unionByName(pairs)).groupBy("correct", "corrupted").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def article_listing(spark, sf):
     """The documents read as articles."""
@@ -503,17 +633,29 @@ def article_listing(spark, sf):
     return reports.listing(read).withColumn("words", F.col("words").cast("long"))
 
 
+def _batch(docs, dictionary) -> tuple[DataFrame, DataFrame]:
+    return C.analyze(docs, dictionary), C.document_accuracy(docs, K.tokens_composed(docs), dictionary)
+
+
 @query
 def json_batch_report(spark, sf):
-    items, dictionary = _items(spark, sf), _dictionary(spark, sf)
-    totals = C.document_accuracy(items, K.tokens_composed(items), dictionary)
-    report = reports.batch_report(C.analyze(items, dictionary), totals)
+    report = reports.batch_report(*_batch(_items(spark, sf), _dictionary(spark, sf)))
     return report.select("source", F.to_json(F.struct("*")).alias("report"))
 
 
 @query
 def json_text_report(spark, sf):
-    items, dictionary = _items(spark, sf), _dictionary(spark, sf)
-    totals = C.document_accuracy(items, K.tokens_composed(items), dictionary)
-    report = reports.text_report(C.analyze(items, dictionary), totals, dictionary.count())
+    dictionary = _dictionary(spark, sf)
+    report = reports.text_report(*_batch(_items(spark, sf), dictionary), dictionary.count())
     return report.select("doc_id", F.to_json(F.struct("*")).alias("report"))
+
+
+@query
+def printed_report(spark, sf):
+    return reports.printed(*_batch(_items(spark, sf), _dictionary(spark, sf)))
+
+
+@query
+def printed_summary(spark, sf):
+    docs = _docs(spark, sf)
+    return reports.printed_summary(C.document_accuracy(docs, K.tokens_composed(docs), _dictionary(spark, sf)))

@@ -19,18 +19,26 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split("value", r"\r\n|\n|\r", -1)).alias("pos", "value"))
 
 
-def word_list(spark: SparkSession, path: str) -> DataFrame:
-    """``word, len`` of each line that is not blank, trimmed, lower-cased, in normal form C; repeats stay."""
-    words = _lines(spark, path).select(F.lower(trim(F.col("value"))).alias("word")).where("word <> ''")
+def parse_word_list(lines: DataFrame) -> DataFrame:
+    """``word, len`` of each of the lines ``value`` that is not blank, trimmed, lower-cased, in normal form C; repeats stay."""
+    words = lines.select(F.lower(trim(F.col("value"))).alias("word")).where("word <> ''")
     return composed(words, "word").withColumn("len", F.length("word"))
 
 
-def distinct_words(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, word, len``: trimmed, lower-cased, each at its first place."""
-    words = _lines(spark, path).select("pos", F.lower(trim(F.col("value"))).alias("word")).where("word <> ''")
+def parse_distinct_words(lines: DataFrame) -> DataFrame:
+    """``pos, word, len`` of lines ``pos, value``: trimmed, lower-cased, each at its first place."""
+    words = lines.select("pos", F.lower(trim(F.col("value"))).alias("word")).where("word <> ''")
     return words.groupBy("word").agg(F.min("pos").alias("pos")).select("pos", "word", F.length("word").alias("len"))
 
 
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    return parse_word_list(_lines(spark, path))
+
+
+def distinct_words(spark: SparkSession, path: str) -> DataFrame:
+    return parse_distinct_words(_lines(spark, path))
+
+
 def common_words(spark: SparkSession, path: str) -> DataFrame:
     """``word, rank`` from 0 in the order of the file; a file that cannot be read gives none."""
     from pyspark.errors import AnalysisException
@@ -45,7 +53,7 @@ def common_words(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_article(text: Column) -> Column:
     """Title, author and date from the first three lines, the others each with a space after it as content."""
-    own = F.split(F.regexp_replace(text, r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r", -1)
+    own = F.split(F.regexp_replace(text, r"(\r\n|\n|\r)\z", ""), r"\r\n|\n|\r", -1)
     some = F.when(text == "", F.array().cast("array<string>")).otherwise(own)
     part = lambda i, other: F.coalesce(F.get(some, F.lit(i)), F.lit(other))
     rest = F.when(F.size(some) > 3, F.array_join(F.transform(F.slice(some, F.lit(4), F.greatest(F.size(some) - 3, F.lit(0))), lambda x: F.concat(x, F.lit(" "))), "")).otherwise("")
@@ -60,8 +68,10 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     """``article_no, name, title, author, date, content`` of the ``.txt`` files, numbered by name."""
     from pyspark.sql import Window
 
-    own = _files(spark, folder).where(F.col("name").endswith(".txt")).select("name", parse_article(F.col("text")).alias("a"))
-    return own.select(F.row_number().over(Window.orderBy("name")).alias("article_no"), "name", "a.*")
+    own = _files(spark, folder).where(F.col("name").endswith(".txt"))
+    # Only names are numbered; the texts stay where they are.
+    order = own.select("name", F.row_number().over(Window.orderBy("name")).alias("article_no"))
+    return own.select("name", parse_article(F.col("text")).alias("a")).join(order, "name").select("article_no", "name", "a.*")
 
 
 def documents(spark: SparkSession, folder: str, most: int = MOST_FILES) -> DataFrame:
@@ -69,9 +79,30 @@ def documents(spark: SparkSession, folder: str, most: int = MOST_FILES) -> DataF
     return _files(spark, folder).where(F.lower("name").endswith(".txt")).orderBy("name").limit(most).select(F.col("name").alias("doc_id"), "text")
 
 
+SAMPLE_TEXT = "Teh quikc brown fox jumsp over teh lazzy dog. It wass a suny mornign."
+
+
 def pasted(spark: SparkSession, text: str) -> DataFrame:
-    """One document from a string."""
-    return spark.createDataFrame([("pasted", text)], "doc_id string, text string")
+    """One document from a string, up to its first blank line; a sample if that is the first one."""
+    lines = text.splitlines() or [""]
+    end = next((k for k, line in enumerate(lines) if not line.strip()), len(lines))
+    return spark.createDataFrame([("pasted", "\n".join(lines[:end]) or SAMPLE_TEXT)], "doc_id string, text string")
+
+
+def words_given(spark: SparkSession, words: list[str]) -> DataFrame:
+    """One document from the words of a command line."""
+    return spark.createDataFrame([("given", " ".join(words))], "doc_id string, text string")
+
+
+def whole_file(spark: SparkSession, path: str) -> tuple[str | None, str | None]:
+    """A text file's content, or none and why it cannot be read."""
+    from pyspark.errors import PySparkException
+
+    try:
+        row = spark.read.text(path, wholetext=True).first()
+    except PySparkException as error:
+        return None, f"{path} cannot be read: {str(error).splitlines()[0]}"
+    return row["value"] if row else "", None
 
 
 def text_or_file(spark: SparkSession, given: str) -> DataFrame:
@@ -81,7 +112,9 @@ def text_or_file(spark: SparkSession, given: str) -> DataFrame:
         there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isFile()
     except Exception:  # noqa: BLE001  no such file, or not a path at all
         there = False
-    return _files(spark, given.strip()).select(F.col("name").alias("doc_id"), "text") if there else pasted(spark, given)
+    if there:
+        return _files(spark, given.strip()).select(F.col("name").alias("doc_id"), "text")
+    return spark.createDataFrame([("pasted", given)], "doc_id string, text string")
 
 
 def parse_pairs(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphflow.functions import text as T
 from glyphflow.operators.checking import accuracy
 
+#: Fixed value: rows that a report shows.
+SHOWN = 20
+
 
 def text_report(analyzed: DataFrame, totals: DataFrame, dictionary_size: int, id_col: str = "doc_id") -> DataFrame:
     """One row a document: totals and each error, normalised, with its suggestions and their distances."""
@@ -41,3 +45,47 @@ def listing(articles: DataFrame) -> DataFrame:
     from glyphflow.functions.text import count_article_words
 
     return articles.select("article_no", "title", "author", "date", count_article_words(F.col("content")).alias("words"))
+
+
+def printed(analyzed: DataFrame, totals: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``report``: the totals of a document and each error with its place and suggested words, in printable lines."""
+    place = F.concat(F.lit("Line "), F.col("line").cast("string"), F.lit(", Word "), F.col("word_number").cast("string"), F.lit(': "'), F.col("raw"), F.lit('"'))
+    words = F.array_join(F.transform("suggestions", lambda s: s["word"]), ", ")
+    told = F.concat(place, F.lit("\n   Suggestions: "), F.when(F.size("suggestions") > 0, words).otherwise("(none found)"))
+    errors = analyzed.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "word_number", told.alias("t")))), lambda e: e["t"]), "\n").alias("errors"))
+    head = F.concat(F.lit("Total words: "), F.col("total_words").cast("string"), F.lit("   Correct: "), (F.col("total_words") - F.col("errors_found")).cast("string"), F.lit("   Errors: "), F.col("errors_found").cast("string"), F.lit("   Accuracy: "), F.col("accuracy_percent").cast("string"), F.lit("%"))
+    return totals.join(errors, id_col, "left").select(id_col, F.concat(head, F.lit("\n"), F.coalesce("errors", F.lit("No spelling errors found."))).alias("report"))
+
+
+def printed_summary(totals: DataFrame) -> DataFrame:
+    """The totals over all documents in printable lines; no row when there are no documents."""
+    line = lambda name, value: F.concat(F.lit(name), value.cast("string"))
+    own = overall_summary(totals)
+    return own.select(F.concat_ws("\n", line("Documents processed: ", F.col("documents")), line("Total words scanned: ", F.col("total_words")), line("Total errors found: ", F.col("errors_found")), F.concat(line("Overall accuracy: ", F.col("accuracy_percent")), F.lit("%"))).alias("report"))
+
+
+def _first(rows: DataFrame, id_col: str, order: list[str], line: Column, name: str, shown: int) -> DataFrame:
+    """The first ``shown`` lines of each document, one under the other, and how many there are."""
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col("__n") <= shown)
+    lines = numbered.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", line.alias("t")))), lambda e: e["t"]), "\n").alias(name))
+    return lines.join(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias(f"n_{name}")), id_col)
+
+
+def check_report(docs: DataFrame, errors: DataFrame, suggestions: DataFrame, summary: DataFrame, corrected: DataFrame, id_col: str = "doc_id", text_col: str = "text", shown: int = SHOWN) -> DataFrame:
+    """The report of a spelling check, one row a document: strategy, text and corrected text in short, the first errors
+    with their places, the first distinct ones with their suggestions, how many more of either, and the accuracy."""
+    place = F.concat(F.lit("Line "), F.col("line").cast("string"), F.lit(", Word "), F.col("word_number").cast("string"), F.lit(": "), F.col("raw"))
+    found = _first(errors, id_col, ["line", "word_number"], place, "errors", shown)
+    listed = suggestions.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("candidate").alias("word"), "distance"))), lambda s: s.dropFields("rank")).alias("listed"))
+    none = F.array().cast(listed.schema["listed"].dataType)
+    once = errors.groupBy(id_col, "word").agg(F.min(F.struct("line", "word_number")).alias("at")).join(listed, "word", "left").withColumn("listed", F.coalesce("listed", none))
+    told = _first(once, id_col, ["at"], F.concat(F.col("word"), F.lit(" -> "), T.format_suggestions(F.col("listed"))), "suggestions", shown)
+    more = lambda n: F.greatest(F.lit(0), F.coalesce(n, F.lit(0)) - shown).cast("long")
+    out = summary.join(docs.select(id_col, F.col(text_col).alias("__text")), id_col).join(corrected.select(id_col, "corrected"), id_col, "left").join(found, id_col, "left").join(told, id_col, "left")
+    return out.select(
+        id_col, "input_type", "use_filtering", "total_tokens", "characters", "errors_found", "suggestions_generated",
+        T.preview(F.col("__text")).alias("input"), T.preview(F.coalesce("corrected", F.lit(""))).alias("output"),
+        F.coalesce("errors", F.lit("")).alias("first_errors"), more(F.col("n_errors")).alias("more_errors"),
+        F.coalesce("suggestions", F.lit("")).alias("first_suggestions"), more(F.col("n_suggestions")).alias("more_suggestions"),
+        T.percent(F.when(F.col("total_tokens") == 0, 0.0).otherwise((F.col("total_tokens") - F.col("errors_found")) / F.col("total_tokens"))).alias("text_accuracy"),
+    )

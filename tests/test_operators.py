@@ -10,6 +10,7 @@ from glyphflow.operators import checking as C
 from glyphflow.operators import dictionary as D
 from glyphflow.operators import evaluate as E
 from glyphflow.operators import graph as G
+from glyphflow.operators import search as P
 from glyphflow.operators import suggest as S
 from glyphflow.operators import tokens as K
 from glyphflow.sources import readers, reports
@@ -189,3 +190,48 @@ def test_streams(spark, words, tmp_path):
         run.awaitTermination(60)
     assert sorted(r.word for r in spark.table("wrong").collect()) == ["oh", "wat"]
     assert sorted((r.words, r.sentences) for r in spark.table("counts").collect()) == [(2, 1), (3, 2)]
+
+
+def test_given_texts(spark, tmp_path):
+    assert readers.pasted(spark, "one\ntwo\n \nthree").first().text == "one\ntwo"
+    assert readers.pasted(spark, "\nx").first().text == readers.SAMPLE_TEXT
+    assert readers.words_given(spark, ["a", "b"]).first().text == "a b"
+    (tmp_path / "t.txt").write_text("a\nb\n")
+    assert readers.whole_file(spark, str(tmp_path / "t.txt")) == ("a\nb\n", None)
+    text, why = readers.whole_file(spark, str(tmp_path / "none.txt"))
+    assert text is None and "none.txt cannot be read" in why
+
+
+def test_long_words_have_few_keys(spark):
+    """Long words are cut into segments: swaps, insertions and deletions are found, and thousands of letters are no load."""
+    from glyphflow.functions.distance import close_pairs
+
+    base = "".join(chr(97 + k * 7 % 26) for k in range(60))
+    words = [base, base[:20] + base[21:], base[:30] + base[31] + base[30] + base[32:], base + "xy", "q" + base + "zz", base[:41], base[:39], "z" * 5000]
+    others = [base, base[:40], "z" * 4999]
+    found = {(r.word, r.candidate): r.distance for r in close_pairs(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(w,) for w in others], "candidate string"), 2).collect()}
+    assert found == {(words[0], base): 0, (words[1], base): 1, (words[2], base): 1, (words[3], base): 2, (words[5], base[:40]): 1, (words[6], base[:40]): 1, (words[7], others[2]): 1}
+
+
+def test_drawn_errors(spark):
+    """Each is one edit away; letters come at the end, too; the same each time."""
+    words = spark.createDataFrame([(w,) for w in ["a", "ab", "aa", "hello"] + [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]], "word string")
+    found = E.corrupt(words, 3).collect()
+    assert found == E.corrupt(words, 3).collect()
+    assert all(r.word != r.corrupted and abs(len(r.word) - len(r.corrupted)) <= 1 for r in found)
+    assert any(r.corrupted[:-1] == r.word for r in found) and any(r.corrupted[1:] == r.word for r in found)
+    assert E.reservoir(words, 10, 1, "word").collect() == E.reservoir(words, 10, 1, "word").collect()
+
+
+def test_lookup_times(spark):
+    words = spark.createDataFrame([("a",), ("b",), ("a",)], "word string")
+    took = D.lookup_times(words, words.where("word = 'a'"))
+    assert took["hashed"] > 0 and took["linear"] > 0 and took["speed_up"] > 0
+
+
+def test_positions_of_many_matches(spark):
+    """Sums run by run: more matches than a run has, overlaps, a start that is one."""
+    texts = ["ab" * 500, "xab" * 300, "aaaa", "", "b", "aab" * 130 + "a"]
+    for pattern in ("ab", "a", "aa", "aba"):
+        found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.positions(F.col("t"), F.lit(pattern)).alias("p")).collect()
+        assert all(r.p == [i for i in range(len(r.t)) if r.t.startswith(pattern, i)] for r in found)
