@@ -282,3 +282,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     counted = found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return counted.withColumn("contaminated", contaminated())
+
+
+ORACLE = r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS need, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS span FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+kinds AS (SELECT DISTINCT need FROM bw),
+dw AS (SELECT doc_id, i, need, array_to_string(w[i:i + need - 1], ' ') AS span FROM (SELECT doc_id, w, need, unnest(range(1, len(w) - need + 2)) AS i FROM d, kinds WHERE len(w) >= need)),
+hits AS (SELECT doc_id, i, need, item_id FROM dw JOIN bw USING (need, span)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + need)) AS p FROM (SELECT DISTINCT doc_id, i, need FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""

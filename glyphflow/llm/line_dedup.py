@@ -225,3 +225,19 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_repeated", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: One edit: lines of one length differ in one place; a line that is longer by one gives the other without one letter.
+ORACLE = """
+WITH l AS (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) AS place FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text <> '')),
+f AS (SELECT doc_id, line, place, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) > 1 AND regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AS repeated FROM l),
+u AS (SELECT doc_id, line, place, length(line) AS n FROM f WHERE NOT repeated AND length(line) >= 24),
+pairs AS (SELECT a.line AS x, b.line AS y, a.n AS n, b.n AS k, a.doc_id AS da, a.place AS pa, b.doc_id AS db, b.place AS pb FROM u a JOIN u b ON b.n BETWEEN a.n AND a.n + 1 AND a.line <> b.line AND a.line[1:12] = b.line[1:12]
+  UNION SELECT a.line, b.line, a.n, b.n, a.doc_id, a.place, b.doc_id, b.place FROM u a JOIN u b ON b.n BETWEEN a.n AND a.n + 1 AND a.line <> b.line AND a.line[-12:] = b.line[-12:]),
+one AS (SELECT * FROM pairs WHERE CASE WHEN n = k THEN hamming(regexp_replace(x, '[^\\x00-\\x7F]', '~', 'g'), regexp_replace(y, '[^\\x00-\\x7F]', '~', 'g')) <= 1 AND len(list_filter(range(1, n + 1), lambda i: x[i] <> y[i])) = 1
+  ELSE len(list_filter(range(1, k + 1), lambda i: y[1:i - 1] || y[i + 1:] = x)) > 0 END),
+near AS (SELECT DISTINCT CASE WHEN (da, pa) < (db, pb) THEN db ELSE da END AS doc_id, CASE WHEN (da, pa) < (db, pb) THEN pb ELSE pa END AS place FROM one),
+m AS (SELECT f.*, near.doc_id IS NOT NULL AS close FROM f LEFT JOIN near USING (doc_id, place)),
+k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (repeated) AS n_repeated, count(*) FILTER (close) AS n_near, string_agg(line, chr(10) ORDER BY place) FILTER (NOT repeated AND NOT close) AS t FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_near, 0) AS n_near, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)
+"""

@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE, "op10_topk_search": topk_search.ORACLE}
+    return {
+        "op3_line_dedup": line_dedup.ORACLE,
+        "op4_benchmark_decontamination": decontamination.ORACLE,
+        "op6_warc": warc.ORACLE,
+        "op7_substring_dedup": substring_dedup.ORACLE,
+        "op8_ngram_jaccard": ngram_jaccard.ORACLE,
+        "op10_topk_search": topk_search.ORACLE,
+    }
