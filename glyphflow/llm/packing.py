@@ -104,17 +104,22 @@ def _kind(size: int) -> type:
 
 
 def tokenize(docs: DataFrame, path: str, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids`` (binary, the end id last)."""
+    """``doc_id``, ``ids`` (the end id last), and the distinct ``terms`` before it with how often (``tfs``), as binaries."""
     kind = _kind(size)
 
     def encode(batches):
         own = encoder(path)
         for b in batches:
-            ids = [np.append(own.ids(t or ""), END_ID).astype(kind).tobytes() for t in b["text"].to_pylist()]
-            yield pa.record_batch([b["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            columns: tuple[list, list, list] = ([], [], [])
+            for t in b["text"].to_pylist():
+                ids = np.append(own.ids(t or ""), END_ID).astype(kind)
+                terms, tfs = np.unique(ids[:-1], return_counts=True)
+                for column, values in zip(columns, (ids, terms, tfs.astype(np.uint32))):
+                    column.append(values.tobytes())
+            yield pa.record_batch([b["doc_id"], *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "ids", "terms", "tfs"])
         give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, terms binary, tfs binary")
 
 
 def document_counts(ids: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
@@ -124,15 +129,14 @@ def document_counts(ids: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     def count(batches):
         found, n, total = np.zeros(size, np.int64), 0, 0
         for b in batches:
-            for raw in b["ids"].to_pylist():
-                own = np.frombuffer(raw, kind)
-                found[np.unique(own[:-1])] += 1
+            for terms, size_ in zip(b["terms"].to_pylist(), b["size"].to_pylist()):
+                found[np.frombuffer(terms, kind)] += 1
                 n += 1
-                total += len(own)
+                total += size_ // kind().itemsize
         used = np.flatnonzero(found)
         yield pa.record_batch([pa.array(np.append(used, [-1, -2]), pa.int64()), pa.array(np.append(found[used], [n, total]), pa.int64())], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row for each id of the vocabulary
+    rows = ids.select("terms", F.octet_length("ids").alias("size")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row for each id of the vocabulary
     out = np.zeros(size + 2, np.int64)
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return out[:size], int(out[-1]), int(out[-2])
@@ -141,13 +145,13 @@ def document_counts(ids: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
 class Shard:
     """An inverted BM25 index of some documents."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, bags: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        """``docs``: ids, the end id last; ``bags``: their distinct ids before it, ascending, and how often, if known."""
         self.n = len(docs)
         length = np.array([len(d) - 1 for d in docs])
-        pair = np.repeat(np.arange(self.n, dtype=np.int64) << 32, length)
-        pair |= np.concatenate([d[:-1] for d in docs])
-        pair, tf = np.unique(pair, return_counts=True)
-        self.doc, self.term = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+        bags = bags or [np.unique(d[:-1], return_counts=True) for d in docs]
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in bags])
+        self.term, tf = np.concatenate([t for t, _ in bags]).astype(np.int32), np.concatenate([f for _, f in bags])
         norm = K1 * (1 - B + B * length / max(mean, 1e-9))
         weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.rows = np.searchsorted(self.doc, np.arange(self.n + 1))
@@ -238,11 +242,11 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
     def deal(batches):
         first = TaskContext.get().partitionId() << 40
-        names, own, tokens = [], [], 0
+        names, own, bags, tokens = [], [], [], 0
 
         def put():
-            nonlocal first, names, own, tokens
-            where = list(order(Shard(own, idf, mean), [len(o) for o in own], length))
+            nonlocal first, names, own, bags, tokens
+            where = list(order(Shard(own, idf, mean, bags), [len(o) for o in own], length))
             found = pieces([len(own[d]) for d in where], length)
             parts = [own[where[d]][a : a + k].astype("<u4").tobytes() for d, a, k, _, _ in found]
             columns = [
@@ -254,17 +258,18 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                 pa.array([f[4] for f in found], pa.int64()),
             ]
             first += found[-1][3] + 1
-            names, own, tokens = [], [], 0
+            names, own, bags, tokens = [], [], [], 0
             named = [c.split()[0] for c in PIECE.split(", ")]
             return pa.record_batch([*columns, pa.array(parts, pa.binary())] if with_ids else columns, names=[*named, "ids"] if with_ids else named)
 
         for b in batches:
-            for name, raw in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist()):
+            for name, raw, terms, tfs in zip(*(b[c].to_pylist() for c in ("doc_id", "ids", "terms", "tfs"))):
                 one = np.frombuffer(raw, kind)
                 if own and tokens + len(one) > SHARD_TOKENS:
                     yield put()
                 names.append(name)
                 own.append(one)
+                bags.append((np.frombuffer(terms, kind), np.frombuffer(tfs, np.uint32)))
                 tokens += len(one)
         if own:
             yield put()
