@@ -42,6 +42,7 @@ SHINGLE = 5
 PERCENT = 80
 CHUNK = 512
 ORDERS = 3
+HOT = 4096
 _FOUND = "doc_id long, tag long, n_shingles long, node binary, row long, size int, central float, prefix array<long>, others array<binary>, shingles binary"
 
 
@@ -178,9 +179,12 @@ def link_sets(nodes: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> D
     the same components as all pairs at or above the threshold."""
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = nodes.select("node", "central", F.explode("prefix").alias("token"))
-    hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node")).getField("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub")
+    hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node")).getField("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub", "n")
     hubs = materialize(hubs, "hubs")
-    circles = materialize(inner_join(posted, hubs, ["token"], F.col("node"), hubs.count(), 24).where("node <> hub").select("hub", "node").distinct(), "circles")
+    # A token that very many nodes have is no key of one task: such tokens are few, and joined by broadcast or salted.
+    often = hubs.where(F.col("n") > HOT)
+    met = posted.join(hubs.where(F.col("n") <= HOT), "token").unionByName(inner_join(posted, often, ["token"], F.col("node"), often.count(), 96))
+    circles = materialize(met.where("node <> hub").select("hub", "node").distinct(), "circles")
     met = circles.count()
     groups = max(partitions, -(-met // 2048))
     dealt = lambda df: df.withColumn("g", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(groups)))

@@ -78,6 +78,7 @@ def components_by_hand(given):
 @pytest.mark.parametrize("chunk", [512, 4])
 def test_near_duplicates(spark, monkeypatch, chunk):
     monkeypatch.setattr(ngram_jaccard.link_sets, "__defaults__", (80, chunk))
+    monkeypatch.setattr(ngram_jaccard, "HOT", chunk)  # tokens of more than four nodes are joined apart
     found = ngram_jaccard.near_duplicates(table(spark)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components_by_hand(rows())
 
