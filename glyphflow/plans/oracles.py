@@ -290,8 +290,12 @@ ORACLES["lookup_benchmark"] = f"WITH {TOK},{DICT}, c AS (SELECT count(*) AS toke
 ORACLES["scan_check"] = f"WITH {LINES} SELECT doc_id, true AS agrees FROM cut WHERE len(l) > 0"
 ORACLES["demo_scan"] = f"""WITH {TOK},{COMMON},
 parts AS (SELECT doc_id, word, unnest(p) AS part, generate_subscripts(p, 1) AS i, len(p) AS k FROM (SELECT doc_id, word, string_split(lower(text), word) AS p FROM documents, common WHERE rank < 20)),
-ends AS (SELECT doc_id, word, i, k, CAST(sum(length(part)) OVER (PARTITION BY doc_id, word ORDER BY i) AS BIGINT) + (i - 1) * length(word) AS start FROM parts)
-SELECT doc_id, word AS pattern, start, start + length(word) - 1 AS end_index FROM ends WHERE i < k"""
+ends AS (SELECT doc_id, word, i, k, CAST(sum(length(part)) OVER (PARTITION BY doc_id, word ORDER BY i) AS BIGINT) + (i - 1) * length(word) AS start FROM parts),
+apart AS (SELECT doc_id, word, start FROM ends WHERE i < k),
+-- What overlaps an occurrence begins where the word's end is its beginning.
+shifts AS (SELECT word, s FROM (SELECT word, unnest(range(1, length(word))) AS s FROM common WHERE rank < 20) WHERE word[s + 1:] = word[1:length(word) - s]),
+every AS (SELECT * FROM apart UNION SELECT a.doc_id, a.word, a.start + s FROM apart a JOIN shifts USING (word) JOIN documents d ON d.doc_id = a.doc_id WHERE substr(lower(d.text), a.start + s + 1, length(a.word)) = a.word)
+SELECT doc_id, word AS pattern, start, start + length(word) - 1 AS end_index FROM every"""
 ORACLES["staged_comparisons"] = f"""{CHECKED},
 h AS (SELECT length(word) AS len, count(*) AS n FROM dict GROUP BY len),
 g AS (SELECT e.word, min(stage) AS stage FROM err e LEFT JOIN staged s ON s.word = e.word GROUP BY e.word),
