@@ -37,7 +37,7 @@ from glyphflow.llm.blocks import U64, Words, give_back, mix, slices
 
 THRESHOLD = 0.5
 LABELLED = 20_000
-SAMPLE = 5_000
+SAMPLE = 2_000
 PRIOR = 50.0
 PASSAGE = 64
 SIGNIFICANT = 25.0
@@ -284,7 +284,7 @@ class Model:
 
     def scores(self, t: Texts) -> np.ndarray:
         doc, bucket, value = t.buckets(self.lexicon)
-        return 1 / (1 + np.exp(-(np.bincount(doc, self.weights[bucket] * value, minlength=len(t.words)) + self.weights[-1])))
+        return 1 / (1 + np.exp(-(np.bincount(doc, self.weights[bucket] * value, minlength=len(t.words)) + float(self.weights[-1]))))
 
 
 def learn_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -377,7 +377,10 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text"
     some = marked.where(F.when(F.col("bad").isNotNull(), chosen(n_told)).otherwise(chosen(n_rest)))
     drawn = some.select("text", F.col("bad").cast("int").alias("bad")).mapInArrow(features, "target double, buckets binary, amounts binary").orderBy(F.xxhash64("buckets", "amounts"), "target").toPandas()
     rows = [(np.frombuffer(b, np.int32), np.frombuffer(v, np.float16)) for b, v in zip(drawn["buckets"], drawn["amounts"])]
-    return Model(lexicon, learn_scorer(rows, drawn["target"].to_numpy(float)), of, right, prior)
+    model = Model(lexicon, learn_scorer(rows, drawn["target"].to_numpy(float)).astype(np.float32), of, right, prior)
+    del rows, drawn
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, model: Model | None = None, labels: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
