@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphflow.llm import decontamination, line_dedup, ngram_jaccard, packing, quality_classifier, secret_scan, sharding, substring_dedup, topk_search, warc
+from glyphflow.llm import ball_kmeans, bpe, decontamination, line_dedup, ngram_jaccard, packing, quality_classifier, secret_scan, sharding, substring_dedup, topk_search, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_ngram_jaccard": ngram_jaccard.query,
         "op9_quality_classifier": quality_classifier.query,
         "op10_topk_search": topk_search.query,
+        "op11_centroid_clustering": ball_kmeans.query,
+        "op12_embedding_whitening": whitening.query,
+        "op13_bpe_encoding": bpe.query,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": substring_dedup.ORACLE,
         "op8_ngram_jaccard": ngram_jaccard.ORACLE,
         "op10_topk_search": topk_search.ORACLE,
+        "op11_centroid_clustering": ball_kmeans.ORACLE,
     }
