@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from glyphflow.functions.lineage import settled
 
 
 def osa(a: str, b: str) -> Column:
@@ -35,18 +40,65 @@ def letters_apart(a: str, b: str) -> Column:
     return F.levenshtein(letters(a), letters(b))
 
 
-def bounded_osa(a: str, b: str, most: int, apart: Column | None = None) -> Column:
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of words, a row each, and lengths."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.int32)
+    codes = np.zeros((len(words), int(lengths.max(initial=0))), np.int32)
+    codes[np.arange(codes.shape[1]) < lengths[:, None]] = flat
+    return codes, lengths
+
+
+def osa_of_rows(one: list[str], other: list[str]) -> np.ndarray:
+    """Distances of many pairs at once: a cell of all their tables is a few array operations."""
+    (a, n), (b, m) = _codes(one), _codes(other)
+    rows, width = len(one), b.shape[1]
+    older, last = None, np.tile(np.arange(width + 1, dtype=np.int32), (rows, 1))
+    out = last[np.arange(rows), m].copy()
+    for i in range(a.shape[1]):
+        here = np.empty_like(last)
+        here[:, 0] = i + 1
+        differ = a[:, i : i + 1] != b
+        for j in range(1, width + 1):
+            cell = np.minimum(np.minimum(here[:, j - 1], last[:, j]) + 1, last[:, j - 1] + differ[:, j - 1])
+            if i and j > 1:
+                swap = (a[:, i] == b[:, j - 2]) & (a[:, i - 1] == b[:, j - 1])
+                cell = np.where(swap, np.minimum(cell, older[:, j - 2] + 1), cell)
+            here[:, j] = cell
+        older, last = last, here
+        ended = np.flatnonzero(n == i + 1)
+        out[ended] = last[ended, m[ended]]
+    return out
+
+
+#: Pairs of about one length that are worked out together.
+TOGETHER = 4096
+
+
+def _osa_where(one: pd.Series, other: pd.Series) -> pd.Series:
+    """``osa`` of the rows that have both words."""
+    out = np.full(len(one), np.nan)
+    there = np.flatnonzero((one.notna() & other.notna()).to_numpy())
+    a, b = one.to_numpy()[there], other.to_numpy()[there]
+    order = np.argsort([max(len(x), len(y)) for x, y in zip(a, b)], kind="stable")
+    for k in range(0, len(order), TOGETHER):
+        some = order[k : k + TOGETHER]
+        out[there[some]] = osa_of_rows(list(a[some]), list(b[some]))
+    return pd.Series(out).astype("Int32")
+
+
+def bounded_osa(a: str, b: str, most: int) -> Column:
     """Distance where it is at most ``most``, else null.
 
     With x swaps and y other edits, Levenshtein's distance is at most 2x + y and the sorted letters are
     at most 2y apart.  So the built-in with a threshold drops most pairs, swaps can shorten the way only
-    where the letters are close, and only such pairs need the full table.  ``apart``: the distance of the sorted
-    letters, where it is known."""
+    where the letters are close, and only such pairs need the full table: they alone go to Python, in Arrow batches."""
     lev = F.expr(f"levenshtein({a}, {b}, {2 * most})")
-    others = F.ceil((letters_apart(a, b) if apart is None else apart) / 2)
-    room = F.least(lev - 2, 2 * most - lev)
-    full = F.when(lev <= 1, lev).when(others <= F.when(lev <= most, lev - 2).otherwise(room), osa(a, b)).when(lev <= most, lev)
-    return F.when(lev >= 0, F.when(full <= most, full))
+    room = F.when(lev <= most, lev - 2).otherwise(F.least(lev - 2, 2 * most - lev))
+    open_ = (lev > 1) & (F.ceil(letters_apart(a, b) / 2) <= room)
+    table = F.pandas_udf(_osa_where, IntegerType())
+    full = F.coalesce(table(F.when(open_, F.col(a)), F.when(open_, F.col(b))), lev)
+    return F.when((lev >= 0) & (full <= most), full)
 
 
 def deletions(word: Column, most: int) -> Column:
@@ -61,7 +113,9 @@ def deletions(word: Column, most: int) -> Column:
 
 
 #: Words beyond this length have too many remainders; they are cut into segments instead.
-LONG_WORD = 40
+LONG_WORD = {1: 40, 2: 40, 3: 20}
+#: Remainders that more entries have than this are met together with the places of what was deleted.
+HOT_ENTRIES = 1024
 
 
 def _segments(word: Column, most: int, entered: bool) -> Column:
@@ -77,18 +131,87 @@ def _segments(word: Column, most: int, entered: bool) -> Column:
     return F.array_distinct(F.filter(made, lambda x: x.isNotNull()))
 
 
+def _placed_deletions(word: Column, n: int) -> Column:
+    """``rest, slots`` for each way to delete ``n`` letters: the slot of a letter is the number of letters before it that stay."""
+    found = F.array(F.struct(word.alias("rest"), F.array().cast("array<int>").alias("slots")))
+    for _ in range(n):
+        found = F.flatten(
+            F.transform(
+                found,
+                lambda e: F.when(
+                    F.coalesce(F.try_element_at(e["slots"], F.lit(-1)), F.lit(0)) < F.length(e["rest"]),
+                    F.transform(
+                        F.sequence(F.coalesce(F.try_element_at(e["slots"], F.lit(-1)), F.lit(0)), F.length(e["rest"]) - 1),
+                        lambda j: F.struct(F.concat(F.substring(e["rest"], F.lit(1), j), F.substring(e["rest"], j + 2, F.length(e["rest"]))).alias("rest"), F.array_append(e["slots"], j).alias("slots")),
+                    ),
+                ).otherwise(F.array().cast("array<struct<rest:string,slots:array<int>>>")),
+            )
+        )
+    return found
+
+
+def _choices(slots: Column, n: int, given: int, shifted: bool) -> Column:
+    """``n`` of ``given`` slots in every way, each one less in every way too if ``shifted``, as text."""
+    from itertools import combinations, product
+
+    ways = [F.concat_ws(",", *((F.get(slots, F.lit(i)) - s).cast("string") for i, s in zip(which, less))) for which in combinations(range(given), n) for less in product((0, 1) if shifted else (0,), repeat=n)]
+    return F.array_distinct(F.array(*ways))
+
+
+def _placed_keys(word: str, most: int, first: bool) -> Column:
+    """``__rest, __places`` of a word: with p letters deleted from the first word and q from the second, at least p + q - most of
+    them belong together (substituted, or one of two that changed places), and stand in the same slot, or the second's is one more."""
+    def places(slots: Column, own: int) -> Column:
+        ways = []
+        for other in range(most + 1):
+            p, q = (own, other) if first else (other, own)
+            ways.append(F.transform(_choices(slots, max(0, p + q - most), own, not first), _after(f"{p}{q}:")))
+        return F.flatten(F.array(*ways))
+
+    def entries(own: int) -> Column:
+        return F.transform(_placed_deletions(F.col(word), own), lambda e: F.struct(e["rest"].alias("__rest"), places(e["slots"], own).alias("__places")))
+
+    return F.flatten(F.array(*map(entries, range(most + 1))))
+
+
+def _after(mark: str):
+    return lambda c: F.concat(F.lit(mark), c)
+
+
 def close_pairs(words: DataFrame, others: DataFrame, most: int, word: str = "word", other: str = "candidate") -> DataFrame:
-    """Pairs (``word``, ``other``, ``distance``) of distinct words within ``most`` edits.
+    """Pairs (``word``, ``other``, ``distance``) of distinct words within ``most`` edits, three at most.
 
     Two words that close have a common remainder after up to ``most`` deletions from each, so an
     equi-join on remainders finds them all without comparing every word with every other.  Of long words, of
-    which there would be very many remainders, one of few segments is common."""
+    which there would be very many remainders, one of few segments is common.
+
+    Some remainders are those of very many words: short words all have the empty one.  Remainders of more than ``HOT_ENTRIES`` of
+    the others are joined with a second key, the places of the letters that were deleted and belong together.
+    There, words that meet are near each other but for letters of one place that moved, so no remainder pairs up all of its words."""
+    if most not in LONG_WORD:
+        raise ValueError("one to three edits")
+    long = LONG_WORD[most]
+
     def keys(c: str, entered: bool) -> Column:
         none, n = F.array().cast("array<string>"), F.length(c)
-        rests = F.when(n <= LONG_WORD, deletions(F.col(c), most)).otherwise(none)
-        return F.concat(rests, F.when(n > LONG_WORD - most, _segments(F.col(c), most, entered)).otherwise(none))
-
-    left = words.select(F.col(word)).distinct().select(word, letters(word).alias("__letters"), F.explode(keys(word, True)).alias("__rest"))
-    right = others.select(F.col(other)).distinct().select(other, letters(other).alias("__others"), F.explode(keys(other, False)).alias("__rest"))
-    met = left.join(right, "__rest").select(word, other, "__letters", "__others").distinct()
-    return met.withColumn("distance", bounded_osa(word, other, most, F.levenshtein("__letters", "__others"))).where("distance is not null").drop("__letters", "__others")
+        rests = F.when(n <= long, deletions(F.col(c), most)).otherwise(none)
+        return F.concat(rests, F.when(n > long - most, _segments(F.col(c), most, entered)).otherwise(none))
+
+    def placed(df: DataFrame, c: str, hot: DataFrame, first: bool) -> DataFrame:
+        """Placed keys of the words that have a hot remainder: those are few, and short or of one family."""
+        own = df.join(hot, "__rest", "left_semi").select(c).distinct()
+        entries = own.select(c, F.explode(_placed_keys(c, most, first)).alias("k")).select(c, "k.*").join(hot, "__rest", "left_semi")
+        return entries.select(c, "__rest", F.explode("__places").alias("__place")).distinct()
+
+    # The number holds: few bytes of words become many remainders, which adaptive execution would leave to one task.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = words.select(F.col(word)).repartition(tasks, word).distinct().select(word, F.explode(keys(word, True)).alias("__rest"))
+    right = others.select(F.col(other)).distinct().select(other, F.explode(keys(other, False)).alias("__rest"))
+    counted = right.where(~F.col("__rest").startswith("\x00")).groupBy("__rest").agg(F.count(F.lit(1)).alias("n"))
+    hot = settled(counted.where(F.col("n") > HOT_ENTRIES).select("__rest"))
+    if hot.isEmpty():
+        met = left.join(right, "__rest").select(word, other)
+    else:
+        cold = left.join(right.join(hot, "__rest", "left_anti"), "__rest").select(word, other)
+        met = cold.unionByName(placed(left, word, hot, True).join(placed(right, other, hot, False), ["__rest", "__place"]).select(word, other))
+    return met.distinct().withColumn("distance", bounded_osa(word, other, most)).where("distance is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
+from glyphflow.functions.lineage import settled
 from glyphflow.operators import dictionary as D
 from glyphflow.operators import suggest as S
 from glyphflow.operators import tokens as K
@@ -65,16 +66,14 @@ def analyze(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text
     return errors.join(own, "word", "left").select(id_col, "line", "word_number", "raw", "word", F.coalesce("suggestions", none).alias("suggestions"))
 
 
-def check(docs: DataFrame, dictionary: DataFrame, common: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, DataFrame]:
+def check(docs: DataFrame, dictionary: DataFrame, common: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Errors by the potential-error rule, and staged suggestions for their distinct words.
 
-    ``keep``: the wrong words and their suggestions, which are as many as the vocabulary has, are persisted, so that
+    The wrong words and their suggestions, which are as many as the vocabulary has, are written, so that
     several reports of one check do not search anew."""
     found = K.tokens(docs, id_col, text_col)
-    wrong = D.potential_errors(found, dictionary, common)
-    wrong = wrong.persist() if keep else wrong
-    suggestions = S.suggest_staged(wrong, dictionary, common, keep=keep)
-    return found.join(wrong, "word"), suggestions.persist() if keep else suggestions
+    wrong = settled(D.potential_errors(found, dictionary, common))
+    return found.join(wrong, "word"), settled(S.suggest_staged(wrong, dictionary, common))
 
 
 def check_summary(docs: DataFrame, errors: DataFrame, suggestions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,16 +1,20 @@
 """Suggestions for misspelled words.
 
-All of them work on distinct words, join on equality (word lengths, or remainders after deletions) and
+All of them work on distinct words, join on equality of what is left of words after deletions, and
 rank with a window whose limit Spark pushes into the sort.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphflow.functions.distance import bounded_osa, close_pairs, letters_apart, osa
+from glyphflow.functions.distance import close_pairs
+from glyphflow.functions.lineage import settled
 from glyphflow.functions.text import contains_in_order, has_long_run, sound, squeeze
+from glyphflow.operators.nearest import nearest
 
 TOP = 3
 STRETCHED_TOP = 10
@@ -21,33 +25,29 @@ def _top(pairs: DataFrame, keys: list, n: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(*keys))).where(F.col("rank") <= n)
 
 
-def length_band(words: DataFrame, dictionary: DataFrame, band: int = 2) -> DataFrame:
-    """``word, candidate``: dictionary words whose length differs by at most ``band``."""
-    wanted = words.select("word").distinct().withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - band), F.length("word") + band)))
-    return wanted.join(dictionary.select(F.col("word").alias("candidate"), F.length("word").alias("len")), "len").select("word", "candidate")
-
-
-def suggest_phonetic(words: DataFrame, dictionary: DataFrame, top: int = TOP) -> DataFrame:
+def suggest_phonetic(words: DataFrame, dictionary: DataFrame, top: int = TOP, band: int = 2) -> DataFrame:
     """``word, rank, candidate, distance, sounds_alike``: by distance less a half for an equal phonetic
-    code, then alphabetically; no limit of the distance.  Repeated dictionary entries stay repeated.
-
-    Candidates within two edits score below all others, so words with ``top`` of them are settled by the
-    join on remainders; only the others are compared with all words of about their length."""
-    own = words.select("word").distinct()
-    entries = dictionary.select(F.col("word").alias("candidate"))
-    near = close_pairs(own, entries, 2).join(entries, "candidate").where(F.abs(F.length("candidate") - F.length("word")) <= 2)
-    enough = near.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top).select("word")
-    settled = near.join(enough, "word", "left_semi").select("word", "candidate", "distance")
-    rest = length_band(own.join(enough, "word", "left_anti"), dictionary)
-    # Bounds of the distance from both sides say which candidates can be among the best, before it is worked out.
-    alike = lambda df: df.withColumn("sounds_alike", sound(F.col("word")) == sound(F.col("candidate"))).withColumn("bonus", F.when(F.col("sounds_alike"), 0.5).otherwise(0.0))
-    lev, others = F.levenshtein("word", "candidate"), F.ceil(letters_apart("word", "candidate") / 2)
-    bounds = alike(rest.withColumns({"high": lev, "others": others})).withColumn("low", F.least("high", F.greatest(F.ceil(F.col("high") / 2), F.col("others") + F.ceil(F.greatest(F.lit(0), F.col("high") - F.col("others")) / 2))))
-    place = bounds.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(F.col("high") - F.col("bonus"))))
-    worst = F.max(F.when(F.col("n") <= top, F.col("high") - F.col("bonus"))).over(Window.partitionBy("word"))
-    rest = place.withColumn("worst", worst).where(F.col("low") - F.col("bonus") <= F.col("worst"))
-    rest = rest.select("word", "candidate", F.when(F.col("low") == F.col("high"), F.col("high")).otherwise(osa("word", "candidate")).alias("distance"))
-    return _top(alike(settled.unionByName(rest)), [F.col("distance") - F.col("bonus"), F.col("candidate")], top).select("word", "rank", "candidate", "distance", "sounds_alike")
+    code, then alphabetically, among words whose length differs by at most ``band``; no limit of the distance.
+    Repeated dictionary entries stay repeated.
+
+    The threshold rises: candidates within two edits come before all others, so words with ``top`` of them are done; the
+    others are joined once more, within three.  What is left has next to nothing near by and is looked for entry by
+    entry in ``nearest``, where the threshold rises on."""
+    left = settled(words.select("word").where("word is not null").distinct())
+    entries = settled(dictionary.groupBy(F.col("word").alias("candidate")).agg(F.count(F.lit(1)).alias("copies")))
+    found = []
+    for most in (2, 3):
+        near = settled(close_pairs(left, entries, most).where(F.abs(F.length("candidate") - F.length("word")) <= band).join(entries, "candidate"))
+        enough = near.groupBy("word").agg(F.sum("copies").alias("n")).where((F.col("n") >= top) | (F.col("word") == "")).select("word")
+        found.append(near.join(enough, "word", "left_semi").select("word", "candidate", "copies", "distance"))
+        left = settled(left.join(enough, "word", "left_anti"))
+    tagged = lambda df, c: df.withColumn("tag", sound(F.col(c)))
+    found.append(nearest(tagged(left, "word"), tagged(entries, "candidate"), top, band).select("word", "candidate", "copies", "distance"))
+    pairs = reduce(DataFrame.unionByName, found).withColumn("sounds_alike", sound(F.col("word")) == sound(F.col("candidate")))
+    score = F.col("distance") - F.when(F.col("sounds_alike"), 0.5).otherwise(0.0)
+    # The best ``top`` entries hold the best ``top`` copies.
+    best = _top(pairs, [score, F.col("candidate")], top).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(top)).cast("int"))))
+    return _top(best, [score, F.col("candidate")], top).select("word", "rank", "candidate", "distance", "sounds_alike")
 
 
 def _keyed(pairs: DataFrame, common: DataFrame) -> DataFrame:
@@ -69,35 +69,31 @@ def _keys() -> list:
 def suggest_ranked(words: DataFrame, dictionary: DataFrame, common: DataFrame, top: int = TOP, most: int = 2) -> DataFrame:
     """``word, rank, candidate, distance, sounds_alike, common``: candidates within ``most`` edits, the word
     itself left out, by distance, common, letters in order, sound, common rank, length, word."""
-    if most > 2:  # words have too many remainders then: all of about their length are compared
-        pairs = length_band(words, dictionary, most).withColumn("distance", bounded_osa("word", "candidate", most)).where("distance > 0")
-    else:
-        pairs = close_pairs(words, dictionary.select(F.col("word").alias("candidate")), most).where("distance > 0")
+    pairs = close_pairs(words, dictionary.select(F.col("word").alias("candidate")), most).where("distance > 0")
     return _top(_keyed(pairs, common), _keys(), top).select("word", "rank", "candidate", "distance", "sounds_alike", "common")
 
 
-def suggest_staged(words: DataFrame, dictionary: DataFrame, common: DataFrame, top: int = TOP, keep: bool = False) -> DataFrame:
+def suggest_staged(words: DataFrame, dictionary: DataFrame, common: DataFrame, top: int = TOP) -> DataFrame:
     """``word, stage, rank, candidate, distance, sounds_alike``.
 
     Stage 1: for words with a letter three times in a row, the ten best for the word squeezed to two and
     to one letter, merged by the smaller distance, common words first.  Stage 2: ``suggest_ranked``.
-    Stage 3: common words at three edits.  A word gets the first stage that has any.  ``keep``: the first two stages'
-    results, at most ``top`` rows a word, are persisted, as the later ones leave out their words."""
-    hold = (lambda df: df.persist()) if keep else (lambda df: df)
-    own = words.select("word").distinct()
+    Stage 3: common words at three edits.  A word gets the first stage that has any.  The first two stages'
+    results, at most ``top`` rows a word, are written, as the later ones leave out their words."""
+    own = settled(words.select("word").distinct())
     columns = ["word", "stage", "rank", "candidate", "distance", "sounds_alike"]
 
     long = own.where(has_long_run(F.col("word")))
     forms = long.select("word", F.explode(F.array(*(F.struct(F.lit(n).alias("kept"), squeeze(F.col("word"), n).alias("form")) for n in (2, 1)))).alias("f")).select("word", "f.kept", "f.form")
     best = suggest_ranked(forms.select(F.col("form").alias("word")), dictionary, common, STRETCHED_TOP)
     merged = forms.join(best.withColumnRenamed("word", "form"), "form").groupBy("word", "candidate").agg(F.min(F.struct("distance", (-F.col("kept")).alias("order"), "sounds_alike", "common")).alias("m"))
-    one = hold(_top(merged.select("word", "candidate", "m.*"), [F.desc("common"), F.col("distance"), F.col("candidate")], top).withColumn("stage", F.lit(1)).select(columns))
+    one = settled(_top(merged.select("word", "candidate", "m.*"), [F.desc("common"), F.col("distance"), F.col("candidate")], top).withColumn("stage", F.lit(1)).select(columns))
 
     left = own.join(one.select("word").distinct(), "word", "left_anti")
-    two = hold(suggest_ranked(left, dictionary, common, top).withColumn("stage", F.lit(2)).select(columns))
+    two = settled(suggest_ranked(left, dictionary, common, top).withColumn("stage", F.lit(2)).select(columns))
 
     left = left.join(two.select("word").distinct(), "word", "left_anti")
-    frequent = dictionary.join(common.select("word"), "word", "left_semi")
+    left, frequent = settled(left), dictionary.join(common.select("word"), "word", "left_semi")
     three = suggest_ranked(left, frequent, common, top, 3).withColumn("stage", F.lit(3)).select(columns)
     return one.unionByName(two).unionByName(three)
 

@@ -84,6 +84,25 @@ def ranked(name: str, words: str, entries: str, most: int, top: int) -> str:
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, common DESC, in_order DESC, sounds_alike DESC, cr, abs(length(word) - length(candidate)), candidate) AS rank FROM {name}_k) WHERE rank <= {top})"""
 
 
+def cut(c: str) -> str:
+    """What is left of a word when any one letter goes."""
+    return f"list_transform(range(1, length({c}) + 1), lambda i: substr({c}, 1, i - 1) || substr({c}, i + 1))"
+
+
+REST = f"list_distinct(flatten([[word], {cut('word')}, flatten(list_transform({cut('word')}, lambda x: {cut('x')}))]))"
+
+
+def ranked_by_rest(name: str, words: str, entries: str, top: int) -> str:
+    """``ranked`` within two edits for many words: only those with a common remainder are compared."""
+    whole = ranked(name, words, entries, 2, top)
+    pairs = f"""
+{name}_a AS (SELECT word, unnest({REST}) AS rest FROM {words}),
+{name}_b AS (SELECT word, unnest({REST}) AS rest FROM {entries}),
+{name}_m AS MATERIALIZED (SELECT DISTINCT a.word, b.word AS candidate FROM {name}_a a JOIN {name}_b b USING (rest) WHERE a.word <> b.word),
+{name}_p AS MATERIALIZED (SELECT word, candidate FROM {name}_m WHERE {swaps('word', 'candidate')} <= 2),"""
+    return pairs + whole[whole.index(f"\n{name}_d AS") :]
+
+
 LONG = "len(list_filter(range(3, length(word) + 1), lambda i: word[i] = word[i - 1] AND word[i] = word[i - 2])) > 0"
 
 
@@ -179,7 +198,6 @@ ORACLES: dict[str, str] = {
     "overall_accuracy": f"{DOC_ACC} SELECT *, {ACC} AS accuracy_percent FROM (SELECT count(*) AS documents, CAST(sum(total_words) AS BIGINT) AS total_words, CAST(sum(errors_found) AS BIGINT) AS errors_found FROM r)",
     "strategy": r"SELECT doc_id, words, characters, CASE WHEN words <= 1 THEN 'Single Word' WHEN words <= 20 THEN 'Short Sentence' WHEN words <= 300 THEN 'Paragraph' ELSE 'Large Text' END AS input_type, words > 20 AS use_filtering FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{L}+')) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS characters FROM documents)",
     "distinct_errors": f"WITH {TOK},{DICT} SELECT doc_id, word, line, word_number FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY line, word_number) AS r FROM tok WHERE word NOT IN (SELECT word FROM dict)) WHERE r = 1",
-    "near_common_words": f"WITH {TOK},{COMMON}, s AS (SELECT DISTINCT word FROM tok WHERE length(word) <= 4),{NEAR.format(source='s')} SELECT word FROM near",
     "short_uncommon_errors": f"WITH {TOK},{DICT},{COMMON}, w AS (SELECT DISTINCT word FROM tok),{SHORT.format(words='w')},{NEAR.format(source='rare')} SELECT word FROM near",
     "potential_error_counts": f"WITH {TOK},{DICT},{COMMON}, w AS (SELECT DISTINCT word FROM tok),{SHORT.format(words='w')},{NEAR.format(source='rare')} SELECT doc_id, count(*) AS errors FROM tok WHERE word NOT IN (SELECT word FROM dict) OR word IN (SELECT word FROM near) GROUP BY doc_id",
     "osa_pairs": f"WITH {TOK},{COMMON}, p AS MATERIALIZED (SELECT a.word, b.word AS candidate FROM common a JOIN common b ON a.word < b.word WHERE {swaps('a.word', 'b.word')} <= 2) SELECT * FROM (SELECT word, candidate, CAST({osa('word', 'candidate')} AS BIGINT) AS distance FROM p) WHERE distance <= 2",
@@ -212,6 +230,12 @@ SELECT graph_id, CAST(any_value(vertices) AS BIGINT) AS vertices, CAST(min(bit_c
     "min_cut": f"{CUTS} SELECT graph_id, CAST(min(capacity) AS BIGINT) AS capacity FROM c GROUP BY graph_id HAVING min(capacity) > 0",
 }
 STAGED = "SELECT word, CAST(stage AS BIGINT) AS stage, rank, candidate, CAST(distance AS BIGINT) AS distance FROM staged"
+ALL_ERRORS = (
+    "WITH " + ", ".join([TOK, DICT, COMMON, "\nbw AS (SELECT DISTINCT word FROM tok)", SHORT.format(words="bw"), NEAR.format(source="rare")])
+    + ",\nerr AS MATERIALIZED (SELECT word FROM bw WHERE word NOT IN (SELECT word FROM dict) UNION SELECT word FROM near)"
+)
+ORACLES["near_common_words"] = f"WITH {TOK},{COMMON}, s AS (SELECT DISTINCT word FROM tok),{NEAR.format(source='s')} SELECT word FROM near"
+ORACLES["suggest_gen2_documents"] = f"{ALL_ERRORS},{ranked_by_rest('two', 'err', 'dict', 3)} SELECT word, rank, candidate, CAST(distance AS BIGINT) AS distance, sounds_alike FROM two"
 ORACLES["suggest_staged"] = f"{ERRORS},{staged('err')} {STAGED}"
 ORACLES["suggest_stretched"] = f"WITH {TOK},{DICT},{COMMON}, drawn AS (SELECT DISTINCT word || repeat(word[-1], 3) AS word FROM common),{staged('drawn')} {STAGED}"
 ORACLES["long_run_words"] = f"WITH {TOK} SELECT word, {squeezed(2)} AS squeezed_2, {squeezed(1)} AS squeezed_1 FROM (SELECT DISTINCT word FROM tok) WHERE {LONG}"

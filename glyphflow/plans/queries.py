@@ -219,12 +219,6 @@ def distinct_errors(spark, sf):
 
 @query
 def near_common_words(spark, sf):
-    """Words of up to four letters only, as its SQL has it; ``near_common_all_words`` takes all."""
-    return D.near_common(_words(spark, sf).where(F.length("word") <= 4), _common(spark, sf))
-
-
-@query
-def near_common_all_words(spark, sf):
     """Words of any length.  Those longer than the longest common word by two letters or more cannot be near one."""
     common = _common(spark, sf)
     longest = common.agg(F.max(F.length("word")).alias("longest"))
@@ -272,6 +266,22 @@ def suggest_gen2(spark, sf):
     return S.suggest_ranked(wrong, dictionary, common).select("word", F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"), "sounds_alike")
 
 
+@query
+def suggest_gen1_documents(spark, sf):
+    """For every unknown word of all documents."""
+    dictionary = _dictionary(spark, sf)
+    wrong = D.unknown(_words(spark, sf), dictionary)
+    return S.suggest_phonetic(wrong, dictionary).select("word", F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"), "sounds_alike")
+
+
+@query
+def suggest_gen2_documents(spark, sf):
+    """For every error word of all documents."""
+    dictionary, common = _dictionary(spark, sf), _common(spark, sf)
+    wrong = D.potential_errors(_words(spark, sf), dictionary, common)
+    return S.suggest_ranked(wrong, dictionary, common).select("word", F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"), "sounds_alike")
+
+
 @query
 def suggest_staged(spark, sf):
     wrong, dictionary, common = _item_errors(spark, sf)
@@ -303,13 +313,13 @@ def staged_comparisons(spark, sf):
 def suggest_documents(spark, sf):
     """Staged suggestions for every error word of all documents."""
     dictionary, common = _dictionary(spark, sf), _common(spark, sf)
-    wrong = D.potential_errors(_words(spark, sf), dictionary, common).persist()  # the vocabulary's size
-    return S.suggest_staged(wrong, dictionary, common, keep=True).select("word", F.col("stage").cast("long"), F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"))
+    wrong = D.potential_errors(_words(spark, sf), dictionary, common)
+    return S.suggest_staged(wrong, dictionary, common).select("word", F.col("stage").cast("long"), F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"))
 
 
 def _checked(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = _items(spark, sf)
-    return items, *C.check(items, _dictionary(spark, sf), _common(spark, sf), keep=True)
+    return items, *C.check(items, _dictionary(spark, sf), _common(spark, sf))
 
 
 @query
@@ -336,13 +346,13 @@ GIVEN = ["Of", "thsi", "and", "teh", "ohter", "tionn", "in", "hheee", "the", "xq
 def quick_check(spark, sf):
     """The report for words as a command line gives them."""
     given = readers.words_given(spark, GIVEN)
-    errors, suggestions = C.check(given, _dictionary(spark, sf), _common(spark, sf), keep=True)
+    errors, suggestions = C.check(given, _dictionary(spark, sf), _common(spark, sf))
     return reports.check_report(given, errors, suggestions, C.check_summary(given, errors, suggestions), C.corrected_text(given, errors, suggestions))
 
 
 def _checked_documents(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _docs(spark, sf)
-    return docs, *C.check(docs, _dictionary(spark, sf), _common(spark, sf), keep=True)
+    return docs, *C.check(docs, _dictionary(spark, sf), _common(spark, sf))
 
 
 @query

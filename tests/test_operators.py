@@ -42,7 +42,7 @@ def test_tokens(spark):
     assert K.pattern_nodes(patterns).first().nodes == 1 + len({"h", "he", "her", "hers", "s", "sh", "she"})
 
 
-def test_near_common_all_words(spark, tmp_path):
+def test_near_common_words(spark, tmp_path):
     """Against brute force, with long words; one has far more letters than any common word."""
     from glyphflow.plans.queries import QUERIES
 
@@ -66,7 +66,7 @@ def test_near_common_all_words(spark, tmp_path):
 
     every = {w for t in texts for w in t.split()}
     by_hand = {w for w in every if any(one_edit(w, c) and not w.startswith(c) and not c.startswith(w) for c in common)}
-    found = [r.word for r in QUERIES["near_common_all_words"](spark, str(tmp_path)).collect()]
+    found = [r.word for r in QUERIES["near_common_words"](spark, str(tmp_path)).collect()]
     assert len(found) == len(set(found)) and set(found) == by_hand
     assert any(len(w) > 4 for w in by_hand) and by_hand != every
 
