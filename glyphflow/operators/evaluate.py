@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphflow.functions.text import estimate
@@ -97,18 +97,51 @@ def reservoir(df: DataFrame, size: int, seed: int, key: str | None = None) -> Da
     return df.orderBy(order).limit(size)
 
 
-def monte_carlo(dictionary: DataFrame, common: DataFrame, trials: int = 40, seed: int = 7) -> DataFrame:
-    """Detection, first-suggestion and three-suggestion shares with 95 % intervals over random errors in common
-    words of five letters or more; the trials are between 5 and 300."""
-    trials = min(300, max(5, trials))
+def stratified_sample(df: DataFrame, by: list[str], size: int, seed: int, key: str, name: str = "rank") -> DataFrame:
+    """``min(size, rows)`` rows of each group, numbered in ``name``, those with the smallest hashes of seed and key: the same rows each time.
+
+    The smallest of a group are the smallest of its parts' smallest, so parts (16 of a group, by the key) keep ``size`` rows each
+    before the group does, and Spark does so in each task before it shuffles: a group that holds a third of all rows sends
+    no more than any other.  Nulls are a group of their own; rows of equal keys are ordered by nothing else, so keys should be unique."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    marked = df.withColumn("__mark", mark).withColumn("__part", F.conv(F.substring("__mark", 1, 1), 16, 10).cast("int"))
+    own = marked.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "__part").orderBy("__mark", key))).where(F.col("__n") <= size)
+    ranked = own.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("__mark", key))).where(F.col(name) <= size)
+    return ranked.drop("__mark", "__part", "__n")
+
+
+MOST_FAILURES = 8
+
+
+def random_trials(dictionary: DataFrame, common: DataFrame, trials: int = 40, seed: int = 7) -> DataFrame:
+    """``word, corrupted, detected, top1, found`` of random errors in common words of five letters or more; the trials are between 5 and 300."""
+    most = min(300, max(5, trials))
     pool = common.where(F.length("word") >= 5).select("word")
     # A few hundred rows, so they are made a local table: what follows needs them several times.
-    drawn = pool.sparkSession.createDataFrame(corrupt(reservoir(pool, trials, seed, "word"), seed + 1).collect(), "word string, corrupted string")
+    drawn = pool.sparkSession.createDataFrame(corrupt(reservoir(pool, most, seed, "word"), seed + 1).collect(), "word string, corrupted string")
     wrong = D.potential_errors(drawn.select(F.col("corrupted").alias("word")), dictionary, common).select(F.col("word").alias("corrupted"), F.lit(True).alias("detected"))
     ranked = S.suggest_staged(wrong.select(F.col("corrupted").alias("word")), dictionary, common)
     listed = ranked.groupBy(F.col("word").alias("corrupted")).agg(F.min_by("candidate", "rank").alias("top1"), F.collect_set("candidate").alias("found"))
-    joined = drawn.join(wrong, "corrupted", "left").join(listed, "corrupted", "left")
+    return drawn.join(wrong, "corrupted", "left").join(listed, "corrupted", "left").select("word", "corrupted", F.coalesce("detected", F.lit(False)).alias("detected"), "top1", "found")
+
+
+def monte_carlo(dictionary: DataFrame, common: DataFrame, trials: int = 40, seed: int = 7) -> DataFrame:
+    """Detection, first-suggestion and three-suggestion shares with 95 % intervals over random errors; with no common word of five
+    letters there are 0 trials and no shares (nulls)."""
+    return accuracy_of(random_trials(dictionary, common, trials, seed))
+
+
+def accuracy_of(tried: DataFrame) -> DataFrame:
+    """The shares of ``random_trials``."""
     n = F.count(F.lit(1))
-    out = joined.agg(n.alias("trials"), *((F.count_if(c) / n).alias(a) for a, c in (("detection", F.coalesce("detected", F.lit(False))), ("top1", F.coalesce(F.col("top1") == F.col("word"), F.lit(False))), ("top3", F.coalesce(F.array_contains("found", F.col("word")), F.lit(False))))))
-    ends = [e.alias(f"{c}_{side}") for c in ("detection", "top1", "top3") for e, side in zip(estimate(F.col(c), F.col("trials"))[1:], ("low", "high"))]
+    share = lambda c: F.try_divide(F.count_if(c), n)
+    out = tried.agg(n.alias("trials"), *(share(c).alias(a) for a, c in (("detection", F.col("detected")), ("top1", F.coalesce(F.col("top1") == F.col("word"), F.lit(False))), ("top3", F.coalesce(F.array_contains("found", F.col("word")), F.lit(False))))))
+    some = F.nullif(F.col("trials"), F.lit(0))
+    ends = [e.alias(f"{c}_{side}") for c in ("detection", "top1", "top3") for e, side in zip(estimate(F.col(c), some)[1:], ("low", "high"))]
     return out.select("trials", "detection", "top1", "top3", *ends)
+
+
+def trial_failures(tried: DataFrame, most: int = MOST_FAILURES) -> DataFrame:
+    """``word, corrupted, suggested, not_detected`` of the first ``most`` trials, by word, whose error was not detected or whose first suggestion is not the word."""
+    wrong = ~F.col("detected") | (F.coalesce("top1", F.lit("")) != F.col("word"))
+    return tried.where(wrong).orderBy("word", "corrupted").limit(most).select("word", "corrupted", F.coalesce("top1", F.lit("(none)")).alias("suggested"), (~F.col("detected")).alias("not_detected"))

@@ -1,17 +1,20 @@
-"""Small graphs, one for each key: vertex covers, flows, assignments.
+"""Graphs: matchings and vertex covers of tables of edges, and exact covers, flows and assignments of small ones.
 
-Graphs are tables of edges with their order.  Covers are native folds over a graph's edges; flows need a
-residual network and run in Arrow batches, one graph at a time.
+Graphs are tables of edges with their order.  A matching in that order is found by rounds over the whole table.  Exact covers
+are native folds over a small graph's edges; flows need a residual network and run in Arrow batches, one graph at a time.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphflow.functions.lineage import settled
+
 MOST_VERTICES = 20
 
 
@@ -59,6 +62,66 @@ def cover_report(graphs: DataFrame, by: str = "graph_id") -> DataFrame:
     return out.select(by, "vertices", "approximate", "matched", "minimum", "covers", (F.col("approximate") / F.nullif(F.col("minimum"), F.lit(0))).alias("ratio"), (F.col("approximate") <= 2 * F.col("minimum")).alias("within_twice"))
 
 
+#: Edges that one task takes in their order once so few are left.
+FEW_EDGES = 1 << 16
+
+
+def ordered_matching(edges: DataFrame, by: str = "graph_id", few: int = FEW_EDGES) -> DataFrame:
+    """``by, ord, u, v``: the edges that one takes who goes through a graph's edges in order and takes each that touches no
+    vertex of an earlier one.  Edges of equal ``ord`` come by ``u``, then ``v``; equal rows are one edge.  A loop takes its one
+    vertex.  Rows with a null are left out.
+
+    An edge that comes first at both its ends is taken whatever the others are, so a round takes all of those, in all
+    graphs at once, and drops the edges that touch them: an aggregate by vertex (minima, which Spark takes where the edges
+    are) and two anti-joins, whose hot vertices adaptive execution splits.  What is left is written after each round;
+    a graph of n edges in random order needs some log n rounds.  Once ``few`` edges are left in all, one task takes them in order, so that
+    a long chain does not cost a round for each of its edges."""
+    columns = [by, "ord", "u", "v"]
+    left = settled(edges.select(columns).dropna())
+    rounds, n = [left.where("false")], left.count()
+    while n > few:
+        ends = left.select(by, F.explode(F.array_distinct(F.array("u", "v"))).alias("vertex"), F.struct("ord", "u", "v").alias("edge"))
+        first = ends.groupBy(by, "vertex").agg(F.min("edge").alias("edge"))
+        sides = first.groupBy(by, "edge").agg(F.count(F.lit(1)).alias("sides"))
+        taken = settled(sides.where((F.col("sides") == 2) | (F.col("edge.u") == F.col("edge.v"))).select(by, "edge.*"))
+        gone = taken.select(by, F.explode(F.array("u", "v")).alias("vertex")).distinct()
+        for end in ("u", "v"):
+            left = left.join(gone.withColumnRenamed("vertex", end), [by, end], "left_anti").select(columns)
+        rounds.append(taken)
+        left = settled(left)
+        n = left.count()
+
+    def in_order(batches):
+        used, keep = set(), []
+        for row in sorted((r for b in batches for r in b[columns].itertuples(index=False, name=None)), key=lambda r: r[1:]):
+            ends = {(row[0], row[2]), (row[0], row[3])}
+            if not ends & used:
+                used |= ends
+                keep.append(row)
+        yield pd.DataFrame(keep, columns=columns)
+
+    if n:
+        rounds.append(left.coalesce(1).mapInPandas(in_order, left.schema))  # ``few`` rows at most
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def matching_cover(matching: DataFrame, by: str = "graph_id") -> DataFrame:
+    """``by, vertex``: both ends of the edges of a matching, which cover all edges and are twice as many as needed at most."""
+    return matching.select(by, F.explode(F.array_distinct(F.array("u", "v"))).alias("vertex"))
+
+
+def cover_counts(edges: DataFrame, matching: DataFrame, by: str = "graph_id") -> DataFrame:
+    """``size, matched, covers`` of each graph that has edges: vertices of the cover, edges of the matching, and whether every edge has an end in the cover."""
+    cover = matching_cover(matching, by)
+    bare = edges.select(by, "u", "v").dropna()
+    for end in ("u", "v"):
+        bare = bare.join(cover.withColumnRenamed("vertex", end), [by, end], "left_anti").select(by, "u", "v")
+    own = cover.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
+    taken = matching.groupBy(by).agg(F.count(F.lit(1)).alias("matched"))
+    open_ = bare.select(by).distinct().withColumn("open", F.lit(True))
+    return taken.join(own, by).join(open_, by, "left").select(by, "size", "matched", F.col("open").isNull().alias("covers"))
+
+
 class Network:
     """Directed edges with capacities; edge ``i ^ 1`` is the other way of edge ``i``."""
 

@@ -32,12 +32,17 @@ def sums_before(values: Column) -> Column:
     return F.transform(F.array(runs), within)[0]
 
 
-def positions(text: Column, pattern: Column) -> Column:
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units: characters beyond the basic plane take two."""
+    return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def positions(text: Column, pattern: Column, length=F.length) -> Column:
     """All starts from 0, overlaps included: the text is cut before each occurrence and the lengths of the
-    pieces add up to the starts."""
+    pieces add up to the starts.  ``length`` gives the unit: characters, or ``utf16_length``."""
     none = F.array().cast("array<int>")
     # Every piece but a first one without the pattern begins where the pattern does.
-    starts = F.transform(F.array(F.transform(F.split(text, _ahead(pattern), -1), F.length)), sums_before)[0]
+    starts = F.transform(F.array(F.transform(F.split(text, _ahead(pattern), -1), length)), sums_before)[0]
     return F.when((F.length(pattern) > 0) & F.contains(text, pattern), F.filter(starts, lambda k, i: (i > 0) | F.startswith(text, pattern))).otherwise(none)
 
 

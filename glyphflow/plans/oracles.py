@@ -220,9 +220,6 @@ ORACLES: dict[str, str] = {
     "prime_trial": f"SELECT p_partkey, {PRIME.format(n='p_partkey')} AS is_prime FROM part",
     "prime_mr": f"SELECT o_orderkey, {PRIME.format(n='o_orderkey')} AS is_prime FROM orders",
     "prime_report": f"SELECT count(*) AS numbers, count(*) FILTER ({PRIME.format(n='o_orderkey')}) AS primes, CAST(0 AS BIGINT) AS different FROM orders",
-    "approx_cover": f"""WITH {GRAPHS}, e AS (SELECT graph_id, list([u, v] ORDER BY u * 9 + v) AS edges FROM g GROUP BY graph_id),
-a AS (SELECT graph_id, edges, list_reduce(list_prepend(CAST([] AS INTEGER[]), edges), lambda acc, x: CASE WHEN NOT list_contains(acc, x[1]) AND NOT list_contains(acc, x[2]) THEN list_concat(acc, x) ELSE acc END) AS cover FROM e)
-SELECT graph_id, CAST(len(cover) AS BIGINT) AS size, CAST(len(cover) // 2 AS BIGINT) AS matched, len(list_filter(edges, lambda x: NOT list_contains(cover, x[1]) AND NOT list_contains(cover, x[2]))) = 0 AS covers FROM a""",
     "exact_cover": f"""WITH {GRAPHS}, m AS (SELECT unnest(range(0, 512)) AS mask), n AS (SELECT graph_id, max(v) + 1 AS vertices FROM g GROUP BY graph_id),
 c AS (SELECT graph_id, mask FROM g, m GROUP BY ALL HAVING bool_and((mask >> u) & 1 = 1 OR (mask >> v) & 1 = 1))
 SELECT graph_id, CAST(any_value(vertices) AS BIGINT) AS vertices, CAST(min(bit_count(mask)) AS BIGINT) AS minimum FROM c JOIN n USING (graph_id) GROUP BY graph_id""",
@@ -305,7 +302,11 @@ CONTENT = "array_to_string(list_transform(l[4:], lambda x: x || ' '), '')"
 ORACLES["article_listing"] = rf"""WITH a AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r') END AS l FROM documents)
 SELECT doc_id AS article_no, coalesce(l[1], 'Untitled') AS title, coalesce(l[2], 'Unknown Author') AS author, coalesce(l[3], 'Unknown Date') AS date,
   CAST(CASE WHEN {trimmed(CONTENT)} = '' THEN 0 ELSE len(regexp_split_to_array({trimmed(CONTENT)}, '{WS}')) END AS BIGINT) AS words FROM a"""
-ORACLES["cover_report"] = f"""WITH a AS ({ORACLES['approx_cover']}), x AS ({ORACLES['exact_cover']})
+#: Covers by folding over the edges of a small graph.
+FOLDED_COVER = f"""WITH {GRAPHS}, e AS (SELECT graph_id, list([u, v] ORDER BY u * 9 + v) AS edges FROM g GROUP BY graph_id),
+a AS (SELECT graph_id, edges, list_reduce(list_prepend(CAST([] AS INTEGER[]), edges), lambda acc, x: CASE WHEN NOT list_contains(acc, x[1]) AND NOT list_contains(acc, x[2]) THEN list_concat(acc, x) ELSE acc END) AS cover FROM e)
+SELECT graph_id, CAST(len(cover) AS BIGINT) AS size, CAST(len(cover) // 2 AS BIGINT) AS matched, len(list_filter(edges, lambda x: NOT list_contains(cover, x[1]) AND NOT list_contains(cover, x[2]))) = 0 AS covers FROM a"""
+ORACLES["cover_report"] = f"""WITH a AS ({FOLDED_COVER}), x AS ({ORACLES['exact_cover']})
 SELECT graph_id, vertices, size AS approximate, matched, minimum, covers, size / minimum AS ratio, size <= 2 * minimum AS within_twice FROM a JOIN x USING (graph_id)"""
 
 # Lookups, scans, comparisons
@@ -383,3 +384,37 @@ ORACLES["spell_report"] = report(CHECKED, "WITH " + SUMMARY.lstrip(), "WITH " +
 GIVEN_TEXT = f"given AS (SELECT 'given' AS item_id, '{' '.join(GIVEN)}' AS text)"
 _one = lambda sql: sql.replace("FROM benchmark", "FROM given")
 ORACLES["quick_check"] = report(_one(CHECKED).replace("WITH ", f"WITH {GIVEN_TEXT}, ", 1), _one("WITH " + SUMMARY.lstrip()), "WITH " + CORRECTED.lstrip(), "given")
+
+
+def matched(by: str) -> str:
+    """Common table expressions up to ``m``: rounds that take the edges which come first at both ends."""
+    side = lambda what, end: f"{what} OVER (PARTITION BY graph_id, {end})"
+    return f"""RECURSIVE e AS (SELECT DISTINCT CAST({by} AS BIGINT) AS graph_id, l_orderkey * 8 + l_linenumber AS ord, l_partkey * 2 AS u, l_orderkey * 2 + 1 AS v FROM lineitem),
+r AS (
+  SELECT graph_id, ord, u, v, false AS taken FROM e
+  UNION ALL
+  SELECT graph_id, ord, u, v, first FROM (
+    SELECT *, {side('bool_or(first)', 'u')} OR {side('bool_or(first)', 'v')} AS touched FROM (
+      SELECT graph_id, ord, u, v, (ord, u, v) = {side('min((ord, u, v))', 'u')} AND (ord, u, v) = {side('min((ord, u, v))', 'v')} AS first FROM r WHERE NOT taken))
+  WHERE first OR NOT touched
+),
+m AS (SELECT graph_id, ord, u, v FROM r WHERE taken)"""
+
+
+COVERED = """
+c AS (SELECT graph_id, u AS x FROM m UNION SELECT graph_id, v FROM m),
+o AS (SELECT graph_id, bool_and(EXISTS (SELECT 1 FROM c WHERE c.graph_id = e.graph_id AND c.x IN (e.u, e.v))) AS covers FROM e GROUP BY graph_id)
+SELECT {key}(SELECT count(*) FROM c WHERE c.graph_id = o.graph_id) AS size, (SELECT count(*) FROM m WHERE m.graph_id = o.graph_id) AS matched, covers FROM o"""
+ORACLES["approx_cover"] = f"WITH {matched('l_suppkey')},{COVERED.format(key='graph_id, ')}"
+ORACLES["one_graph_cover"] = f"WITH {matched('0')},{COVERED.format(key='')}"
+ORACLES["ordered_matching"] = f"WITH {matched('0')} SELECT ord, u, v FROM m"
+BEFORE = "CAST(coalesce(sum(n) OVER (ORDER BY doc_id, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
+ORACLES["corpus_scan"] = f"WITH {LINE_WORDS} SELECT doc_id, line, n, {BEFORE} AS scan FROM lw"
+ORACLES["corpus_scan_check"] = f"WITH {LINE_WORDS} SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS total, true AS agrees FROM lw"
+ORACLES["stratified_sample"] = "SELECT * FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('7:' || doc_id), doc_id) AS rank FROM documents) WHERE rank <= 20"
+ORACLES["pattern_positions_utf16"] = r"""WITH p AS (SELECT doc_id, text, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, 2) = '. ')) AS start FROM documents)
+SELECT doc_id, start, start + length(regexp_replace(substr(text, 1, start), '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS start_utf16 FROM p"""
+ORACLES["monte_carlo_failures"] = ORACLES["monte_carlo"].split("\nf AS (")[0].rstrip(",") + """
+SELECT d.word, d.corrupted, coalesce(t.candidate, '(none)') AS suggested, e.word IS NULL AS not_detected
+FROM drawn d LEFT JOIN (SELECT word, candidate FROM staged WHERE rank = 1) t ON t.word = d.corrupted LEFT JOIN err e ON e.word = d.corrupted
+WHERE e.word IS NULL OR coalesce(t.candidate, '') <> d.word ORDER BY d.word, d.corrupted LIMIT 8"""

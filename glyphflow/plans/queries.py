@@ -405,6 +405,14 @@ def pattern_positions(spark, sf):
     return found.select("page_id", F.col("start").cast("long"))
 
 
+@query
+def pattern_positions_utf16(spark, sf):
+    """Where a sentence ends in the documents, in characters and in UTF-16 units."""
+    at = lambda unit: P.positions(F.col("text"), F.lit(". "), unit)
+    found = _docs(spark, sf).select("doc_id", F.explode(F.arrays_zip(at(F.length).alias("start"), at(P.utf16_length).alias("start_utf16"))).alias("s"))
+    return found.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.start_utf16").cast("long").alias("start_utf16"))
+
+
 def _patterns(spark) -> DataFrame:
     one = spark.createDataFrame([(PATTERNS,)], "given string")
     return one.select(F.posexplode(P.clean_patterns(F.col("given"))).alias("ord", "pattern"))
@@ -488,6 +496,18 @@ def reservoir_words(spark, sf):
     return E.reservoir(_common(spark, sf), 100, 7, "word").select("word")
 
 
+@query
+def stratified_sample(spark, sf):
+    """A sampling operator: twenty documents of each language and source."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source")
+    return E.stratified_sample(docs, ["lang", "source"], 20, 7, "doc_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def monte_carlo_failures(spark, sf):
+    return E.trial_failures(E.random_trials(_dictionary(spark, sf), _common(spark, sf)))
+
+
 @query
 def random_errors(spark, sf):
     """A random typing error in each word of the dictionary."""
@@ -517,6 +537,17 @@ def scan_check(spark, sf):
     return N.scan_check(N.exclusive_scan(_line_words(spark, sf), "n", ["line"], ["doc_id"]), "n", ["line"], ["doc_id"])
 
 
+@query
+def corpus_scan(spark, sf):
+    """Words before each line, over all lines of all documents in order."""
+    return N.table_scan(_line_words(spark, sf), "n", ["doc_id", "line"])
+
+
+@query
+def corpus_scan_check(spark, sf):
+    return N.table_scan_check(N.table_scan(_line_words(spark, sf), "n", ["doc_id", "line"]), "n")
+
+
 @query
 def turn_scan(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", T.count_words(F.col("text")).cast("long").alias("n"))
@@ -536,7 +567,7 @@ def error_reduce(spark, sf):
 
 @query
 def prime_trial(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", N.is_prime_by_trial(F.col("p_partkey")).alias("is_prime"))
+    return N.prime_by_trial(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey"), "p_partkey")
 
 
 @query
@@ -548,7 +579,7 @@ def prime_mr(spark, sf):
 @query
 def prime_report(spark, sf):
     keys = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
-    both = N.miller_rabin(keys, "o_orderkey", "by_witness").withColumn("by_trial", N.is_prime_by_trial(F.col("o_orderkey")))
+    both = N.prime_by_trial(N.miller_rabin(keys, "o_orderkey", "by_witness"), "o_orderkey", "by_trial")
     return both.agg(F.count(F.lit(1)).alias("numbers"), F.count_if("by_witness").alias("primes"), F.count_if(F.col("by_witness") != F.col("by_trial")).alias("different"))
 
 
@@ -563,10 +594,29 @@ def _graphs(spark, sf) -> DataFrame:
     return rows.withColumn("ord", F.col("u") * 9 + F.col("v"))
 
 
+def _order_graph(spark, sf, by) -> DataFrame:
+    """Edges between parts (even vertices) and orders (odd ones), in the order of the lines."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return items.select(by.cast("long").alias("graph_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), (F.col("l_partkey") * 2).alias("u"), (F.col("l_orderkey") * 2 + 1).alias("v"))
+
+
 @query
 def approx_cover(spark, sf):
-    lists = G.edge_lists(_graphs(spark, sf)).withColumn("a", G.approximate_cover(F.col("edges")))
-    return lists.select("graph_id", F.size("a.cover").cast("long").alias("size"), F.col("a.matched").cast("long").alias("matched"), G.is_cover(F.col("a.cover"), F.col("edges")).alias("covers"))
+    """A graph for each supplier."""
+    edges = _order_graph(spark, sf, F.col("l_suppkey"))
+    return G.cover_counts(edges, G.ordered_matching(edges))
+
+
+@query
+def ordered_matching(spark, sf):
+    """One graph of all parts and orders."""
+    return G.ordered_matching(_order_graph(spark, sf, F.lit(0))).select("ord", "u", "v")
+
+
+@query
+def one_graph_cover(spark, sf):
+    edges = _order_graph(spark, sf, F.lit(0))
+    return G.cover_counts(edges, G.ordered_matching(edges)).drop("graph_id")
 
 
 @query

@@ -93,7 +93,7 @@ def test_search(spark):
 
 def test_numbers(spark):
     numbers = [0, 1, 2, 3, 4, 9, 97, 561, 1000003, 2**61 - 1, 3215031751, 10**12 + 39]
-    frame = spark.createDataFrame([(n,) for n in numbers], "n long").withColumn("trial", N.is_prime_by_trial(F.col("n")))
+    frame = N.prime_by_trial(spark.createDataFrame([(n,) for n in numbers], "n long"), "n", "trial")
     found = {r.n: (r.is_prime, r.trial) for r in N.miller_rabin(frame, "n").collect()}
     prime = {2, 3, 97, 1000003, 2**61 - 1, 10**12 + 39}
     assert {n: p for n, (p, _) in found.items()} == {n: n in prime for n in numbers}
