@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of this machine only where the session sets none and runs on this machine alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="glyphflow-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` worked out and written once, in ``spark.checkpoint.dir``; a folder of this machine only where the session sets
-    none and runs on this machine alone.  Spark deletes it with the frame (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    """``df`` worked out and written once, in ``shared_dir``.  Spark deletes it with the frame
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="glyphflow-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

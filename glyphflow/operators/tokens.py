@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
+from glyphflow.operators.numeric import table_scan
 
 
 def _placed(docs: DataFrame, id_col: str, lines) -> DataFrame:
@@ -49,5 +50,8 @@ def pattern_nodes(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n", by: list[str] | None = None) -> DataFrame:
-    """Rows numbered from 1 in the given order, within ``by``."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
+    """Rows numbered from 1 in the given order, within ``by``; without it over the whole table, by ranges of the order."""
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    counted = table_scan(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, name)
+    return counted.withColumn(name, F.col(name) + 1).drop("__one")

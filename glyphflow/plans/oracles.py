@@ -418,3 +418,5 @@ ORACLES["monte_carlo_failures"] = ORACLES["monte_carlo"].split("\nf AS (")[0].rs
 SELECT d.word, d.corrupted, coalesce(t.candidate, '(none)') AS suggested, e.word IS NULL AS not_detected
 FROM drawn d LEFT JOIN (SELECT word, candidate FROM staged WHERE rank = 1) t ON t.word = d.corrupted LEFT JOIN err e ON e.word = d.corrupted
 WHERE e.word IS NULL OR coalesce(t.candidate, '') <> d.word ORDER BY d.word, d.corrupted LIMIT 8"""
+ORACLES["folder_accuracy"] = f"SELECT doc_id || '.txt' AS doc_id, * EXCLUDE (doc_id) FROM ({ORACLES['doc_accuracy']})"
+ORACLES["folder_json_report"] = ORACLES["json_batch_report"].replace("CAST(doc_id AS VARCHAR)", "(doc_id || '.txt')")

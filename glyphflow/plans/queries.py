@@ -6,6 +6,7 @@ the thousand most frequent ones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
 from glyphflow.functions.distance import close_pairs
+from glyphflow.functions.lineage import shared_dir
 from glyphflow.operators import checking as C
 from glyphflow.operators import dictionary as D
 from glyphflow.operators import evaluate as E
@@ -22,6 +24,7 @@ from glyphflow.operators import search as P
 from glyphflow.operators import suggest as S
 from glyphflow.operators import tokens as K
 from glyphflow.sources import readers, reports
+from glyphflow.sources.folder import write_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -719,3 +722,31 @@ def printed_report(spark, sf):
 def printed_summary(spark, sf):
     docs = _docs(spark, sf)
     return reports.printed_summary(C.document_accuracy(docs, K.tokens_composed(docs), _dictionary(spark, sf)))
+
+
+# Folders and files
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder where driver and executors can write."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def folder_accuracy(spark, sf):
+    """The documents written as files, one each, read as a folder, and checked."""
+    folder = _folder(spark, "files")
+    write_folder(_docs(spark, sf).select(F.format_string("%d.txt", "doc_id").alias("name"), "text"), folder)
+    docs = readers.documents(spark, folder, None)
+    return C.document_accuracy(docs, K.tokens_composed(docs), _dictionary(spark, sf))
+
+
+@query
+def folder_json_report(spark, sf):
+    """The benchmark's texts written as files, read as a folder and analysed; the report written as one JSON array and read back."""
+    folder, report = _folder(spark, "files"), _folder(spark, "report") + "/output/batch_report.json"
+    write_folder(_items(spark, sf).select(F.format_string("%d.txt", "doc_id").alias("name"), "text"), folder)
+    made = reports.batch_report(*_batch(readers.documents(spark, folder, None), _dictionary(spark, sf)))
+    reports.write_json_array(made, report, ["source"])
+    back = spark.read.schema(made.schema).option("multiLine", True).json(report)
+    return back.select("source", F.to_json(F.struct("*")).alias("report"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions.text import composed, trim
 from glyphflow.operators.graph import parse_edges
+from glyphflow.operators.numeric import table_scan
+from glyphflow.sources.folder import read_folder
 
 #: Fixed values.
 DEFAULT_TITLE, DEFAULT_AUTHOR, DEFAULT_DATE = "Untitled", "Unknown Author", "Unknown Date"
@@ -42,13 +44,13 @@ def distinct_words(spark: SparkSession, path: str) -> DataFrame:
 def common_words(spark: SparkSession, path: str) -> DataFrame:
     """``word, rank`` from 0 in the order of the file; a file that cannot be read gives none."""
     from pyspark.errors import AnalysisException
-    from pyspark.sql import Window
 
     try:
         words = distinct_words(spark, path)
     except AnalysisException:
         return spark.createDataFrame([], "word string, rank int")
-    return words.select("word", (F.row_number().over(Window.orderBy("pos")) - 1).alias("rank"))
+    counted = table_scan(words.select("word", "pos", F.lit(1).cast("long").alias("__one")), "__one", ["pos"], "rank")
+    return counted.select("word", F.col("rank").cast("int").alias("rank"))
 
 
 def parse_article(text: Column) -> Column:
@@ -64,19 +66,29 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
-    """``article_no, name, title, author, date, content`` of the ``.txt`` files, numbered by name."""
-    from pyspark.sql import Window
+def numbered_by_name(names: DataFrame, name: str, number: str) -> DataFrame:
+    """``name, number`` from 1 in the order of distinct names, by ranges of them and not in one task."""
+    counted = table_scan(names.select(name).distinct().withColumn("__one", F.lit(1).cast("long")), "__one", [name], "__before")
+    return counted.select(name, (F.col("__before") + 1).cast("int").alias(number))
+
 
-    own = _files(spark, folder).where(F.col("name").endswith(".txt"))
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    """``article_no, name, title, author, date, content`` of the ``.txt`` files that can be read, numbered by name."""
+    own = read_folder(spark, folder, ".txt").where("reason is null")
     # Only names are numbered; the texts stay where they are.
-    order = own.select("name", F.row_number().over(Window.orderBy("name")).alias("article_no"))
+    order = numbered_by_name(own, "name", "article_no")
     return own.select("name", parse_article(F.col("text")).alias("a")).join(order, "name").select("article_no", "name", "a.*")
 
 
-def documents(spark: SparkSession, folder: str, most: int = MOST_FILES) -> DataFrame:
-    """``doc_id`` (file name) and ``text`` of the first files by name that end in ``.txt`` in any case."""
-    return _files(spark, folder).where(F.lower("name").endswith(".txt")).orderBy("name").limit(most).select(F.col("name").alias("doc_id"), "text")
+def documents(spark: SparkSession, folder: str, most: int | None = MOST_FILES) -> DataFrame:
+    """``doc_id`` (file name) and ``text`` of the first files by name that end in ``.txt`` in any case, those that cannot be read left out;
+    ``most``: none for all."""
+    return read_folder(spark, folder, ".txt", True, most).where("reason is null").select(F.col("name").alias("doc_id"), "text")
+
+
+def unreadable(spark: SparkSession, folder: str, suffix: str = ".txt", any_case: bool = False, most: int | None = None) -> DataFrame:
+    """``name, reason`` of the files that ``articles`` or ``documents`` leave out."""
+    return read_folder(spark, folder, suffix, any_case, most).where("reason is not null").select("name", "reason")
 
 
 SAMPLE_TEXT = "Teh quikc brown fox jumsp over teh lazzy dog. It wass a suny mornign."

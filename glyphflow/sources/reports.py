@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
 from glyphflow.operators.checking import accuracy
+from glyphflow.sources.folder import write_array
 
 #: Fixed value: rows that a report shows.
 SHOWN = 20
@@ -34,6 +35,15 @@ def write_json(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def write_json_array(report: DataFrame, path: str, order: list[str]) -> None:
+    """One file that holds one array of all rows, in the order of ``order``; folders on the way are made, a file of that name is replaced.
+
+    Ranges of the order are sorted and written by tasks of their own; a failed job leaves what was there."""
+    tasks = int(report.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = report.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    write_array(ranged.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), path)
+
+
 def overall_summary(totals: DataFrame) -> DataFrame:
     """Totals over all documents; no row when there are none."""
     out = totals.agg(F.count(F.lit(1)).alias("documents"), F.sum("total_words").alias("total_words"), F.sum("errors_found").alias("errors_found")).where("documents > 0")

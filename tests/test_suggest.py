@@ -173,3 +173,23 @@ def test_suggestions_of_all_documents(spark, corpus):
     stretched = {w for w in every if any(w[k] == w[k + 1] == w[k + 2] for k in range(len(w) - 2))}
     got = sorted(tuple(r) for r in QUERIES["suggest_documents"](spark, path).collect() if r.word not in stretched)
     assert got == sorted(r for r in staged if r[0] not in stretched)
+
+
+def test_checks_of_all_documents(spark, corpus):
+    """Summaries and corrected texts of whole tables follow from the suggestions that the test above holds against plain loops."""
+    path, every, _ = corpus
+    staged = {}
+    for r in QUERIES["suggest_documents"](spark, path).collect():
+        staged.setdefault(r.word, {})[r.rank] = r.candidate
+    dictionary = {r.word for r in QUERIES["dictionary_words"](spark, path).collect()}
+    short = {r.word for r in QUERIES["short_uncommon_errors"](spark, path).collect()}
+    wrong = (every - dictionary) | short
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    fixed = {i: " ".join(staged.get(w, {}).get(1, w) if w in wrong else w for w in t.split(" ")) for i, t in texts.items() if t is not None}
+    got = {r.doc_id: r.corrected for r in QUERIES["corrected_documents"](spark, path).collect()}
+    assert {i: got[i] for i in fixed} == fixed
+    for r in QUERIES["check_documents"](spark, path).collect():
+        own = (texts[r.doc_id] or "").split()
+        assert (r.errors_found, r.suggestions_generated) == (sum(w in wrong for w in own), sum(len(staged.get(w, {})) for w in own if w in wrong))
+        if texts[r.doc_id] is not None:
+            assert r.total_tokens == len(own)
