@@ -192,26 +192,34 @@ def close_pairs(words: DataFrame, others: DataFrame, most: int, word: str = "wor
         raise ValueError("one to three edits")
     long = LONG_WORD[most]
 
+    def rests(c: str) -> Column:
+        return F.when(F.length(c) <= long, deletions(F.col(c), most)).otherwise(F.array().cast("array<string>"))
+
     def keys(c: str, entered: bool) -> Column:
-        none, n = F.array().cast("array<string>"), F.length(c)
-        rests = F.when(n <= long, deletions(F.col(c), most)).otherwise(none)
-        return F.concat(rests, F.when(n > long - most, _segments(F.col(c), most, entered)).otherwise(none))
+        segments = F.when(F.length(c) > long - most, _segments(F.col(c), most, entered)).otherwise(F.array().cast("array<string>"))
+        return marked(F.concat(rests(c), segments))
+
+    def marked(texts: Column) -> Column:
+        """Hashes of 64 bits take less room than texts; two texts of one hash only make a pair that is compared for nothing."""
+        return F.explode(F.transform(texts, lambda t: F.xxhash64(t))).alias("__rest")
 
-    def placed(df: DataFrame, c: str, hot: DataFrame, first: bool) -> DataFrame:
+    def placed(df: DataFrame, c: str, first: bool) -> DataFrame:
         """Placed keys of the words that have a hot remainder: those are few, and short or of one family."""
         own = df.join(hot, "__rest", "left_semi").select(c).distinct()
-        entries = own.select(c, F.explode(_placed_keys(c, most, first)).alias("k")).select(c, "k.*").join(hot, "__rest", "left_semi")
-        return entries.select(c, "__rest", F.explode("__places").alias("__place")).distinct()
+        entries = own.select(c, F.explode(_placed_keys(c, most, first)).alias("k")).select(c, F.xxhash64("k.__rest").alias("__rest"), "k.__places").join(hot, "__rest", "left_semi")
+        return entries.select(c, F.explode(F.transform("__places", lambda p: F.xxhash64(F.col("__rest"), p))).alias("__rest"))
 
     # The number holds: few bytes of words become many remainders, which adaptive execution would leave to one task.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = words.select(F.col(word)).repartition(tasks, word).distinct().select(word, F.explode(keys(word, True)).alias("__rest"))
-    right = others.select(F.col(other)).distinct().select(other, F.explode(keys(other, False)).alias("__rest"))
-    counted = right.where(~F.col("__rest").startswith("\x00")).groupBy("__rest").agg(F.count(F.lit(1)).alias("n"))
+    mine, others = words.select(F.col(word)).repartition(tasks, word).distinct(), others.select(F.col(other)).distinct()
+    left, right = mine.select(word, keys(word, True)), others.select(other, keys(other, False))
+    counted = others.select(marked(rests(other))).groupBy("__rest").agg(F.count(F.lit(1)).alias("n"))
     hot = settled(counted.where(F.col("n") > HOT_ENTRIES).select("__rest"))
     if hot.isEmpty():
         met = left.join(right, "__rest").select(word, other)
     else:
         cold = left.join(right.join(hot, "__rest", "left_anti"), "__rest").select(word, other)
-        met = cold.unionByName(placed(left, word, hot, True).join(placed(right, other, hot, False), ["__rest", "__place"]).select(word, other))
-    return met.distinct().withColumn("distance", bounded_osa(word, other, most)).where("distance is not null")
+        met = cold.unionByName(placed(left, word, True).join(placed(right, other, False), "__rest").select(word, other))
+    if most > 2:  # a pair meets many times
+        met = met.distinct()
+    return met.withColumn("distance", bounded_osa(word, other, most)).where("distance is not null").distinct()

@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphflow.functions import text as T
 from glyphflow.functions.distance import close_pairs
 
 
+def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word, n, docs``: how often each lower-cased word stands in all texts, and in how many of them; each row is a document.
+
+    A text's words are sorted where it is, so the first of each is known there, and only partial counts of words are shuffled."""
+    own = F.transform(F.array(F.array_sort(T.normalized_words(F.col(text_col)))), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("word"), ((i == 0) | (F.get(ws, i - 1) != w)).cast("int").alias("first"))))[0]
+    return docs.select(F.explode(own).alias("w")).groupBy("w.word").agg(F.count(F.lit(1)).alias("n"), F.sum("w.first").alias("docs"))
+
+
+def known_words(vocabulary: DataFrame, least_docs: int = 5) -> DataFrame:
+    """``word, len`` of a vocabulary: the words of at least so many documents."""
+    return vocabulary.where(F.col("docs") >= least_docs).select("word", F.length("word").alias("len"))
+
+
+def common_words(vocabulary: DataFrame, most: int = 1000) -> DataFrame:
+    """``word, rank`` from 0 of a vocabulary: the most frequent words."""
+    top = vocabulary.select("word", "n").orderBy(F.desc("n"), "word").limit(most)
+    return top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).alias("rank"))  # ``most`` rows
+
+
 def derive(tokens: DataFrame, least_docs: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """``word, len``: the words of at least so many documents."""
+    """``word, len`` of tokens: the words of at least so many documents."""
     found = tokens.select(id_col, "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
-    return found.where(F.col("docs") >= least_docs).select("word", F.length("word").alias("len"))
+    return known_words(found, least_docs)
 
 
 def derive_common(tokens: DataFrame, most: int = 1000) -> DataFrame:
-    """``word, rank`` from 0: the most frequent words."""
-    top = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).alias("rank"))
+    """``word, rank`` from 0 of tokens: the most frequent words."""
+    return common_words(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")), most)
 
 
 def word_count(words: DataFrame) -> DataFrame:

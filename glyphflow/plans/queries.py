@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
 from glyphflow.functions.distance import close_pairs
-from glyphflow.functions.lineage import shared_dir
+from glyphflow.functions.lineage import settled, shared_dir
 from glyphflow.operators import checking as C
 from glyphflow.operators import dictionary as D
 from glyphflow.operators import evaluate as E
@@ -52,17 +52,33 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return K.tokens(_docs(spark, sf))
 
 
+def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Counted in one pass and written: what a query derives from it is as large as the vocabulary."""
+    return settled(D.vocabulary(_docs(spark, sf)))
+
+
+def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The dictionary and the common words, loaded once, as word lists from files would be."""
+    found = _vocabulary(spark, sf)
+    return D.known_words(found), D.common_words(found)
+
+
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """Loaded once, as a word list from a file would be: its size is the vocabulary's."""
-    return D.derive(_tokens(spark, sf)).persist()
+    return _lists(spark, sf)[0]
 
 
 def _common(spark: SparkSession, sf: str) -> DataFrame:
-    return D.derive_common(_tokens(spark, sf)).persist()
+    return _lists(spark, sf)[1]
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
-    return _tokens(spark, sf).select("word").distinct()
+    return D.vocabulary(_docs(spark, sf)).select("word")
+
+
+def _words_and_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All words, the dictionary and the common words, of one vocabulary."""
+    found = _vocabulary(spark, sf)
+    return found.select("word"), D.known_words(found), D.common_words(found)
 
 
 # Counters and scalar functions
@@ -130,7 +146,7 @@ def copied_case(spark, sf):
 
 @query
 def lps_table(spark, sf):
-    return D.derive_common(_tokens(spark, sf)).select("word", F.array_join(T.prefix_table(F.col("word")), " ").alias("prefix_table"))
+    return _common(spark, sf).select("word", F.array_join(T.prefix_table(F.col("word")), " ").alias("prefix_table"))
 
 
 # Words, frequencies, dictionaries
@@ -183,7 +199,7 @@ def misspelled_tokens(spark, sf):
 
 @query
 def linear_lookup(spark, sf):
-    return D.linear_lookup(_words(spark, sf), _dictionary(spark, sf))
+    return D.linear_lookup(*_words_and_lists(spark, sf)[:2])
 
 
 @query
@@ -223,20 +239,20 @@ def distinct_errors(spark, sf):
 @query
 def near_common_words(spark, sf):
     """Words of any length.  Those longer than the longest common word by two letters or more cannot be near one."""
-    common = _common(spark, sf)
+    words, _, common = _words_and_lists(spark, sf)
     longest = common.agg(F.max(F.length("word")).alias("longest"))
-    words = _words(spark, sf).crossJoin(F.broadcast(longest)).where("length(word) <= longest + 1").select("word")  # one row
+    words = words.crossJoin(F.broadcast(longest)).where("length(word) <= longest + 1").select("word")  # one row
     return D.near_common(words, common)
 
 
 @query
 def short_uncommon_errors(spark, sf):
-    return D.potential_errors(_words(spark, sf), _dictionary(spark, sf), _common(spark, sf)).where("known").select("word")
+    return D.potential_errors(*_words_and_lists(spark, sf)).where("known").select("word")
 
 
 @query
 def potential_error_counts(spark, sf):
-    wrong = D.potential_errors(_words(spark, sf), _dictionary(spark, sf), _common(spark, sf))
+    wrong = D.potential_errors(*_words_and_lists(spark, sf))
     counts = _tokens(spark, sf).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(wrong, "word").groupBy("doc_id").agg(F.sum("n").alias("errors"))
 
@@ -251,7 +267,7 @@ def osa_pairs(spark, sf):
 
 
 def _item_errors(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    dictionary, common = _dictionary(spark, sf), _common(spark, sf)
+    dictionary, common = _lists(spark, sf)
     return D.potential_errors(K.tokens(_items(spark, sf)), dictionary, common), dictionary, common
 
 
@@ -272,16 +288,16 @@ def suggest_gen2(spark, sf):
 @query
 def suggest_gen1_documents(spark, sf):
     """For every unknown word of all documents."""
-    dictionary = _dictionary(spark, sf)
-    wrong = D.unknown(_words(spark, sf), dictionary)
+    words, dictionary, _ = _words_and_lists(spark, sf)
+    wrong = D.unknown(words, dictionary)
     return S.suggest_phonetic(wrong, dictionary).select("word", F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"), "sounds_alike")
 
 
 @query
 def suggest_gen2_documents(spark, sf):
     """For every error word of all documents."""
-    dictionary, common = _dictionary(spark, sf), _common(spark, sf)
-    wrong = D.potential_errors(_words(spark, sf), dictionary, common)
+    words, dictionary, common = _words_and_lists(spark, sf)
+    wrong = D.potential_errors(words, dictionary, common)
     return S.suggest_ranked(wrong, dictionary, common).select("word", F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"), "sounds_alike")
 
 
@@ -294,15 +310,15 @@ def suggest_staged(spark, sf):
 @query
 def suggest_stretched(spark, sf):
     """The dictionary's words with a letter drawn out."""
-    dictionary, common = _dictionary(spark, sf), _common(spark, sf)
+    dictionary, common = _lists(spark, sf)
     drawn = common.select(F.concat(F.col("word"), F.repeat(F.substring("word", -1, 1), F.lit(3))).alias("word"))
     return S.suggest_staged(drawn, dictionary, common).select("word", F.col("stage").cast("long"), F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"))
 
 
 @query
 def comparison_count(spark, sf):
-    dictionary = _dictionary(spark, sf)
-    wrong = D.unknown(_words(spark, sf), dictionary)
+    words, dictionary, _ = _words_and_lists(spark, sf)
+    wrong = D.unknown(words, dictionary)
     return S.comparisons(wrong, dictionary, True).join(S.comparisons(wrong, dictionary, False).withColumnRenamed("comparisons", "unfiltered"), "word")
 
 
@@ -315,14 +331,14 @@ def staged_comparisons(spark, sf):
 @query
 def suggest_documents(spark, sf):
     """Staged suggestions for every error word of all documents."""
-    dictionary, common = _dictionary(spark, sf), _common(spark, sf)
-    wrong = D.potential_errors(_words(spark, sf), dictionary, common)
+    words, dictionary, common = _words_and_lists(spark, sf)
+    wrong = D.potential_errors(words, dictionary, common)
     return S.suggest_staged(wrong, dictionary, common).select("word", F.col("stage").cast("long"), F.col("rank").cast("long"), "candidate", F.col("distance").cast("long"))
 
 
 def _checked(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = _items(spark, sf)
-    return items, *C.check(items, _dictionary(spark, sf), _common(spark, sf))
+    return items, *C.check(items, *_lists(spark, sf))
 
 
 @query
@@ -349,13 +365,13 @@ GIVEN = ["Of", "thsi", "and", "teh", "ohter", "tionn", "in", "hheee", "the", "xq
 def quick_check(spark, sf):
     """The report for words as a command line gives them."""
     given = readers.words_given(spark, GIVEN)
-    errors, suggestions = C.check(given, _dictionary(spark, sf), _common(spark, sf))
+    errors, suggestions = C.check(given, *_lists(spark, sf))
     return reports.check_report(given, errors, suggestions, C.check_summary(given, errors, suggestions), C.corrected_text(given, errors, suggestions))
 
 
 def _checked_documents(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _docs(spark, sf)
-    return docs, *C.check(docs, _dictionary(spark, sf), _common(spark, sf))
+    return docs, *C.check(docs, *_lists(spark, sf))
 
 
 @query
@@ -461,7 +477,7 @@ def corrupted_words(spark, sf):
 
 
 def _flags(spark, sf) -> DataFrame:
-    return E.flag_pairs(_pairs(spark, sf), _dictionary(spark, sf), _common(spark, sf))
+    return E.flag_pairs(_pairs(spark, sf), *_lists(spark, sf))
 
 
 @query
@@ -508,7 +524,7 @@ def stratified_sample(spark, sf):
 
 @query
 def monte_carlo_failures(spark, sf):
-    return E.trial_failures(E.random_trials(_dictionary(spark, sf), _common(spark, sf)))
+    return E.trial_failures(E.random_trials(*_lists(spark, sf)))
 
 
 @query
@@ -519,7 +535,7 @@ def random_errors(spark, sf):
 
 @query
 def monte_carlo(spark, sf):
-    return E.monte_carlo(_dictionary(spark, sf), _common(spark, sf))
+    return E.monte_carlo(*_lists(spark, sf))
 
 
 # Scans, work and span, primes
