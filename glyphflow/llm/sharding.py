@@ -2,8 +2,8 @@
 
 A record's id alone decides its virtual slot, one of ``SLOTS`` for good.  A versioned table maps slots
 to shards: version 1 deals them out evenly, ``grow`` makes the next version for one more shard by
-moving an even share of slots to it and none elsewhere, and ``rebalance`` makes a version that evens
-out the bytes that were measured for each slot.  ``save_map`` and ``load_map`` keep all versions in
+moving an even share of slots to it and none elsewhere, and ``rebalance`` makes a version that moves
+no more slots than it takes to even out the bytes that were measured for each slot.  ``save_map`` and ``load_map`` keep all versions in
 a folder.  The maps have ``SLOTS`` rows whatever the data, so they alone are broadcast.
 
 A record's place in its shard is the number of records before it: counts for each bucket (``BUCKETS``
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphflow.llm.storage import materialize
+from glyphflow.llm.storage import materialize, new_path
 
 SHARDS = 24
 SLOTS = 4096
@@ -55,12 +55,38 @@ def grow(slot_map: DataFrame) -> DataFrame:
 
 
 def rebalance(slot_map: DataFrame, slot_bytes: DataFrame) -> DataFrame:
-    """The next version, with the bytes of ``slot_bytes`` (``virtual_slot, bytes``) dealt out evenly:
-    slots in descending order of bytes go to the shards back and forth."""
+    """The next version: the map edited so that the bytes of ``slot_bytes`` (``virtual_slot, bytes``) are more even.
+
+    A shard beyond the even share gives up slots, the largest that still fit into its excess first; each of them, the largest first, goes to
+    the shard that lacks most.  All other slots stay, so no more bytes move than were in excess, and an even map stays as it is.
+    The folds are over the slots, of which there is a fixed number, whatever the data."""
     one = Window.partitionBy("version")
-    known = slot_map.join(F.broadcast(slot_bytes), "virtual_slot", "left").withColumns({"shards": F.max("shard").over(one) + 1, "n": F.row_number().over(one.orderBy(F.desc(F.coalesce("bytes", F.lit(0))), "virtual_slot")) - 1})
-    turn, place = F.floor(F.col("n") / F.col("shards")) % 2, F.col("n") % F.col("shards")
-    return known.select((F.col("version") + 1).alias("version"), "virtual_slot", F.when(turn == 0, place).otherwise(F.col("shards") - 1 - place).cast("int").alias("shard"))
+    sized = slot_map.join(F.broadcast(slot_bytes), "virtual_slot", "left").withColumn("bytes", F.coalesce(F.col("bytes"), F.lit(0)).cast("long"))
+    share = sized.withColumns({"shards": F.max("shard").over(one) + 1, "total": F.sum("bytes").over(one)}).withColumn("share", F.expr("total div shards"))
+    shards = share.groupBy("version", "shards", "share", "shard").agg(F.sum("bytes").alias("held"), F.sort_array(F.collect_list(F.struct("bytes", "virtual_slot")), asc=False).alias("slots"))
+    none = F.array().cast("array<struct<bytes:bigint,virtual_slot:int>>")
+
+    def give(acc: F.Column, s: F.Column) -> F.Column:
+        fits = (s["bytes"] > 0) & (s["bytes"] <= acc["excess"])
+        return F.struct(F.when(fits, acc["excess"] - s["bytes"]).otherwise(acc["excess"]).alias("excess"), F.when(fits, F.array_append(acc["given"], s)).otherwise(acc["given"]).alias("given"))
+
+    start = F.struct((F.col("held") - F.col("share")).alias("excess"), none.alias("given"))
+    asked = shards.withColumn("given", F.aggregate("slots", start, give, lambda acc: acc["given"]))
+    every = asked.groupBy("version", "shards").agg(
+        F.sort_array(F.flatten(F.collect_list("given")), asc=False).alias("pool"),
+        F.collect_list(F.struct((F.col("share") - F.col("held")).alias("lack"), F.col("shard"))).alias("known"),
+        F.first("share").alias("share"),
+    )  # one row: a version's slots and shards
+    empty = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda k: F.struct(F.coalesce(F.get(F.transform(F.filter("known", lambda x: x["shard"] == k), lambda x: x["lack"]), F.lit(0)), F.col("share")).alias("lack"), k.alias("shard")))
+
+    def take(acc: F.Column, s: F.Column) -> F.Column:
+        to = F.array_max(acc["lacks"])["shard"]
+        lacks = F.transform(acc["lacks"], lambda x: F.struct(F.when(x["shard"] == to, x["lack"] - s["bytes"]).otherwise(x["lack"]).alias("lack"), x["shard"].alias("shard")))
+        return F.struct(lacks.alias("lacks"), F.array_append(acc["moves"], F.struct(s["virtual_slot"].alias("virtual_slot"), to.alias("to"))).alias("moves"))
+
+    moves = F.aggregate("pool", F.struct(F.col("lacks"), F.array().cast("array<struct<virtual_slot:int,to:int>>").alias("moves")), take, lambda acc: acc["moves"])
+    moved = every.withColumn("lacks", empty).select("version", F.explode(moves).alias("m")).select("version", "m.*")
+    return slot_map.join(F.broadcast(moved), ["version", "virtual_slot"], "left").select((F.col("version") + 1).alias("version"), "virtual_slot", F.coalesce("to", "shard").cast("int").alias("shard"))
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
@@ -97,11 +123,16 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Version 1 of the map is stored and loaded, edited for the measured bytes and stored as version 2; shards are those of version 1, since
+    the id and the number of shards alone decide."""
     rows = materialize(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
     slot_bytes = rows.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"))
-    one = first_map(spark)
+    maps = new_path(spark, "slot-map")
+    save_map(first_map(spark), maps)
+    one = load_map(spark, maps, 1)
+    save_map(rebalance(one, slot_bytes.withColumnRenamed("slot_bytes", "bytes")), maps)
     more = grow(one).select("virtual_slot", F.col("shard").alias("grown_shard"))
-    even = rebalance(one, slot_bytes.withColumnRenamed("slot_bytes", "bytes")).select("virtual_slot", F.col("shard").alias("balanced_shard"))
+    even = load_map(spark, maps).select("virtual_slot", F.col("shard").alias("balanced_shard"))
     told = one.select("virtual_slot", F.col("version").alias("map_version")).join(more, "virtual_slot").join(even, "virtual_slot").join(slot_bytes, "virtual_slot")
     out = assign(rows, one).join(F.broadcast(told), "virtual_slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "map_version", "balanced_shard", "slot_bytes")
