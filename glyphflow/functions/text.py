@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 LETTERS = r"\p{L}+"
 LINE_BREAK = r"\r\n|\n|\r"
@@ -155,6 +156,22 @@ def preview(c: Column, most: int = 300) -> Column:
     return F.when(more > 0, F.concat(F.substring(own, 1, most), F.lit(" ["), more.cast("string"), F.lit(" more characters]"))).otherwise(own)
 
 
+#: Characters below it are in normal form C already.
+ODD = "[\\x{0300}-\\x{10FFFF}]"
+
+
+def _nfc_of_arrays(s: pd.Series) -> pd.Series:
+    return s.map(lambda ws: None if ws is None else [unicodedata.normalize("NFC", w) for w in ws])
+
+
+def composed_array(words: Column) -> Column:
+    """An array of words in normal form C.  Spark has no function for it: arrays that need one go through Python, the
+    others are sent there as nulls."""
+    odd = F.exists(words, lambda w: w.rlike(ODD))
+    nfc = F.pandas_udf(_nfc_of_arrays, ArrayType(StringType()))
+    return F.coalesce(nfc(F.when(odd, words)), words)
+
+
 def composed(words: DataFrame, col: str) -> DataFrame:
     """``words`` with ``col`` in normal form C.
 
@@ -165,6 +182,6 @@ def composed(words: DataFrame, col: str) -> DataFrame:
     def nfc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFC", x))
 
-    odd = words.where(F.col(col).rlike("[\\x{0300}-\\x{10FFFF}]")).select(col).distinct()
+    odd = words.where(F.col(col).rlike(ODD)).select(col).distinct()
     odd = odd.withColumn("__nfc", nfc(col))
     return words.join(odd, col, "left").withColumn(col, F.coalesce("__nfc", col)).drop("__nfc")

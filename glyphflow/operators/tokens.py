@@ -16,8 +16,10 @@ def _placed(docs: DataFrame, id_col: str, lines) -> DataFrame:
 
 def tokens_composed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``line, word_number, raw, word`` of each word, from 1; ``word`` is lower-cased, in normal form C."""
-    found = _placed(docs, id_col, T.lines(F.col(text_col))).withColumn("word", F.lower("raw"))
-    return T.composed(found, "word").select(id_col, "line", "word_number", "raw", "word")
+    by_line = docs.select(F.col(id_col), F.posexplode(T.lines(F.col(text_col))).alias("line", "__line")).select(id_col, "line", F.regexp_extract_all("__line", F.lit(T.LETTERS), F.lit(0)).alias("raw"))
+    own = by_line.where(F.size("raw") > 0).withColumn("word", F.transform("raw", F.lower))
+    placed = own.withColumn("word", T.composed_array(F.col("word"))).select(id_col, (F.col("line") + 1).alias("line"), F.posexplode(F.arrays_zip("raw", "word")).alias("at", "w"))
+    return placed.select(id_col, "line", (F.col("at") + 1).alias("word_number"), "w.raw", "w.word")
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
