@@ -131,9 +131,13 @@ def estimate(share: Column, n: Column) -> tuple[Column, Column, Column]:
     return share, share - half, share + half
 
 
+#: What a report prints for a share without denominator.
+NO_SHARE = "N/A (division by zero)"
+
+
 def percent(share: Column) -> Column:
-    """Percent to one place, half up; ``N/A (division by zero)`` for no share."""
-    return F.coalesce(F.format_string("%.1f%%", F.floor(share.cast("double") * 1000 + 0.5) / 10.0), F.lit("N/A (division by zero)"))
+    """Percent to one place, half up; ``NO_SHARE`` for no share."""
+    return F.coalesce(F.format_string("%.1f%%", F.floor(share.cast("double") * 1000 + 0.5) / 10.0), F.lit(NO_SHARE))
 
 
 def format_estimate(hits: Column, n: Column) -> Column:

@@ -103,10 +103,9 @@ def in_scan_order(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def summary(texts: DataFrame, patterns: DataFrame, matches: DataFrame, id_col: str = "doc_id", shown: int = 10) -> DataFrame:
     """For each text and pattern, the number of matches and the first positions, zeros included."""
     every = texts.select(id_col).withColumn("pattern", F.explode(F.lit([r["pattern"] for r in patterns.orderBy("ord").collect()])))
-    counts = matches.groupBy(id_col, "pattern").agg(F.count(F.lit(1)).alias("n"))
-    first = matches.withColumn("at", F.row_number().over(Window.partitionBy(id_col, "pattern").orderBy("start"))).where(F.col("at") <= shown)
-    first = first.groupBy(id_col, "pattern").agg(F.sort_array(F.collect_list("start")).alias("first"))  # ``shown`` at most
-    own = counts.join(first, [id_col, "pattern"])
+    own = Window.partitionBy(id_col, "pattern")  # one pass over the matches counts and ranks them
+    ranked = matches.select(id_col, "pattern", "start", F.count(F.lit(1)).over(own).alias("n"), F.row_number().over(own.orderBy("start")).alias("at")).where(F.col("at") <= shown)
+    own = ranked.groupBy(id_col, "pattern").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("start")).alias("first"))  # ``shown`` at most
     none = F.array().cast("array<int>")
     return every.join(own, [id_col, "pattern"], "left").select(id_col, "pattern", F.coalesce("n", F.lit(0)).alias("matches"), F.coalesce("first", none).alias("first_positions"))
 

@@ -11,6 +11,10 @@ from glyphflow.sources.folder import write_array
 
 #: Fixed value: rows that a report shows.
 SHOWN = 20
+#: The words of the printed reports.
+TOTAL_WORDS, CORRECT, ERRORS, ACCURACY, PERCENT = "Total words: ", "   Correct: ", "   Errors: ", "   Accuracy: ", "%"
+LINE, WORD, SUGGESTIONS, NO_SUGGESTIONS, NO_ERRORS = "Line ", ", Word ", "\n   Suggestions: ", "(none found)", "No spelling errors found."
+DOCUMENTS, WORDS_SCANNED, ERRORS_FOUND, OVERALL = "Documents processed: ", "Total words scanned: ", "Total errors found: ", "Overall accuracy: "
 
 
 def text_report(analyzed: DataFrame, totals: DataFrame, dictionary_size: int, id_col: str = "doc_id") -> DataFrame:
@@ -59,19 +63,19 @@ def listing(articles: DataFrame) -> DataFrame:
 
 def printed(analyzed: DataFrame, totals: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``report``: the totals of a document and each error with its place and suggested words, in printable lines."""
-    place = F.concat(F.lit("Line "), F.col("line").cast("string"), F.lit(", Word "), F.col("word_number").cast("string"), F.lit(': "'), F.col("raw"), F.lit('"'))
+    place = F.concat(F.lit(LINE), F.col("line").cast("string"), F.lit(WORD), F.col("word_number").cast("string"), F.lit(': "'), F.col("raw"), F.lit('"'))
     words = F.array_join(F.transform("suggestions", lambda s: s["word"]), ", ")
-    told = F.concat(place, F.lit("\n   Suggestions: "), F.when(F.size("suggestions") > 0, words).otherwise("(none found)"))
+    told = F.concat(place, F.lit(SUGGESTIONS), F.when(F.size("suggestions") > 0, words).otherwise(NO_SUGGESTIONS))
     errors = analyzed.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "word_number", told.alias("t")))), lambda e: e["t"]), "\n").alias("errors"))
-    head = F.concat(F.lit("Total words: "), F.col("total_words").cast("string"), F.lit("   Correct: "), (F.col("total_words") - F.col("errors_found")).cast("string"), F.lit("   Errors: "), F.col("errors_found").cast("string"), F.lit("   Accuracy: "), F.col("accuracy_percent").cast("string"), F.lit("%"))
-    return totals.join(errors, id_col, "left").select(id_col, F.concat(head, F.lit("\n"), F.coalesce("errors", F.lit("No spelling errors found."))).alias("report"))
+    head = F.concat(F.lit(TOTAL_WORDS), F.col("total_words").cast("string"), F.lit(CORRECT), (F.col("total_words") - F.col("errors_found")).cast("string"), F.lit(ERRORS), F.col("errors_found").cast("string"), F.lit(ACCURACY), F.col("accuracy_percent").cast("string"), F.lit(PERCENT))
+    return totals.join(errors, id_col, "left").select(id_col, F.concat(head, F.lit("\n"), F.coalesce("errors", F.lit(NO_ERRORS))).alias("report"))
 
 
 def printed_summary(totals: DataFrame) -> DataFrame:
     """The totals over all documents in printable lines; no row when there are no documents."""
     line = lambda name, value: F.concat(F.lit(name), value.cast("string"))
     own = overall_summary(totals)
-    return own.select(F.concat_ws("\n", line("Documents processed: ", F.col("documents")), line("Total words scanned: ", F.col("total_words")), line("Total errors found: ", F.col("errors_found")), F.concat(line("Overall accuracy: ", F.col("accuracy_percent")), F.lit("%"))).alias("report"))
+    return own.select(F.concat_ws("\n", line(DOCUMENTS, F.col("documents")), line(WORDS_SCANNED, F.col("total_words")), line(ERRORS_FOUND, F.col("errors_found")), F.concat(line(OVERALL, F.col("accuracy_percent")), F.lit(PERCENT))).alias("report"))
 
 
 def _first(rows: DataFrame, id_col: str, order: list[str], line: Column, name: str, shown: int) -> DataFrame:
@@ -84,7 +88,7 @@ def _first(rows: DataFrame, id_col: str, order: list[str], line: Column, name: s
 def check_report(docs: DataFrame, errors: DataFrame, suggestions: DataFrame, summary: DataFrame, corrected: DataFrame, id_col: str = "doc_id", text_col: str = "text", shown: int = SHOWN) -> DataFrame:
     """The report of a spelling check, one row a document: strategy, text and corrected text in short, the first errors
     with their places, the first distinct ones with their suggestions, how many more of either, and the accuracy."""
-    place = F.concat(F.lit("Line "), F.col("line").cast("string"), F.lit(", Word "), F.col("word_number").cast("string"), F.lit(": "), F.col("raw"))
+    place = F.concat(F.lit(LINE), F.col("line").cast("string"), F.lit(WORD), F.col("word_number").cast("string"), F.lit(": "), F.col("raw"))
     found = _first(errors, id_col, ["line", "word_number"], place, "errors", shown)
     listed = suggestions.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("candidate").alias("word"), "distance"))), lambda s: s.dropFields("rank")).alias("listed"))
     none = F.array().cast(listed.schema["listed"].dataType)
