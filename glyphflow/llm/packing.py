@@ -2,16 +2,24 @@
 
 1. Every text becomes token ids, followed by an end id; the ids are written to the shared folder.
 2. One pass counts in how many documents each id occurs: a table as long as the vocabulary.
-3. Each task deals its documents into shards of at most ``SHARD_TOKENS`` ids and builds an inverted
+3. Documents are routed by what they say: a document's weights (those of BM25) are projected on ``SKETCH``
+   coordinates by sparse random signs, a tree of planes, fitted to a sample of about ``FIT_DOCS`` documents, gives each sketch
+   its leaf, and the documents are spread over the tasks by ranges of leaves.  Inside a leaf they are
+   ordered by the side of the leaf's middle on which each direction of the sketch lies, so that leaves of any size can be cut.
+4. Each task deals its range into shards of at most ``SHARD_TOKENS`` ids and builds an inverted
    BM25 index of each shard, with the counts of the whole corpus.  The first document of a sequence
    is its seed.  The unused documents that score highest for all of the seed's ids follow it until the
    sequence is full; the one that does not fit is cut, and its rest begins
    the next sequence.  What a shard has left for its last sequence is cut at powers of two, so
    nothing is padded.
 
-No step shuffles documents, and a group of copies of any size is spread like other documents.
+The ids are shuffled once, by ranges that Spark bounds by a sample of rows; the last key of the order is the id of the
+document, so a group of copies of any size is cut like other documents.
+The bounds depend on that sample, so two evaluations may cut the order at other places: write the pieces before they are read twice.
 
-A seed meets the documents of its own shard: the index is sharded, and a shard is what fits a task.
+A seed meets the documents of its own shard: the index is sharded, and a shard is what fits a task.  Routing brings
+copies and documents of like words into one shard.  It finds neighbours that are set apart by their
+words, not those that are nearest by chance; the README has the share found of the whole corpus's best neighbours.
 
 Defined results.  A null text is an empty one: its document is the end id alone.  Rows without id and
 repeated rows are packed like others.  Ties of the score go to the document that comes first in
@@ -36,7 +44,13 @@ from glyphflow.llm.storage import materialize
 
 LENGTH = 2048
 END_ID = 1
-SHARD_TOKENS = 2 << 20
+#: The most of a shard; a task aims at half of it.
+SHARD_TOKENS = 4 << 20
+#: The planes are fitted to about so many documents, whatever the size of the corpus.
+FIT_DOCS = 16384
+SKETCH = 256
+SPREAD = 4
+LEAF = 32
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -142,6 +156,110 @@ def document_counts(ids: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     return out[:size], int(out[-1]), int(out[-2])
 
 
+@lru_cache(maxsize=2)
+def _directions(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each id ``SPREAD`` coordinates and signs."""
+    rng = np.random.default_rng(size)
+    return rng.integers(0, SKETCH, (size, SPREAD)), rng.choice(np.array([-1.0, 1.0]), (size, SPREAD))
+
+
+def sketches(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """The weights of each document's distinct ids, projected by sparse signs, as vectors of length one (none: zeros)."""
+    out = np.zeros((len(bags), SKETCH), np.float32)
+    coordinates, signs = _directions(len(idf))
+    for n, (terms, tfs) in enumerate(bags):
+        if len(terms):
+            weights = idf[terms] * tfs * (K1 + 1) / (tfs + K1)
+            out[n] = np.bincount(coordinates[terms].ravel(), (signs[terms] * weights[:, None]).ravel(), SKETCH)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(length > 0, length, 1)
+
+
+class Planes:
+    """A binary tree of planes that part sketches; ``key`` gives leaves in their order from left to right."""
+
+    def __init__(self, sample: np.ndarray) -> None:
+        self.normal, self.offset, self.below = [], [], []
+        self.middle: list[np.ndarray] = []
+        self._grow(sample.astype(np.float64), np.arange(len(sample)))
+        self.normal = np.array(self.normal, np.float32).reshape(-1, SKETCH)
+        self.offset = np.array(self.offset, np.float32)
+        self.below = np.array(self.below, np.int32).reshape(-1, 2)
+        self.middle = np.array(self.middle, np.float32).reshape(-1, SKETCH)
+
+    def _grow(self, x: np.ndarray, own: np.ndarray) -> int:
+        """The number of the node; leaf n is ``-1 - n``."""
+        part = self._parted(x[own]) if len(own) > LEAF else None
+        if part is None:
+            self.middle.append(x[own].mean(axis=0) if len(own) else np.zeros(SKETCH))
+            return -len(self.middle)
+        normal, offset = part
+        side = x[own] @ normal > offset
+        node = len(self.normal)
+        self.normal.append(normal)
+        self.offset.append(offset)
+        self.below.append((0, 0))
+        left = self._grow(x, own[~side])
+        self.below[node] = (left, self._grow(x, own[side]))
+        return node
+
+    @staticmethod
+    def _parted(x: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """Two means from the median along the widest direction; None if nothing can be parted."""
+        centred = x - x.mean(axis=0)
+        widest = np.random.default_rng(len(x)).normal(size=SKETCH)
+        for _ in range(10):  # power iteration: a beginning for the means, so near is enough
+            widest = centred.T @ (centred @ widest)
+            widest /= np.linalg.norm(widest) or 1
+        along = centred @ widest
+        side = along > np.median(along)
+        normal = offset = None
+        for _ in range(8):
+            if side.all() or not side.any():
+                return None
+            a, b = x[side].mean(axis=0), x[~side].mean(axis=0)
+            normal, offset = a - b, float((a - b) @ (a + b) / 2)
+            side = x @ normal > offset
+        return None if side.all() or not side.any() else (normal, offset)
+
+    def key(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each sketch, and on which side of its middle the first 32 coordinates are, as a number."""
+        node = np.full(len(x), 0 if len(self.normal) else -1, np.int64)
+        while (inner := np.flatnonzero(node >= 0)).size:
+            at = node[inner]
+            right = np.einsum("ij,ij->i", x[inner], self.normal[at]) > self.offset[at]
+            node[inner] = self.below[at, right.astype(np.int64)]
+        leaf = -1 - node
+        bits = (x - self.middle[leaf])[:, :32] > 0
+        return leaf, bits @ (1 << np.arange(31, -1, -1, dtype=np.int64))
+
+
+def _bags(batch, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(t, kind), np.frombuffer(f, np.uint32)) for t, f in zip(batch["terms"].to_pylist(), batch["tfs"].to_pylist())]
+
+
+def route(ids: DataFrame, idf: np.ndarray, n: int, tasks: int) -> DataFrame:
+    """``ids`` in ``tasks`` ranges of like documents, each in order."""
+    kind = _kind(len(idf))
+
+    def sketched(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([s.tobytes() for s in sketches(_bags(b, kind), idf)], pa.binary())], names=["sketch"])
+
+    drawn = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(max(1, n))) < FIT_DOCS
+    rows = ids.where(drawn).select("terms", "tfs").mapInArrow(sketched, "sketch binary").limit(2 * FIT_DOCS).collect()  # 1 KB each
+    planes = Planes(np.frombuffer(b"".join(sorted(bytes(r["sketch"]) for r in rows)), np.float32).reshape(-1, SKETCH))
+
+    def keyed(batches):
+        for b in batches:
+            leaf, bits = planes.key(sketches(_bags(b, kind), idf))
+            yield pa.record_batch([*b.columns, pa.array(leaf, pa.int64()), pa.array(bits, pa.int64())], names=[*b.schema.names, "leaf", "bits"])
+        give_back()
+
+    named = ids.mapInArrow(keyed, "doc_id long, ids binary, terms binary, tfs binary, leaf long, bits long").withColumn("last", F.crc32("ids"))
+    return named.repartitionByRange(tasks, "leaf", "bits", "doc_id").sortWithinPartitions("leaf", "bits", "doc_id", "last")
+
+
 class Shard:
     """An inverted BM25 index of some documents."""
 
@@ -275,7 +393,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
             yield put()
         give_back()
 
-    return ids.mapInArrow(deal, PIECE + (", ids binary" if with_ids else ""))
+    return route(ids, idf, n, max(1, -(-2 * total // SHARD_TOKENS))).mapInArrow(deal, PIECE + (", ids binary" if with_ids else ""))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -147,6 +147,37 @@ def test_all_of_the_seeds_ids_count():
     assert all(scores[a] >= scores[b] - 1e-3 for a, b in zip(found, found[1:]))
 
 
+def test_documents_are_routed_by_what_they_say():
+    """Of documents of many subjects, in any order, nearly all best neighbours of the whole are in the same eighth."""
+    rng = np.random.default_rng(3)
+    subjects = [rng.choice(np.arange(500, 4000), 60, replace=False) for _ in range(64)]
+    bags = [np.unique(np.append(rng.choice(subjects[n % 64], 80), rng.integers(2, 500, 40)), return_counts=True) for n in range(1600)]
+    counts = np.bincount(np.concatenate([t for t, _ in bags]), minlength=4000)
+    idf = np.log(1 + (len(bags) - counts + 0.5) / (counts + 0.5))
+    found = packing.sketches(bags, idf)
+    planes = packing.Planes(found[:1000])
+    leaf, bits = planes.key(found)
+    part = np.empty(len(bags), int)
+    part[np.lexsort((bits, leaf))] = np.arange(len(bags)) * 8 // len(bags)
+    shard = packing.Shard([np.append(np.repeat(t, f), 1) for t, f in bags], idf, 80.0)
+    kept = 0
+    for seed in range(0, len(bags), 8):
+        shard.take(seed)
+        kept += part[next(shard.neighbours(seed))] == part[seed]
+        shard.used[seed] = False
+    assert kept >= 0.9 * 200
+
+
+def test_routing_of_little_and_of_equal_documents(spark, monkeypatch):
+    assert packing.Planes(np.zeros((0, packing.SKETCH), np.float32)).key(np.zeros((2, packing.SKETCH), np.float32))[0].tolist() == [0, 0]
+    same = np.ones((100, packing.SKETCH), np.float32)
+    assert set(packing.Planes(same).key(same)[0].tolist()) == {0}
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 400)  # copies of one text are cut over several tasks; none is lost
+    found = packing.pack(table(spark, [(n, "copies of one text " * 10) for n in range(60)] + [(60, None), (61, "a long one " * 500)])).collect()
+    assert sum(r.length for r in found) == sum({r.doc_id: r.doc_tokens for r in found}.values()) and len({r.doc_id for r in found}) == 62
+    assert len({r.sequence_id >> 40 for r in found}) > 2
+
+
 def test_warc(spark, tmp_path):
     big, other = "é<p>" * 400, "x" * 2000
     pages = [(k, f"http://h/{k}", big) for k in range(5)] + [(9, "u", other), (10, None, None), (11, "http://h/a\r\nb", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 40), (12, "u", "small"), (13, "u", "small"), (4, "http://h/4", big), (None, "v", other), (14, "w", "")]
