@@ -56,6 +56,16 @@ def test_one_remainder_of_very_many_words(spark, monkeypatch):
     assert keys.join(others, "p").select("word", "o").distinct().count() < len(family) ** 2 / 3
 
 
+@pytest.mark.parametrize("hot", [3, 1024])
+def test_remainders_are_not_broadcast(spark, monkeypatch, hot):
+    """Remainders are some hundred times the words that Spark goes by, so neither side of their joins goes through the driver."""
+    monkeypatch.setattr(X, "HOT_ENTRIES", hot)
+    words = some_words(random.Random(3), 60)
+    plan = X.close_pairs(column(spark, words), column(spark, words, "candidate"), 2)._jdf.queryExecution().executedPlan().toString()
+    inner = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
+    assert len(inner) == (2 if hot == 3 else 1) and all("SortMergeJoin" in line for line in inner)
+
+
 def test_full_tables(spark):
     rng = random.Random(5)
     one, other = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 30))) for _ in range(300)], ["".join(rng.choice("abé") for _ in range(rng.randint(0, 30))) for _ in range(300)]
