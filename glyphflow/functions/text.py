@@ -63,6 +63,11 @@ def normalized_words(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(LETTERS), F.lit(0)), F.lower)
 
 
+def lower_words(c: Column) -> Column:
+    """``normalized_words`` by one pass over all words of a text, without a function for each; no words give one empty word."""
+    return F.split(F.lower(F.array_join(F.regexp_extract_all(c, F.lit(LETTERS), F.lit(0)), " ")), " ")
+
+
 def lines(c: Column) -> Column:
     """Lines of a text as a file reader gives them: no empty one at the end."""
     own = F.split(c, LINE_BREAK, -1)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +236,31 @@ def test_positions_of_many_matches(spark):
     for pattern in ("ab", "a", "aa", "aba"):
         found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.positions(F.col("t"), F.lit(pattern)).alias("p")).collect()
         assert all(r.p == [i for i in range(len(r.t)) if r.t.startswith(pattern, i)] for r in found)
+
+
+def test_vocabulary_of_odd_words(spark):
+    """Counts by text and in all, lower-cased word by word: a capital sigma before an apostrophe ends its word, a dotted I becomes two characters."""
+    texts = ["The the THE end", "ΟΔΟΣ'ΑΣ ΟΔΟΣ İstanbul", "", "  12 ", None, "the\nend the", "é É 𝒳y ß"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = D.vocabulary(frame)
+    want = {}
+    for t in texts:
+        given = re.findall(r"[^\W\d_]+", t or "")
+        own = [r[0] for r in spark.createDataFrame([(w,) for w in given], "w string").select(F.lower("w")).collect()]
+        for w in own:
+            n, docs = want.get(w, (0, 0))
+            want[w] = (n + 1, docs)
+        for w in set(own):
+            want[w] = (want[w][0], want[w][1] + 1)
+    assert {r.word: (r.n, r.docs) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan  # which Spark interprets for each word
+
+
+def test_one_vocabulary_for_flags(spark, monkeypatch):
+    from glyphflow.plans import queries as Q
+
+    made = []
+    monkeypatch.setattr(Q, "_vocabulary", lambda *a, own=Q._vocabulary: made.append(1) or own(*a))
+    assert Q.confusion(spark, "/root/testdata/sf0.001").count() == 1
+    assert len(made) == 1
