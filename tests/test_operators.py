@@ -264,3 +264,20 @@ def test_one_vocabulary_for_flags(spark, monkeypatch):
     monkeypatch.setattr(Q, "_vocabulary", lambda *a, own=Q._vocabulary: made.append(1) or own(*a))
     assert Q.confusion(spark, "/root/testdata/sf0.001").count() == 1
     assert len(made) == 1
+
+
+def test_frequent_words_stay_where_they_are(spark, monkeypatch):
+    """The same rows with and without; words of the dictionary that are frequent do not reach its join, nor do those that are not wrong reach the errors'."""
+    texts = [(k, "the cat\r\nThe the dog " + "the " * k + f"rare{'abcdefghij'[k % 10]} odd") for k in range(12)] + [(20, None), (21, ""), (22, "12"), (23, "zzz\nyyy the")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    vocabulary = D.vocabulary(docs).localCheckpoint()
+    monkeypatch.setattr(D, "FREQUENT", 10)
+    words, dictionary, frequent = K.tokens(docs), D.known_words(vocabulary), D.frequent_words(vocabulary)
+    assert {r.word for r in frequent.collect()} == {"the", "odd", "rare", "cat", "dog"} & {r.word for r in vocabulary.collect() if 10 * r.n > sum(x.n for x in vocabulary.collect())}
+    assert D.without(words, frequent).where("word = 'the'").count() == 0
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(D.unknown(words, dictionary, frequent)) == rows(D.unknown(words, dictionary))
+    assert rows(C.document_accuracy(docs, words, dictionary, frequent=frequent)) == rows(C.document_accuracy(docs, words, dictionary))
+    wrong = spark.createDataFrame([("the", True), ("zzz", False)], "word string, known boolean")
+    assert rows(C.occurrences(words, wrong, frequent)) == rows(C.occurrences(words, wrong))
+    assert D.frequent_words(vocabulary.where("false")).count() == 0
