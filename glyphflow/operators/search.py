@@ -61,12 +61,43 @@ def pattern_table(spark, patterns: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(patterns)), "ord int, pattern string")
 
 
+#: Matches that leave a task together, so that it never holds those of a batch of texts.
+MATCHES = 1 << 14
+
+
+def found_in(batches, copies: dict[str, int], id_col: str, text_col: str):
+    """Arrow batches of the matches of all patterns (``copies``: how often each is given) in batches of texts."""
+    import ahocorasick
+    import pyarrow as pa
+
+    automaton = ahocorasick.Automaton()
+    for p in copies:
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+
+    def batch(kind, ids, found, ends):
+        starts = [e - len(p) + 1 for e, p in zip(ends, found)]
+        return pa.record_batch([pa.array(ids, kind), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "pattern", "start", "end_index"])
+
+    for b in batches:
+        kind, ids, found, ends = b.schema.field(id_col).type, [], [], []
+        for i, text in zip(b[id_col], b[text_col]):  # a text at a time
+            i = i.as_py()
+            for end, p in automaton.iter(text.as_py() or "") if copies else ():
+                for _ in range(copies[p]):
+                    ids.append(i)
+                    found.append(p)
+                    ends.append(end)
+                    if len(ids) == MATCHES:
+                        yield batch(kind, ids, found, ends)
+                        ids, found, ends = [], [], []
+        yield batch(kind, ids, found, ends)
+
+
 def multi_search(texts: DataFrame, patterns: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``pattern, start, end_index`` (inclusive) of every occurrence; a repeated pattern matches again.
 
     The automaton of all patterns runs once over each text, in Arrow batches."""
-    import pyarrow as pa
-
     given = [(r["ord"], r["pattern"]) for r in patterns.orderBy("ord").collect() if r["pattern"]]  # a list that the caller wrote
     copies: dict[str, int] = {}
     for _, p in given:
@@ -74,22 +105,7 @@ def multi_search(texts: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
     kind = texts.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for p in copies:
-            automaton.add_word(p, p)
-        automaton.make_automaton()
-        for b in batches:
-            ids, found, ends = [], [], []
-            for i, text in zip(b[id_col].to_pylist(), b[text_col].to_pylist()):
-                for end, p in automaton.iter(text or "") if copies else ():
-                    for _ in range(copies[p]):
-                        ids.append(i)
-                        found.append(p)
-                        ends.append(end)
-            starts = [e - len(p) + 1 for e, p in zip(ends, found)]
-            yield pa.record_batch([pa.array(ids, b.schema.field(id_col).type), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "pattern", "start", "end_index"])
+        return found_in(batches, copies, id_col, text_col)
 
     return texts.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, pattern string, start int, end_index int")
 

@@ -281,3 +281,14 @@ def test_frequent_words_stay_where_they_are(spark, monkeypatch):
     wrong = spark.createDataFrame([("the", True), ("zzz", False)], "word string, known boolean")
     assert rows(C.occurrences(words, wrong, frequent)) == rows(C.occurrences(words, wrong))
     assert D.frequent_words(vocabulary.where("false")).count() == 0
+
+
+def test_matches_leave_in_small_batches():
+    """However many matches texts have, a task holds few of them at once; the matches are the same."""
+    import pyarrow as pa
+
+    texts = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array(["ab" * 50_000, None, "", "xaby"])], names=["doc_id", "text"])
+    made = list(P.found_in([texts], {"ab": 2, "b": 1}, "doc_id", "text"))
+    assert max(b.num_rows for b in made) == P.MATCHES
+    rows = sorted(tuple(r.values()) for b in made for r in b.to_pylist())
+    assert rows == sorted([(1, p, s + 2 * k, 2 * k + 1) for k in range(50_000) for p, s in (("ab", 0), ("ab", 0), ("b", 1))] + [(4, "ab", 1, 2)] * 2 + [(4, "b", 2, 2)])
