@@ -71,38 +71,42 @@ def ordered_matching(edges: DataFrame, by: str = "graph_id", few: int = FEW_EDGE
     vertex of an earlier one.  Edges of equal ``ord`` come by ``u``, then ``v``; equal rows are one edge.  A loop takes its one
     vertex.  Rows with a null are left out.
 
-    An edge that comes first at both its ends is taken whatever the others are, so a round takes all of those, in all
+    Edges get their place in the order, by ranges of it, so that what a round compares is one number.  An edge that comes first
+    at both its ends is taken whatever the others are, so a round takes all of those, in all
     graphs at once, and drops the edges that touch them: an aggregate by vertex (minima, which Spark takes where the edges
-    are) and two anti-joins, whose hot vertices adaptive execution splits.  What is left is written after each round;
+    are, by hashing) and two anti-joins, whose hot vertices adaptive execution splits.  What is left is written after each round;
     a graph of n edges in random order needs some log n rounds.  Once ``few`` edges are left in all, one task takes them in order, so that
-    a long chain does not cost a round for each of its edges."""
+    a long chain does not cost a round for each of its edges.  A last join gives the places their edges."""
     columns = [by, "ord", "u", "v"]
-    left = settled(edges.select(columns).dropna())
-    rounds, n = [left.where("false")], left.count()
+    # Odd places are loops'.
+    place = F.monotonically_increasing_id() * 2 + F.when(F.col("u") == F.col("v"), 1).otherwise(0)
+    placed = settled(edges.select(columns).dropna().orderBy("ord", "u", "v").withColumn("place", place))
+    left = placed.select(by, "place", "u", "v")
+    rounds, n = [left.where("false").select("place")], left.count()
     while n > few:
-        ends = left.select(by, F.explode(F.array_distinct(F.array("u", "v"))).alias("vertex"), F.struct("ord", "u", "v").alias("edge"))
-        first = ends.groupBy(by, "vertex").agg(F.min("edge").alias("edge"))
-        sides = first.groupBy(by, "edge").agg(F.count(F.lit(1)).alias("sides"))
-        taken = settled(sides.where((F.col("sides") == 2) | (F.col("edge.u") == F.col("edge.v"))).select(by, "edge.*"))
-        gone = taken.select(by, F.explode(F.array("u", "v")).alias("vertex")).distinct()
+        ends = left.select(by, "place", F.explode(F.array("u", "v")).alias("vertex"))
+        first = ends.groupBy(by, "vertex").agg(F.min("place").alias("place"))
+        sides = first.groupBy(by, "place").agg(F.count(F.lit(1)).alias("sides"), F.min("vertex").alias("one"), F.max("vertex").alias("other"))
+        taken = settled(sides.where((F.col("sides") == 2) | (F.col("place") % 2 == 1)).drop("sides"))
+        gone = taken.select(by, F.explode(F.array_distinct(F.array("one", "other"))).alias("vertex"))
         for end in ("u", "v"):
-            left = left.join(gone.withColumnRenamed("vertex", end), [by, end], "left_anti").select(columns)
-        rounds.append(taken)
+            left = left.join(gone.withColumnRenamed("vertex", end), [by, end], "left_anti").select(by, "place", "u", "v")
+        rounds.append(taken.select("place"))
         left = settled(left)
         n = left.count()
 
     def in_order(batches):
         used, keep = set(), []
-        for row in sorted((r for b in batches for r in b[columns].itertuples(index=False, name=None)), key=lambda r: r[1:]):
-            ends = {(row[0], row[2]), (row[0], row[3])}
+        for graph, at, u, v in sorted((r for b in batches for r in b[[by, "place", "u", "v"]].itertuples(index=False, name=None)), key=lambda r: r[1]):
+            ends = {(graph, u), (graph, v)}
             if not ends & used:
                 used |= ends
-                keep.append(row)
-        yield pd.DataFrame(keep, columns=columns)
+                keep.append(at)
+        yield pd.DataFrame({"place": keep}, dtype="int64")
 
     if n:
-        rounds.append(left.coalesce(1).mapInPandas(in_order, left.schema))  # ``few`` rows at most
-    return reduce(DataFrame.unionByName, rounds)
+        rounds.append(left.coalesce(1).mapInPandas(in_order, "place long"))  # ``few`` rows at most
+    return placed.join(reduce(DataFrame.unionByName, rounds), "place", "left_semi").select(columns)
 
 
 def matching_cover(matching: DataFrame, by: str = "graph_id") -> DataFrame:
@@ -112,6 +116,7 @@ def matching_cover(matching: DataFrame, by: str = "graph_id") -> DataFrame:
 
 def cover_counts(edges: DataFrame, matching: DataFrame, by: str = "graph_id") -> DataFrame:
     """``size, matched, covers`` of each graph that has edges: vertices of the cover, edges of the matching, and whether every edge has an end in the cover."""
+    matching = settled(matching)  # four steps read it
     cover = matching_cover(matching, by)
     bare = edges.select(by, "u", "v").dropna()
     for end in ("u", "v"):

@@ -49,6 +49,16 @@ def test_ordered_matching(spark, few):
     assert G.ordered_matching(edges.where("false"), few=few).count() == 0
 
 
+def test_rounds_of_the_matching_compare_by_hashing(spark, monkeypatch):
+    """Minima of whole edges would be sorted for, twice in every round."""
+    plans, write = [], G.settled
+    monkeypatch.setattr(G, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    edges = spark.createDataFrame([(0, 5, k, k + 100) for k in range(30)] + [(0, 4, 3, 101), (0, 4, 2, 101)], "graph_id int, ord long, u long, v long")
+    got = {(r.ord, r.u, r.v) for r in G.ordered_matching(edges, few=0).collect()}
+    assert got == {(5, k, k + 100) for k in range(30) if k not in (1, 2)} | {(4, 2, 101)}
+    assert len(plans) > 2 and any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p for p in plans)
+
+
 def test_matching_agrees_with_the_fold(spark):
     """The rounds take the edges that the fold over a small graph's list takes."""
     rows = [r for r in some_graphs(2) if None not in r]
