@@ -29,7 +29,9 @@ token's own string get that token's id, as the tokenizer has it.  A text of more
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -53,6 +55,17 @@ SPREAD = 4
 LEAF = 32
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
+#: The pattern that ``FIELDS`` fits, and its white space (Unicode's; Python's ``\\s`` has four control characters more).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+MARKS = r"!-&(-/:-@\[-`{-~"
+#: Latin letters before a mark or white space; ASCII marks but the apostrophe before a letter or white space; what else there is up to white
+#: space; each with the one blank before it; white space up to that blank.  The pattern cuts at each end of these, and cuts one the
+#: same wherever it stands: none of its parts goes on from letters to marks or back, or has white space after other characters.
+FIELDS = re.compile(f" ?[{LATIN}]++(?=[{SPACE}{MARKS}']|\\Z)| ?[{MARKS}]++(?=[{SPACE}{LATIN}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: So many fields of so many characters at most are kept by a task with their ids.
+SEEN, SEEN_LENGTH = 1 << 19, 32
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,11 +75,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Seen(dict):
+    """The ids of a field as bytes, worked out when it is met first."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        self.encode = encode
+
+    def __missing__(self, field: str) -> bytes:
+        own = array("I", self.encode(field)).tobytes()
+        if len(field) <= SEEN_LENGTH and len(self) < SEEN:
+            self[field] = own
+        return own
+
+
 class Encoder:
     """Ids of a byte-level BPE vocabulary file of ``tokenizers``.
 
     A vocabulary whose merges are in the order of the ids, with no other normaliser and the usual
-    pattern, is run by ``tiktoken``, which gives the same ids several times as fast; all other
+    pattern, is run by ``tiktoken``, which gives the same ids several times as fast, once for each field that is met; all other
     vocabularies, and texts that hold a special token, are run by ``tokenizers`` itself."""
 
     def __init__(self, path: str) -> None:
@@ -80,8 +106,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.size = self.slow.get_vocab_size(with_added_tokens=True)
         self.fast = self._ranked(spec)
+        self.seen = Seen(self.fast.encode_ordinary) if self.fast else None
 
     @staticmethod
     def _ranked(spec: dict):
@@ -89,7 +115,6 @@ class Encoder:
         plain = model["type"] == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         if not plain or model.get("dropout") or model.get("ignore_merges"):
             return None
-        import public_tokenizers
         import tiktoken
 
         # The printable stand-in of each byte: bytes that print stand for themselves, the others follow from 256 on.
@@ -100,12 +125,12 @@ class Encoder:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         if [model["vocab"][a + b] for a, b in merges] != list(range(256, 256 + len(merges))) or len(ranks) != 256 + len(merges):
             return None
-        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.frombuffer(b"".join(map(self.seen.__getitem__, FIELDS.findall(text))), np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -113,6 +138,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def vocabulary_size(path: str) -> int:
+    """Without the tokenizer, which the driver has no other use for."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return len(spec["model"]["vocab"].keys() | {t["content"] for t in spec.get("added_tokens", [])})
+
+
 def _kind(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
@@ -181,7 +215,7 @@ class Planes:
     def __init__(self, sample: np.ndarray) -> None:
         self.normal, self.offset, self.below = [], [], []
         self.middle: list[np.ndarray] = []
-        self._grow(sample.astype(np.float64), np.arange(len(sample)))
+        self._grow(sample, np.arange(len(sample)))
         self.normal = np.array(self.normal, np.float32).reshape(-1, SKETCH)
         self.offset = np.array(self.offset, np.float32)
         self.below = np.array(self.below, np.int32).reshape(-1, 2)
@@ -191,7 +225,7 @@ class Planes:
         """The number of the node; leaf n is ``-1 - n``."""
         part = self._parted(x[own]) if len(own) > LEAF else None
         if part is None:
-            self.middle.append(x[own].mean(axis=0) if len(own) else np.zeros(SKETCH))
+            self.middle.append(x[own].mean(axis=0, dtype=np.float64) if len(own) else np.zeros(SKETCH))
             return -len(self.middle)
         normal, offset = part
         side = x[own] @ normal > offset
@@ -206,19 +240,20 @@ class Planes:
     @staticmethod
     def _parted(x: np.ndarray) -> tuple[np.ndarray, float] | None:
         """Two means from the median along the widest direction; None if nothing can be parted."""
-        centred = x - x.mean(axis=0)
-        widest = np.random.default_rng(len(x)).normal(size=SKETCH)
+        centred = x - x.mean(axis=0, dtype=np.float64).astype(x.dtype)
+        widest = np.random.default_rng(len(x)).normal(size=SKETCH).astype(x.dtype)
         for _ in range(10):  # power iteration: a beginning for the means, so near is enough
             widest = centred.T @ (centred @ widest)
             widest /= np.linalg.norm(widest) or 1
         along = centred @ widest
+        del centred
         side = along > np.median(along)
         normal = offset = None
         for _ in range(8):
             if side.all() or not side.any():
                 return None
-            a, b = x[side].mean(axis=0), x[~side].mean(axis=0)
-            normal, offset = a - b, float((a - b) @ (a + b) / 2)
+            a, b = (x.mean(axis=0, dtype=np.float64, where=part[:, None]) for part in (side, ~side))
+            normal, offset = (a - b).astype(x.dtype), float((a - b) @ (a + b) / 2)
             side = x @ normal > offset
         return None if side.all() or not side.any() else (normal, offset)
 
@@ -247,8 +282,12 @@ def route(ids: DataFrame, idf: np.ndarray, n: int, tasks: int) -> DataFrame:
             yield pa.record_batch([pa.array([s.tobytes() for s in sketches(_bags(b, kind), idf)], pa.binary())], names=["sketch"])
 
     drawn = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(max(1, n))) < FIT_DOCS
-    rows = ids.where(drawn).select("terms", "tfs").mapInArrow(sketched, "sketch binary").limit(2 * FIT_DOCS).collect()  # 1 KB each
-    planes = Planes(np.frombuffer(b"".join(sorted(bytes(r["sketch"]) for r in rows)), np.float32).reshape(-1, SKETCH))
+    rows = ids.where(drawn).select("terms", "tfs").mapInArrow(sketched, "sketch binary").limit(2 * FIT_DOCS).toArrow()  # 1 KB each
+    sample = b"".join(sorted(rows["sketch"].to_pylist()))
+    del rows
+    planes = Planes(np.frombuffer(sample, np.float32).reshape(-1, SKETCH))
+    del sample
+    give_back()
 
     def keyed(batches):
         for b in batches:
@@ -351,7 +390,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``
     and, if asked for, ``ids`` (little-endian unsigned 32-bit numbers)."""
     path = path or default_tokenizer()
-    size = encoder(path).size
+    size = vocabulary_size(path)
     kind = _kind(size)
     ids = materialize(tokenize(docs, path, size, id_col, text_col), "ids")
     counts, n, total = document_counts(ids, size)

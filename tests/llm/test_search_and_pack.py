@@ -116,6 +116,29 @@ def test_packing(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_fields_have_the_ids_of_their_text():
+    """A field is encoded once, and cut where the pattern cuts, whatever white space, marks and letters stand together."""
+    own = packing.Encoder(packing.default_tokenizer())
+    parts = [*" \t\n\r\x0b\x1c\x1f\x85\xa0\u1680\u180e\u2009\u200b\u2028\u3000", *"ab'1.,(½²é\u0301日🙂_-ⅧR", "'s", "  ", "don't", " \n", " the", "x" * 40]
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12)))
+        assert list(own.ids(text)) == own.slow.encode(text, add_special_tokens=False).ids
+    encoded = []
+    own.seen = packing.Seen(lambda f: encoded.append(f) or own.fast.encode_ordinary(f))
+    assert list(own.ids("the cat, the (cat) the cat, the")) == own.slow.encode("the cat, the (cat) the cat, the").ids
+    assert sorted(encoded) == sorted(["the", " cat", ",", " the", " (", "cat", ")"])
+
+
+def test_the_driver_has_no_tokenizer(spark, monkeypatch):
+    path = packing.default_tokenizer()
+    assert packing.vocabulary_size(path) == packing.Encoder(path).slow.get_vocab_size(with_added_tokens=True)
+    frame = table(spark)
+    monkeypatch.setattr(packing, "Encoder", None)
+    packing.encoder.cache_clear()
+    assert packing.pack(frame).columns[0] == "doc_id"
+
+
 def test_neighbours_are_alike():
     a, b = np.array([5, 6, 7, 8, 1], np.uint16), np.array([9, 10, 11, 1], np.uint16)
     shard = packing.Shard([a, b, b[[0, 2, 3]], a[[0, 1, 4]], np.array([1], np.uint16)], np.ones(20), 3.0)
