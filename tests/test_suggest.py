@@ -153,6 +153,20 @@ def test_few_words_make_no_remainders(spark, monkeypatch):
     assert found == sorted(map(tuple, S.suggest_phonetic(asked, entries).collect()))
 
 
+def test_remainders_are_made_by_all_tasks(spark):
+    """Both sides are dealt by number before they are exploded, and pairs that are too far apart do not reach Python."""
+    words = some_words(random.Random(23), 60)
+    found = X.close_pairs(column(spark, words), column(spark, words, "candidate"), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert {c for c in ("word", "candidate") for line in plan if f"hashpartitioning({c}#" in line and "REPARTITION_BY_NUM" in line} == {"word", "candidate"}
+    python = next(k for k, line in enumerate(plan) if "ArrowEvalPython" in line)
+    join = next(k for k, line in enumerate(plan) if "SortMergeJoin" in line and "Inner" in line)
+    assert any("Filter" in line and "levenshtein" in line for line in plan[python:join])
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for most in (1, 2, 3):
+        assert pairs.where(~X.may_be_close("a", "b", most) & X.bounded_osa("a", "b", most).isNotNull()).count() == 0
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     """Documents whose dictionary, common words and errors follow from the texts."""
