@@ -54,6 +54,8 @@ SKETCH = 256
 SPREAD = 4
 LEAF = 32
 NEIGHBOURS = 64
+#: Ids of more than one in so many documents of a shard; their rows take at most so many times the room of their postings.
+FULL = 4
 K1, B = 1.2, 0.75
 #: The pattern that ``FIELDS`` fits, and its white space (Unicode's; Python's ``\\s`` has four control characters more).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -314,8 +316,16 @@ class Shard:
         self.rows = np.searchsorted(self.doc, np.arange(self.n + 1))
         self.weight = weight
         order = np.argsort(self.term, kind="stable")
-        self.posted, self.value = self.doc[order].astype(np.intp), weight[order].astype(np.float64)  # as they are added up
-        self.start = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
+        start = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
+        posted, value = self.doc[order].astype(np.intp), weight[order].astype(np.float64)  # as they are added up
+        # An id that more than one in FULL documents have has a weight for each document: rows are added faster than scattered.
+        common = np.flatnonzero(np.diff(start) * FULL > self.n)
+        self.full = {t: np.bincount(posted[start[t] : start[t + 1]], value[start[t] : start[t + 1]], self.n) for t in common.tolist()}
+        self.is_full = np.zeros(len(idf), bool)
+        self.is_full[common] = True
+        rest = ~self.is_full[self.term[order]]
+        self.posted, self.value = posted[rest], value[rest]
+        self.start = np.searchsorted(self.term[order][rest], np.arange(len(idf) + 1))
         self.used = np.zeros(self.n, bool)
         self.next = 0
 
@@ -331,11 +341,17 @@ class Shard:
         """Unused documents, the best first, as long as they share an id that the query has."""
         own = slice(self.rows[seed], self.rows[seed + 1])
         terms = self.term[own]
-        at = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist())]
-        if not at:
+        if not len(terms):
             return
-        docs, values = np.concatenate([self.posted[s] for s in at]), np.concatenate([self.value[s] for s in at])
-        scores = np.bincount(docs, values, minlength=self.n)
+        common = self.is_full[terms]
+        rare = terms[~common]
+        at = [slice(a, b) for a, b in zip(self.start[rare].tolist(), self.start[rare + 1].tolist())]
+        if at:
+            scores = np.bincount(np.concatenate([self.posted[s] for s in at]), np.concatenate([self.value[s] for s in at]), self.n)
+        else:
+            scores = np.zeros(self.n)
+        for t in terms[common].tolist():  # one after the other, so that copies get equal sums
+            scores += self.full[t]
         asked = NEIGHBOURS // 2
         while True:
             asked *= 2  # so that many neighbours cost no scan each few of them

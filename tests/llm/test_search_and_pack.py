@@ -139,6 +139,21 @@ def test_the_driver_has_no_tokenizer(spark, monkeypatch):
     assert packing.pack(frame).columns[0] == "doc_id"
 
 
+def test_common_ids_have_full_rows(monkeypatch):
+    """Ids of many documents are added as whole rows and leave the postings; the documents come in the same order."""
+    rng = np.random.default_rng(29)
+    docs = [np.append(np.minimum(rng.geometric(0.05, rng.integers(0, 90)) + 1, 299), 1).astype(np.uint16) for _ in range(300)]
+    docs += docs[:20]
+    idf, found, left = rng.random(300) + 0.1, [], []
+    for full in (0, 4, 10**6):
+        monkeypatch.setattr(packing, "FULL", full)
+        shard = packing.Shard(docs, idf, 45.0)
+        left.append(len(shard.posted))
+        found.append(list(packing.order(shard, [len(d) for d in docs], 256)))
+    assert found[0] == found[1] == found[2]
+    assert left[0] > 2 * left[1] and left[2] == 0
+
+
 def test_neighbours_are_alike():
     a, b = np.array([5, 6, 7, 8, 1], np.uint16), np.array([9, 10, 11, 1], np.uint16)
     shard = packing.Shard([a, b, b[[0, 2, 3]], a[[0, 1, 4]], np.array([1], np.uint16)], np.ones(20), 3.0)
