@@ -1,6 +1,7 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-1. Every text becomes token ids, followed by an end id; the ids are written to the shared folder.
+1. Every text becomes token ids, followed by an end id; the ids are written to the shared folder.  Texts are encoded by blocks: each distinct
+   field of a block once, and words that a task has met before not again.
 2. One pass counts in how many documents each id occurs: a table as long as the vocabulary.
 3. Documents are routed by what they say: a document's weights (those of BM25) are projected on ``SKETCH``
    coordinates by sparse random signs, a tree of planes, fitted to a sample of about ``FIT_DOCS`` documents, gives each sketch
@@ -13,9 +14,10 @@
    the next sequence.  What a shard has left for its last sequence is cut at powers of two, so
    nothing is padded.
 
-The ids are shuffled once, by ranges that Spark bounds by a sample of rows; the last key of the order is the id of the
-document, so a group of copies of any size is cut like other documents.
-The bounds depend on that sample, so two evaluations may cut the order at other places: write the pieces before they are read twice.
+The ids are shuffled once, by ranges of about as many ids each, bounded by a sample of rows (``SAMPLED`` for each range, drawn by hash); the last key of
+the order is the id of the document, so a group of copies of any size is cut like other documents.  Spark's own range bounds would
+make all sketches twice.  Where equal rows are so many that the sample has to be cut off,
+two evaluations may bound the ranges at other places: write the pieces before they are read twice.
 
 A seed meets the documents of its own shard: the index is sharded, and a shard is what fits a task.  Routing brings
 copies and documents of like words into one shard.  It finds neighbours that are set apart by their
@@ -37,6 +39,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +59,12 @@ LEAF = 32
 NEIGHBOURS = 64
 #: Ids of more than one in so many documents of a shard; their rows take at most so many times the room of their postings.
 FULL = 4
+#: Shards of up to so many documents have the scores of all pairs worked out at once; rows are worth so many times more room there.
+SQUARE, FULL_SQUARE = 3072, 4
+#: Weights are multiples of one in so many.
+STEPS = 2.0**30
+#: So many documents of each range are sampled for the ranges' bounds.
+SAMPLED = 128
 K1, B = 1.2, 0.75
 #: The pattern that ``FIELDS`` fits, and its white space (Unicode's; Python's ``\\s`` has four control characters more).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,6 +77,97 @@ MARKS = r"!-&(-/:-@\[-`{-~"
 FIELDS = re.compile(f" ?[{LATIN}]++(?=[{SPACE}{MARKS}']|\\Z)| ?[{MARKS}]++(?=[{SPACE}{LATIN}]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: So many fields of so many characters at most are kept by a task with their ids.
 SEEN, SEEN_LENGTH = 1 << 19, 32
+#: Texts of about so many bytes are encoded at once, with the ids of so many fields of so many bytes at most that were met before.
+BLOCK_BYTES = 8 << 20
+KNOWN, KNOWN_LENGTH = 1 << 19, 32
+#: So many bytes are cut at once: they stay in the processor's cache.
+CUT_BYTES = 1 << 18
+#: Kinds of bytes: those that are no white space, nor may begin any; ASCII letters; ASCII marks but the apostrophe; ASCII white space.
+SOLID, LETTER, MARK, WHITE = 1, 2, 4, 8
+
+
+def _kinds_of_bytes() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x21:0x7F] = kinds[0x80:] = SOLID
+    kinds[[0xC2, 0xE1, 0xE2, 0xE3]] = 0
+    kinds[[b for b in range(128) if chr(b).isalpha()]] |= LETTER
+    kinds[[b for b in range(128) if re.match(f"[{MARKS}]", chr(b))]] |= MARK
+    kinds[[9, 10, 11, 12, 13, 32]] = WHITE
+    return kinds
+
+
+KINDS = _kinds_of_bytes().tobytes()
+
+
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(KINDS), np.uint8)
+
+
+def letters(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a letter of ASCII, or of two bytes up to U+023F, begins at each byte of UTF-8, and whether it ends there."""
+    letter = (kinds & LETTER) != 0
+    lead = (data >= 0xC3) & (data <= 0xC8)
+    lead[:-1] &= (data[:-1] != 0xC3) | ((data[1:] != 0x97) & (data[1:] != 0xB7))  # but the signs of multiplication and division
+    begun = letter | lead
+    letter[1:] |= lead[:-1]
+    return begun, letter
+
+
+def runs(ends: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first, end, where it begins, where it ends) of runs of things that end at ``ends``, of at most ``size`` or one thing each."""
+    n = begin = 0
+    while n < len(ends):
+        m = max(n + 1, int(np.searchsorted(ends, begin + size, "right")))
+        yield n, m, begin, int(ends[m - 1])
+        n, begin = m, int(ends[m - 1])
+
+
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where fields of UTF-8 texts begin; the texts lie one after the other, none is empty, and end at ``ends``.
+
+    A field has the ids it has in its text.  Cuts are before a blank that other than white space follows, between letters and marks, before
+    white space that letters or marks precede, and after such of one character that is no blank.  What is not known from single bytes, or two of
+    Latin letters beyond ASCII, is not cut."""
+    kinds = kinds_of(data)
+    solid, mark, white = ((kinds & k) != 0 for k in (SOLID, MARK, WHITE))
+    begun, ended = letters(data, kinds)
+    known = ended | (solid & (data < 0x80))  # as the last byte of a character that is no white space
+    cut = np.zeros(len(data), bool)
+    before_solid = np.zeros(len(data), bool)
+    before_solid[:-1] = (data[:-1] == 32) & solid[1:]
+    before_solid[ends - 1] = False
+    cut[1:] = before_solid[1:] | (ended[:-1] & mark[1:]) | (mark[:-1] & begun[1:]) | (known[:-1] & white[1:])
+    cut[2:] |= known[:-2] & (white[1:-1] & (data[1:-1] != 32)) & solid[2:]
+    cut[0] = True
+    cut[ends[:-1]] = True
+    return np.flatnonzero(cut)
+
+
+def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """``values`` cut at ``offsets``, as binaries."""
+    at = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(values)])
+
+
+def numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all of a column's binaries, one after the other, and where each begins and the last ends."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return whole.view(kind), (at - at[0]) // np.dtype(kind).itemsize
+
+
+def distinct(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of each document, ascending, how often each is, and where each document's begin and the last's end."""
+    bits = 8 * ids.itemsize
+    n = len(offsets) - 1
+    wide = np.uint32 if n << bits <= 1 << 32 else np.uint64
+    keys = np.repeat(np.arange(n, dtype=wide) << wide(bits), np.diff(offsets)) | ids
+    keys.sort()
+    first = np.flatnonzero(np.append(len(keys) > 0, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    found = keys[first]
+    return found.astype(ids.dtype), np.diff(np.append(first, len(keys))).astype(np.uint32), np.searchsorted(found >> wide(bits), np.arange(n + 1))
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,7 +194,7 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary file of ``tokenizers``.
 
     A vocabulary whose merges are in the order of the ids, with no other normaliser and the usual
-    pattern, is run by ``tiktoken``, which gives the same ids several times as fast, once for each field that is met; all other
+    pattern, is run by ``tiktoken``, which gives the same ids several times as fast, once for each field that a block of texts has; all other
     vocabularies, and texts that hold a special token, are run by ``tokenizers`` itself."""
 
     def __init__(self, path: str) -> None:
@@ -108,11 +208,12 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.fast = self._ranked(spec)
+        self.fast, self.lines = self._ranked(spec, PATTERN), self._ranked(spec, r"[^\n]+|\n")
         self.seen = Seen(self.fast.encode_ordinary) if self.fast else None
+        self.known, self.known_ids, self.known_lengths = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     @staticmethod
-    def _ranked(spec: dict):
+    def _ranked(spec: dict, pattern: str):
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
         plain = model["type"] == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         if not plain or model.get("dropout") or model.get("ignore_merges"):
@@ -127,13 +228,68 @@ class Encoder:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         if [model["vocab"][a + b] for a, b in merges] != list(range(256, 256 + len(merges))) or len(ranks) != 256 + len(merges):
             return None
-        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.frombuffer(b"".join(map(self.seen.__getitem__, FIELDS.findall(text))), np.uint32)
 
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings, one text after the other, and where each text's begin and the last's end."""
+        data, offsets = numbers(texts, np.uint8)
+        if self.fast is None or any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            own = [self.ids(t or "") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *own]), np.cumsum([0, *map(len, own)])
+        if not len(data):
+            return np.zeros(0, np.uint32), offsets
+        ends = offsets[np.append(False, np.diff(offsets) > 0)]
+        at = np.concatenate([a + cuts(data[a:b], ends[n:m] - a) for n, m, a, b in runs(ends, CUT_BYTES)])
+        fields = binaries(data, np.append(at, len(data))).dictionary_encode()
+        place = pc.fill_null(pc.index_in(fields.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = fields.dictionary.filter(pa.array(place < 0))
+        own, lengths = self._fields(new)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        values, lengths = np.concatenate([self.known_ids, own]), np.concatenate([self.known_lengths, lengths])
+        which = place[fields.indices.to_numpy()]
+        length = lengths[which]
+        end = np.cumsum(length)
+        ids = values[np.repeat((np.cumsum(lengths) - lengths)[which] - end + length, length) + np.arange(end[-1])]
+        self._keep(new, own, lengths[len(self.known) :])
+        return ids, np.append(0, end)[np.searchsorted(at, offsets)]
+
+    def _keep(self, fields: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        short = np.diff(numbers(fields, np.uint8)[1]) <= KNOWN_LENGTH
+        short &= np.cumsum(short) <= KNOWN - len(self.known)
+        self.known = pa.concat_arrays([self.known, fields.filter(pa.array(short))])
+        self.known_ids = np.concatenate([self.known_ids, ids[np.repeat(short, lengths)]])
+        self.known_lengths = np.concatenate([self.known_lengths, lengths[short]])
+
+    def _fields(self, fields: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct fields, one field after the other, and how many each has.  Words are encoded as lines of one text."""
+        if not len(fields):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        data, offsets = numbers(fields, np.uint8)
+        begun, ended = letters(data, kinds_of(data))
+        word = begun | ended
+        word[offsets[:-1]] |= (data[offsets[:-1]] == 32) & (np.diff(offsets) > 1)
+        plain = np.logical_and.reduceat(word, offsets[:-1])
+        count = int(plain.sum())
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), fields.filter(pa.array(plain))), b"\n")[0].as_py()
+        ids = np.array(self.lines.encode_ordinary(text.decode()), np.uint32)
+        gaps = np.flatnonzero(ids == self.lines.encode_single_token(b"\n"))
+        if len(gaps) != max(0, count - 1):
+            raise AssertionError("a line's end is not an id of its own")
+        others = [self.ids(f.decode()) for f in fields.filter(pa.array(~plain)).to_pylist()]
+        lengths = np.zeros(len(fields), np.int64)
+        if count:
+            lengths[plain] = np.diff(np.concatenate([[-1], gaps, [len(ids)]])) - 1
+        lengths[~plain] = [len(o) for o in others]
+        out, of_plain = np.empty(lengths.sum(), np.uint32), np.repeat(plain, lengths)
+        out[of_plain] = np.delete(ids, gaps)
+        out[~of_plain] = np.concatenate([np.zeros(0, np.uint32), *others])
+        return out, lengths
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -160,13 +316,14 @@ def tokenize(docs: DataFrame, path: str, size: int, id_col: str = "doc_id", text
     def encode(batches):
         own = encoder(path)
         for b in batches:
-            columns: tuple[list, list, list] = ([], [], [])
-            for t in b["text"].to_pylist():
-                ids = np.append(own.ids(t or ""), END_ID).astype(kind)
-                terms, tfs = np.unique(ids[:-1], return_counts=True)
-                for column, values in zip(columns, (ids, terms, tfs.astype(np.uint32))):
-                    column.append(values.tobytes())
-            yield pa.record_batch([b["doc_id"], *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "ids", "terms", "tfs"])
+            texts = b["text"].fill_null("")
+            for start, end, _, _ in runs(numbers(texts, np.uint8)[1][1:], BLOCK_BYTES):
+                ids, offsets = own.block(texts.slice(start, end - start))
+                ids = ids.astype(kind)
+                terms, tfs, bags = distinct(ids, offsets)
+                whole = np.insert(ids, offsets[1:], END_ID)
+                columns = [b["doc_id"].slice(start, end - start), binaries(whole, offsets + np.arange(len(offsets))), binaries(terms, bags), binaries(tfs, bags)]
+                yield pa.record_batch(columns, names=["doc_id", "ids", "terms", "tfs"])
         give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, terms binary, tfs binary")
@@ -179,10 +336,9 @@ def document_counts(ids: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
     def count(batches):
         found, n, total = np.zeros(size, np.int64), 0, 0
         for b in batches:
-            for terms, size_ in zip(b["terms"].to_pylist(), b["size"].to_pylist()):
-                found[np.frombuffer(terms, kind)] += 1
-                n += 1
-                total += size_ // kind().itemsize
+            found += np.bincount(numbers(b["terms"], kind)[0], minlength=size)
+            n += len(b)
+            total += sum(b["size"].to_pylist()) // kind().itemsize
         used = np.flatnonzero(found)
         yield pa.record_batch([pa.array(np.append(used, [-1, -2]), pa.int64()), pa.array(np.append(found[used], [n, total]), pa.int64())], names=["id", "n"])
 
@@ -201,12 +357,18 @@ def _directions(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
     """The weights of each document's distinct ids, projected by sparse signs, as vectors of length one (none: zeros)."""
-    out = np.zeros((len(bags), SKETCH), np.float32)
+    terms, tfs = (np.concatenate([np.zeros(0, np.uint32), *(b[c] for b in bags)]) for c in (0, 1))
+    return _sketches(terms, tfs, np.cumsum([0, *(len(t) for t, _ in bags)]), idf)
+
+
+def _sketches(terms: np.ndarray, tfs: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(at) - 1, SKETCH), np.float32)
     coordinates, signs = _directions(len(idf))
-    for n, (terms, tfs) in enumerate(bags):
-        if len(terms):
-            weights = idf[terms] * tfs * (K1 + 1) / (tfs + K1)
-            out[n] = np.bincount(coordinates[terms].ravel(), (signs[terms] * weights[:, None]).ravel(), SKETCH)
+    for n, m, a, b in runs(at[1:], 1 << 16):
+        own, often = terms[a:b].astype(np.intp), tfs[a:b].astype(np.float64)
+        weights = idf[own] * often * (K1 + 1) / (often + K1)
+        row = np.repeat(np.arange(m - n) * SKETCH, np.diff(at[n : m + 1]))
+        out[n:m] = np.bincount((coordinates[own] + row[:, None]).ravel(), (signs[own] * weights[:, None]).ravel(), (m - n) * SKETCH).reshape(m - n, SKETCH)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(length > 0, length, 1)
 
@@ -271,55 +433,87 @@ class Planes:
         return leaf, bits @ (1 << np.arange(31, -1, -1, dtype=np.int64))
 
 
-def _bags(batch, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(t, kind), np.frombuffer(f, np.uint32)) for t, f in zip(batch["terms"].to_pylist(), batch["tfs"].to_pylist())]
+class Ranges:
+    """Ranges of rows in the order of two whole numbers, of like sums of ``sizes`` by a sample of rows."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, sizes: np.ndarray, ranges: int) -> None:
+        order = np.lexsort((second, first))
+        sums = np.cumsum(sizes[order])
+        order = order[np.searchsorted(sums, sums[-1] * np.arange(1, ranges) // ranges)] if len(order) else order
+        self.first, self.second = first[order], second[order]
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The range of each row: the second number decides only where the first is that of a bound."""
+        low, high = (np.searchsorted(self.first, first, side) for side in ("left", "right"))
+        for n in np.flatnonzero(low < high).tolist():
+            low[n] += np.searchsorted(self.second[low[n] : high[n]], second[n], "right")
+        return low
 
 
 def route(ids: DataFrame, idf: np.ndarray, n: int, tasks: int) -> DataFrame:
-    """``ids`` in ``tasks`` ranges of like documents, each in order."""
+    """``doc_id, ids`` in ``tasks`` ranges of like documents, each in order."""
     kind = _kind(len(idf))
 
-    def sketched(batches):
+    def sketched(b):
+        (terms, at), (tfs, _) = numbers(b["terms"], kind), numbers(b["tfs"], np.uint32)
+        return _sketches(terms, tfs, at, idf)
+
+    def drawn(size):
+        return ids.where(F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(max(1, n))) < size)
+
+    def sampled(batches):
         for b in batches:
-            yield pa.record_batch([pa.array([s.tobytes() for s in sketches(_bags(b, kind), idf)], pa.binary())], names=["sketch"])
+            yield pa.record_batch([pa.array([s.tobytes() for s in sketched(b)], pa.binary())], names=["sketch"])
 
-    drawn = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(max(1, n))) < FIT_DOCS
-    rows = ids.where(drawn).select("terms", "tfs").mapInArrow(sketched, "sketch binary").limit(2 * FIT_DOCS).toArrow()  # 1 KB each
+    rows = drawn(FIT_DOCS).select("terms", "tfs").mapInArrow(sampled, "sketch binary").limit(2 * FIT_DOCS).toArrow()  # 1 KB each
     sample = b"".join(sorted(rows["sketch"].to_pylist()))
     del rows
     planes = Planes(np.frombuffer(sample, np.float32).reshape(-1, SKETCH))
     del sample
     give_back()
 
+    def places(b):
+        leaf, bits = planes.key(sketched(b))
+        return leaf << 32 | bits, b["doc_id"].fill_null(-(1 << 63)).to_numpy()
+
+    def keys(batches):
+        for b in batches:
+            yield pa.record_batch([*(pa.array(k) for k in places(b)), b["size"]], names=["place", "doc_id", "size"])
+
+    rows = drawn(SAMPLED * tasks).select("doc_id", "terms", "tfs", F.octet_length("ids").cast("long").alias("size"))
+    rows = rows.mapInArrow(keys, "place long, doc_id long, size long").limit(2 * SAMPLED * tasks).toArrow()  # 24 bytes each
+    ranges = Ranges(*(rows[c].to_numpy() for c in ("place", "doc_id", "size")), tasks)
+    del rows
+
     def keyed(batches):
         for b in batches:
-            leaf, bits = planes.key(sketches(_bags(b, kind), idf))
-            yield pa.record_batch([*b.columns, pa.array(leaf, pa.int64()), pa.array(bits, pa.int64())], names=[*b.schema.names, "leaf", "bits"])
+            place, doc_id = places(b)
+            yield pa.record_batch([b["doc_id"], b["ids"], pa.array(place), pa.array(ranges.of(place, doc_id), pa.int32())], names=["doc_id", "ids", "place", "range"])
         give_back()
 
-    named = ids.mapInArrow(keyed, "doc_id long, ids binary, terms binary, tfs binary, leaf long, bits long").withColumn("last", F.crc32("ids"))
-    return named.repartitionByRange(tasks, "leaf", "bits", "doc_id").sortWithinPartitions("leaf", "bits", "doc_id", "last")
+    named = ids.mapInArrow(keyed, "doc_id long, ids binary, place long, range int").withColumn("last", F.crc32("ids"))
+    return named.repartitionById(tasks, "range").sortWithinPartitions("place", "doc_id", "last").select("doc_id", "ids")
 
 
 class Shard:
     """An inverted BM25 index of some documents."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, bags: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
-        """``docs``: ids, the end id last; ``bags``: their distinct ids before it, ascending, and how often, if known."""
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
+        """``docs``: ids, the end id last."""
         self.n = len(docs)
         length = np.array([len(d) - 1 for d in docs])
-        bags = bags or [np.unique(d[:-1], return_counts=True) for d in docs]
-        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in bags])
-        self.term, tf = np.concatenate([t for t, _ in bags]).astype(np.int32), np.concatenate([f for _, f in bags])
+        terms, tf, at = distinct(np.concatenate([d[:-1] for d in docs]).astype(_kind(len(idf))), np.append(0, np.cumsum(length)))
+        self.doc, self.term = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(at)), terms.astype(np.int32)
         norm = K1 * (1 - B + B * length / max(mean, 1e-9))
-        weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
+        # Multiples of a power of two: sums are exact, and the same in any order, so that copies have equal ones.
+        weight = np.rint((idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32) * STEPS) / STEPS
         self.rows = np.searchsorted(self.doc, np.arange(self.n + 1))
-        self.weight = weight
         order = np.argsort(self.term, kind="stable")
         start = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
-        posted, value = self.doc[order].astype(np.intp), weight[order].astype(np.float64)  # as they are added up
+        posted, value = self.doc[order].astype(np.intp), weight[order]
         # An id that more than one in FULL documents have has a weight for each document: rows are added faster than scattered.
-        common = np.flatnonzero(np.diff(start) * FULL > self.n)
+        square = self.n <= SQUARE
+        common = np.flatnonzero(np.diff(start) * FULL * (FULL_SQUARE if square else 1) > self.n)
         self.full = {t: np.bincount(posted[start[t] : start[t + 1]], value[start[t] : start[t + 1]], self.n) for t in common.tolist()}
         self.is_full = np.zeros(len(idf), bool)
         self.is_full[common] = True
@@ -328,6 +522,25 @@ class Shard:
         self.start = np.searchsorted(self.term[order][rest], np.arange(len(idf) + 1))
         self.used = np.zeros(self.n, bool)
         self.next = 0
+        self.all = self._all() if square else None
+
+    def _all(self) -> np.ndarray:
+        """The scores of all documents (columns) for all seeds (rows): full rows by one product of matrices, and the postings."""
+        common = np.flatnonzero(self.is_full)
+        has = np.zeros((self.n, len(common)))
+        own = self.is_full[self.term]
+        has[self.doc[own], np.searchsorted(common, self.term[own])] = 1
+        out = has @ np.array([self.full[t] for t in common.tolist()]).reshape(-1, self.n)
+        doc, term = self.doc[~own], self.term[~own]
+        begin, many = self.start[term], self.start[term + 1] - self.start[term]
+        ends = np.append(0, np.cumsum(many))[np.searchsorted(doc, np.arange(self.n), "right")]  # of each seed's sums
+        at = np.searchsorted(doc, np.arange(self.n + 1))
+        for n, m, _, _ in runs(ends, 1 << 20):
+            part = slice(at[n], at[m])
+            k = np.cumsum(many[part])
+            posting = np.repeat(begin[part] - k + many[part], many[part]) + np.arange(k[-1] if len(k) else 0)
+            out[n:m] += np.bincount(np.repeat((doc[part] - n) * self.n, many[part]) + self.posted[posting], self.value[posting], (m - n) * self.n).reshape(m - n, self.n)
+        return out
 
     def take(self, d: int) -> None:
         self.used[d] = True
@@ -337,12 +550,7 @@ class Shard:
             self.next += 1
         return self.next if self.next < self.n else None
 
-    def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents, the best first, as long as they share an id that the query has."""
-        own = slice(self.rows[seed], self.rows[seed + 1])
-        terms = self.term[own]
-        if not len(terms):
-            return
+    def _scores(self, terms: np.ndarray) -> np.ndarray:
         common = self.is_full[terms]
         rare = terms[~common]
         at = [slice(a, b) for a, b in zip(self.start[rare].tolist(), self.start[rare + 1].tolist())]
@@ -350,8 +558,17 @@ class Shard:
             scores = np.bincount(np.concatenate([self.posted[s] for s in at]), np.concatenate([self.value[s] for s in at]), self.n)
         else:
             scores = np.zeros(self.n)
-        for t in terms[common].tolist():  # one after the other, so that copies get equal sums
+        for t in terms[common].tolist():
             scores += self.full[t]
+        return scores
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents, the best first, as long as they share an id that the query has."""
+        own = slice(self.rows[seed], self.rows[seed + 1])
+        terms = self.term[own]
+        if not len(terms):
+            return
+        scores = self.all[seed].copy() if self.all is not None else self._scores(terms)
         asked = NEIGHBOURS // 2
         while True:
             asked *= 2  # so that many neighbours cost no scan each few of them
@@ -415,11 +632,11 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
     def deal(batches):
         first = TaskContext.get().partitionId() << 40
-        names, own, bags, tokens = [], [], [], 0
+        names, own, tokens = [], [], 0
 
         def put():
-            nonlocal first, names, own, bags, tokens
-            where = list(order(Shard(own, idf, mean, bags), [len(o) for o in own], length))
+            nonlocal first, names, own, tokens
+            where = list(order(Shard(own, idf, mean), [len(o) for o in own], length))
             found = pieces([len(own[d]) for d in where], length)
             parts = [own[where[d]][a : a + k].astype("<u4").tobytes() for d, a, k, _, _ in found]
             columns = [
@@ -431,18 +648,17 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                 pa.array([f[4] for f in found], pa.int64()),
             ]
             first += found[-1][3] + 1
-            names, own, bags, tokens = [], [], [], 0
+            names, own, tokens = [], [], 0
             named = [c.split()[0] for c in PIECE.split(", ")]
             return pa.record_batch([*columns, pa.array(parts, pa.binary())] if with_ids else columns, names=[*named, "ids"] if with_ids else named)
 
         for b in batches:
-            for name, raw, terms, tfs in zip(*(b[c].to_pylist() for c in ("doc_id", "ids", "terms", "tfs"))):
+            for name, raw in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist()):
                 one = np.frombuffer(raw, kind)
                 if own and tokens + len(one) > SHARD_TOKENS:
                     yield put()
                 names.append(name)
                 own.append(one)
-                bags.append((np.frombuffer(terms, kind), np.frombuffer(tfs, np.uint32)))
                 tokens += len(one)
         if own:
             yield put()

@@ -3,11 +3,13 @@
 import gzip
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from hashlib import sha1, sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import rows, sentence, table
 from pyspark.sql import functions as F
@@ -130,6 +132,65 @@ def test_fields_have_the_ids_of_their_text():
     assert sorted(encoded) == sorted(["the", " cat", ",", " the", " (", "cat", ")"])
 
 
+def test_blocks_have_the_ids_of_their_texts(monkeypatch):
+    """Whatever stands together, and however texts are cut into blocks; a word is encoded once, in whatever block and beside whatever marks it is met."""
+    own = packing.Encoder(packing.default_tokenizer())
+    monkeypatch.setattr(packing, "CUT_BYTES", 100)
+    monkeypatch.setattr(packing, "KNOWN", 40)  # so that it is full soon
+    parts = [*" \t\n\r\x0b\x1c\x1f\x00\x7f\x85\xa0\u1680\u180e\u2009\u200b\u2028\u3000", *"ab'1.,(½²×÷ñȿéɀ\u0301д日🙂_-ⅧR", "'s", "  ", "don't", " \n", " the", "x" * 40]
+    rng = np.random.default_rng(4)
+    for n in range(60):
+        texts = [None if rng.random() < 0.05 else "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(60)]
+        texts += ["<|endoftext|> x"] * (n % 20 == 0)
+        ids, at = own.block(pa.array(texts, pa.string()).slice(2).fill_null(""))
+        assert [i.tolist() for i in np.split(ids, at[1:-1])] == [own.slow.encode(t or "", add_special_tokens=False).ids for t in texts[2:]]
+    assert own.block(pa.array(["", ""]))[1].tolist() == [0, 0, 0]
+    monkeypatch.undo()
+    own, asked = packing.Encoder(packing.default_tokenizer()), []
+    lines = own.lines.encode_ordinary
+    monkeypatch.setattr(own.lines, "encode_ordinary", lambda t: asked.extend(t.split("\n") if t else []) or lines(t))
+    for text in ("the cat, the (cat) the cat", "the\ncat; the cat señor"):
+        own.block(pa.array([text] * 9))
+    assert sorted(asked) == sorted(["the", " cat", " the", "cat", " señor"])
+
+
+def test_sketches_are_made_once(spark, monkeypatch):
+    """The order is cut by bounds from a sample: Spark does not sample it, which would make all sketches twice; and the cuts stay where they are."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 2000)
+    found = packing.pack(table(spark), with_ids=False)
+    assert "rangepartitioning" not in found._jdf.queryExecution().toString().lower()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, found.collect()))
+    assert found.select(F.expr("sequence_id >> 40")).distinct().count() > 2
+
+
+def test_ranges_have_like_sizes():
+    rng = np.random.default_rng(6)
+    first, second, sizes = rng.integers(0, 5, 4000), rng.permutation(4000), rng.integers(1, 100, 4000)
+    ranges = packing.Ranges(first, second, sizes, 40)
+    bounds = list(zip(ranges.first.tolist(), ranges.second.tolist()))
+    found = ranges.of(first, second)
+    assert found.tolist() == [bisect_right(bounds, key) for key in zip(first.tolist(), second.tolist())]
+    assert np.bincount(found, sizes, 40).max() < 1.1 * sizes.sum() / 40
+    assert packing.Ranges(first[:0], second[:0], sizes[:0], 3).of(first[:2], second[:2]).tolist() == [0, 0]
+
+
+def test_scores_of_all_pairs_are_those_of_each_seed(monkeypatch):
+    """Worked out at once or for one seed, to the last bit; copies have equal ones."""
+    rng = np.random.default_rng(31)
+    docs = [np.append(np.minimum(rng.geometric(0.02, rng.integers(0, 200)) + 1, 299), 1).astype(np.uint16) for _ in range(150)]
+    docs += docs[:50]
+    idf = rng.random(300) + 0.1
+    whole = packing.Shard(docs, idf, 45.0)
+    monkeypatch.setattr(packing, "SQUARE", 0)
+    single = packing.Shard(docs, idf, 45.0)
+    assert 0 < whole.is_full.sum() and len(whole.posted) and single.all is None
+    for d in range(len(docs)):
+        assert np.array_equal(whole.all[d], single._scores(single.term[single.rows[d] : single.rows[d + 1]]))
+    assert np.array_equal(whole.all[:, :50], whole.all[:, 150:])
+    sizes = [len(d) for d in docs]
+    assert list(packing.order(whole, sizes, 256)) == list(packing.order(single, sizes, 256))
+
+
 def test_the_driver_has_no_tokenizer(spark, monkeypatch):
     path = packing.default_tokenizer()
     assert packing.vocabulary_size(path) == packing.Encoder(path).slow.get_vocab_size(with_added_tokens=True)
