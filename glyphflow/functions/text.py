@@ -142,7 +142,8 @@ NO_SHARE = "N/A (division by zero)"
 
 def percent(share: Column) -> Column:
     """Percent to one place, half up; ``NO_SHARE`` for no share."""
-    return F.coalesce(F.format_string("%.1f%%", F.floor(share.cast("double") * 1000 + 0.5) / 10.0), F.lit(NO_SHARE))
+    # Of a null, ``format_string`` prints the first letter and the sign.
+    return F.when(share.isNull(), NO_SHARE).otherwise(F.format_string("%.1f%%", F.floor(share.cast("double") * 1000 + 0.5) / 10.0))
 
 
 def format_estimate(hits: Column, n: Column) -> Column:

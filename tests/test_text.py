@@ -3,12 +3,15 @@
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphflow.functions import text as T
 from glyphflow.functions.distance import bounded_osa, close_pairs, osa
 from glyphflow.operators import numeric as N
 from glyphflow.operators import search as P
+from glyphflow.plans.oracles import ORACLES
+from glyphflow.plans.queries import QUERIES
 
 
 def values(spark, items, make):
@@ -39,6 +42,17 @@ def test_words(spark):
     assert values(spark, ["ababc", "aabaaab", "a", ""], T.prefix_table) == [[0, 0, 1, 2, 0], [0, 1, 0, 1, 2, 2, 3], [0], []]
 
 
+def test_estimates_without_words(spark, tmp_path):
+    """A share without denominator is printed as such, as in the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["one two", "123", "", None] + ["two"] * 5
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {tuple(r) for r in QUERIES["accuracy_estimates"](spark, str(tmp_path)).collect()}
+    assert (1, f"{T.NO_SHARE} (0/0), 95 % interval +-{T.NO_SHARE}") in found
+    documents = f"WITH documents AS (FROM '{tmp_path}/documents.parquet/*.parquet'), "
+    assert found == set(duckdb.connect().sql(documents + ORACLES["accuracy_estimates"].removeprefix("WITH ")).fetchall())
+
+
 def test_composed(spark):
     frame = spark.createDataFrame([("Å",), ("plain",), ("é",)], "w string")
     assert sorted(r.w for r in T.composed(frame, "w").collect()) == sorted(["Å", "plain", "é"])
