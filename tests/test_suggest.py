@@ -96,6 +96,26 @@ def test_blocks_of_nearest():
         assert block.top(asked, "x", 3) == by_hand(asked, [(w, n, t == "x") for w, t, n in zip(words, tags, copies)], 3)
 
 
+def test_words_of_one_length_together(monkeypatch):
+    """Words that share a threshold's distances find what each finds alone, at every size of machine words."""
+    monkeypatch.setattr(N, "FIRST", 20)
+    rng = random.Random(29)
+    sizes = (1, 2, 15, 16, 17, 32, 33, 63, 64)
+    words = sorted({"".join(rng.choice("abcé") for _ in range(n + rng.randint(-1, 2))) for n in sizes for _ in range(25)})
+    entries = [(w, rng.choice([1, 1, 2]), rng.choice("xy")) for w in words]
+    block = N.Block([w for w, _, _ in entries], [t for _, _, t in entries], [n for _, n, _ in entries], 2)
+    for n in sizes:
+        asked = ["".join(rng.choice("abcéz") for _ in range(n)) for _ in range(3)]
+        assert block.tops(asked, ["x", "y", "?"], 3) == [by_hand(w, [(c, k, t == tag) for c, k, t in entries], 3) for w, tag in zip(asked, "xy?")]
+
+
+def test_one_very_long_entry():
+    """Letters are kept as numbers up to the bits of a machine word, so one long entry does not widen the rows of all."""
+    block = N.Block(["abc", "abd" * 30000, "abe" * 30000, "abcd"], ["x"] * 4, [1] * 4, 2)
+    assert block.codes.shape == (4, 2)
+    assert block.top("abce", "y", 3) == by_hand("abce", [("abc", 1, False), ("abcd", 1, False)], 3)
+
+
 def test_bits_and_rows_agree():
     rng = np.random.default_rng(2)
     codes = rng.integers(97, 100, (200, 12))
@@ -153,6 +173,19 @@ def test_few_words_make_no_remainders(spark, monkeypatch):
     assert found == sorted(map(tuple, S.suggest_phonetic(asked, entries).collect()))
 
 
+def test_many_words_and_few_entries_make_no_remainders(spark, monkeypatch):
+    """However many the words, entries of one block are met at once, and the suggestions are those of the joins."""
+    rng = random.Random(31)
+    entries = column(spark, some_words(rng, 60, "abcde", 8) + ["hello", "hello", "h", ""])
+    asked = column(spark, some_words(rng, 40, "abcdxyz", 9) + ["", "helo", "hello", None])
+    monkeypatch.setattr(S, "FEW", 0)
+    with monkeypatch.context() as m:
+        m.setattr(S, "close_pairs", None)
+        found = sorted(map(tuple, S.suggest_phonetic(asked, entries).collect()))
+    monkeypatch.setattr(S, "SCANNED", 0)
+    assert found == sorted(map(tuple, S.suggest_phonetic(asked, entries).collect()))
+
+
 def test_remainders_are_made_by_all_tasks(spark):
     """Both sides are dealt by number before they are exploded, and pairs that are too far apart do not reach Python."""
     words = some_words(random.Random(23), 60)
