@@ -186,6 +186,26 @@ def test_many_words_and_few_entries_make_no_remainders(spark, monkeypatch):
     assert found == sorted(map(tuple, S.suggest_phonetic(asked, entries).collect()))
 
 
+def test_few_words_on_either_side_make_no_remainders(spark, monkeypatch):
+    """The common words are compared with all others, in batches, and nothing is found but what the joins find."""
+    rng = random.Random(37)
+    words, entries = some_words(rng, 60, "abcdxy", 9) + ["aaaab", "ab" * 40], some_words(rng, 50, "abcde", 8) + ["ab" * 39 + "ba"]
+    want = sorted((a, b, osa(a, b)) for a in set(words) for b in set(entries) if osa(a, b) <= 3)
+    monkeypatch.setattr(S, "close_pairs", None)
+    assert sorted(map(tuple, S.pairs_within(column(spark, words + words[:3]), column(spark, entries), 3).collect())) == want
+    found = N.within(column(spark, entries, "candidate"), words, 3, "candidate", "word").select("word", "candidate", "distance")
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_marks_drop_only_pairs_that_are_far(spark):
+    words = some_words(random.Random(41), 150, "abcé", 8)
+    marked = column(spark, words).withColumn("m", X.letter_marks("word"))
+    pairs = marked.select(F.col("word").alias("a"), F.col("m").alias("ma")).crossJoin(marked.select(F.col("word").alias("b"), F.col("m").alias("mb")))
+    for most in (1, 2, 3):
+        assert pairs.where(~X.may_be_near("a", "b", "ma", "mb", most) & X.bounded_osa("a", "b", most).isNotNull()).count() == 0
+        assert pairs.where(X.may_be_near("a", "b", "ma", "mb", most)).count() < pairs.count()
+
+
 def test_remainders_are_made_by_all_tasks(spark):
     """Both sides are dealt by number before they are exploded, and pairs that are too far apart do not reach Python."""
     words = some_words(random.Random(23), 60)
